@@ -10,6 +10,8 @@ member with one pivot of its bucket (first the member that shares most buckets,
 what is confirmed into components, and goes on with the buckets that still hold several. What the rounds leave is
 compared completely: buckets are cut into blocks of ``BLOCK`` members, a task compares the sketches of two blocks, and
 only candidates between different components leave it. So no link between components is lost, however large a bucket.
+There a second parity bitmap, of the whole set, rules pairs out for certain: every bit of its XOR is owed to at least
+one differing shingle, and a linked pair of sets with s elements together differs in at most s (100 - t) / (100 + t).
 
 Defined results: null texts and texts without words have no shingle and link with nothing; equal rows link with each
 other; rows that share a doc_id share a component; a null doc_id has no component and is kept; an empty table gives an
@@ -99,8 +101,22 @@ def estimated(differing: np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * BANDS * ROWS) * np.log(share)
 
 
+def whole_bitmap(hashes: np.ndarray) -> bytes:
+    """Parity bitmap of all shingles, about two bits for each; half of it, folded by XOR, is that of half the size."""
+    size = 1 << max(9, min(16, int(2 * len(hashes) - 1).bit_length()))
+    places = (hashes >> np.uint64(16)) & np.uint64(size - 1)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def folded(bitmap: bytes, size: int) -> np.ndarray:
+    words = np.frombuffer(bitmap, np.uint64)
+    while len(words) * 8 > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
-    names = ["doc_id", "n", "digest", "sketch", "bands"]
+    names = ["doc_id", "n", "digest", "sketch", "bands", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -111,10 +127,10 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                     for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                         own = shingle_set(text, width)
                         low = minima(own)
-                        rows.append((key, len(own), xxhash.xxh3_128_digest(own.tobytes()), odd_sketch(low), buckets(low)))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names)
+                        rows.append((key, len(own), xxhash.xxh3_128_digest(own.tobytes()), odd_sketch(low), buckets(low), whole_bitmap(own)))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, bands array<long>, bitmap binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -169,25 +185,33 @@ def pivot_pairs(members: DataFrame, order: Column) -> DataFrame:
     )
 
 
-def remaining_pairs(members: DataFrame) -> DataFrame:
+def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All candidates between different components, from buckets that hold several; blocks against blocks."""
-    mixed_ = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sign")).where("low < high")
-    once = mixed_.groupBy("size", "sign", "low").agg(F.min("bucket").alias("bucket"))  # buckets of the same members count once
+    several = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sign")).where("low < high")
+    once = several.groupBy("size", "sign", "low").agg(F.min("bucket").alias("bucket"))  # buckets of the same members count once
     placed = members.join(once.select("bucket", "size"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    dealt = placed.select("bucket", "node", "comp", "n", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.join(nodes.select("node", "bitmap"), "node")
+    dealt = placed.select("bucket", "node", "comp", "n", "sketch", "bitmap", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
-        block = group.column("block").to_numpy()
+        node, comp, n, block = (group.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
         bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        bitmaps = group.column("bitmap").to_pylist()
+        sizes = np.array([len(b) for b in bitmaps])
+        # by size the bitmaps that are folded to it: sizes of a pair are equal or next to each other
+        at_size = {z: np.stack([folded(b, z) if len(b) in (z, 2 * z) else np.zeros(z // 8, np.uint64) for b in bitmaps]) for z in {*sizes.tolist()}}
         left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
         out = []
         for i in left:
             rest = right[comp[right] != comp[i]]
-            rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * 80]
+            rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent]
             rest = rest[estimated(np.bitwise_count(bits[rest] ^ bits[i]).sum(1)) >= ESTIMATE]
-            out.append(np.stack([np.minimum(node[i], node[rest]), np.maximum(node[i], node[rest])]))
+            for z in {*np.minimum(sizes[rest], sizes[i]).tolist()}:
+                some = rest[np.minimum(sizes[rest], sizes[i]) == z]
+                differ = np.bitwise_count(at_size[z][some] ^ at_size[z][i]).sum(1, dtype=np.int64)
+                some = some[differ * (100 + percent) <= (n[some] + n[i]) * (100 - percent)]
+                out.append(np.stack([np.minimum(node[i], node[some]), np.maximum(node[i], node[some])]))
         pairs = np.unique(np.concatenate(out or [np.zeros((2, 0), np.int64)], 1), axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
@@ -200,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = stored(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "near-classes")
     first = F.first
     nodes = (
-        found.join(classes, "digest").where("doc_id = node").groupBy("digest", "node").agg(first("n").alias("n"), first("sketch").alias("sketch"), first("bands").alias("bands")).drop("digest")
+        found.join(classes, "digest").where("doc_id = node").groupBy("digest", "node").agg(first("n").alias("n"), first("sketch").alias("sketch"), first("bands").alias("bands"), first("bitmap").alias("bitmap")).drop("digest")
     )
     nodes = stored(nodes, "near-nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -214,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if k < PIVOT_ROUNDS:
             pairs = pivot_pairs(members, F.col("weight") if k == 0 else F.xxhash64("node", F.lit(k)))
         else:
-            pairs = remaining_pairs(members)
+            pairs = remaining_pairs(members, nodes, percent)
         pairs = stored(pairs, "near-pairs")
         if not pairs.limit(1).count():
             continue
