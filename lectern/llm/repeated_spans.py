@@ -3,6 +3,7 @@
 Positions get ranks (64-bit fingerprints that stand for equal strings) at growing lengths; a position whose string is
 met in one document only is dropped before its rank is paired with the one an offset further on.
 
+* Copies of whole documents are found by their digests first; they go as a whole and take no further part.
 * Within a task, ranks of 1, 2, 4 ... bytes are paired up to ``half`` = 25 bytes at every position.
 * First exchange. Of the 26 half-length ranks inside each 50-byte string the smallest stands for it; these are dealt
   to buckets by rank, and those met in two documents go back to the blocks that sent them.
@@ -26,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, stored, table, text_or_empty
 
 LENGTH = 50
-#: Bytes of text in a block, bytes ranked together, and entries of a bucket.
-BLOCK_BYTES, PIECE_BYTES, BUCKET_ENTRIES = 16 << 20, 1 << 20, 3_000_000
+#: Bytes of text in a block, bytes ranked together, and bytes of text for each bucket of ranks (of which it gets a part).
+BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 8 << 20
 LAST = (1 << 63) - 1
 
 BASE = 0x9E3779B97F4A7C15
@@ -87,11 +89,15 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[start], np.diff(np.r_[start, len(values)])
 
 
-def documents_of(group: pa.Table) -> list[tuple[int, bytes]]:
-    keys = [LAST if k is None else k for k in group.column("doc_id").to_pylist()]
-    order = np.argsort(np.array(keys, np.int64), kind="stable")
-    texts = group.column("text")
-    return [(keys[i], texts[int(i)].as_buffer().to_pybytes()) for i in order]
+def documents_of(group: pa.Table, back: pa.Table) -> list[tuple[int, bytes, bool]]:
+    """(doc_id, text, whether it is a copy of a smaller doc_id's text) in ascending order of doc_id."""
+    copies = back.filter(pa.compute.equal(back.column("kind"), "copy"))
+    copies = {*zip(copies.column("ranks").to_pylist(), copies.column("keys").to_pylist())}
+    ids = group.column("doc_id").to_pylist()
+    keys = np.array([LAST if k is None else k for k in ids], np.int64)
+    texts, digests = group.column("text"), group.column("digest").to_pylist()
+    order = np.argsort(keys, kind="stable")
+    return [(int(keys[i]), texts[int(i)].as_buffer().to_pybytes(), (digests[i], b"" if ids[i] is None else b"%d" % ids[i]) in copies) for i in order]
 
 
 def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -113,11 +119,22 @@ def gathered(blobs: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-def candidates(docs: list[tuple[int, bytes]], length: int, back: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def packed_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct ids, and for each entry the place of its id among them."""
+    keys, places = np.unique(ids, return_inverse=True)
+    return keys.astype("<i8").tobytes(), places.astype("<u2" if len(keys) <= 1 << 16 else "<u4").tobytes()
+
+
+def unpacked_ids(keys: bytes, places: bytes) -> np.ndarray:
+    known = np.frombuffer(keys, "<i8")
+    return known[np.frombuffer(places, "<u2" if len(known) <= 1 << 16 else "<u4")]
+
+
+def candidates(docs: list[tuple[int, bytes, bool]], length: int, back: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(document, doc_id, positions, 50-byte ranks) of the strings whose representative came back."""
     half = length // 2
-    for i, (key, data) in enumerate(docs):
-        for first, low, rank in pieces(data, length):
+    for i, (key, data, copy) in enumerate(docs):
+        for first, low, rank in pieces(b"" if copy else data, length):
             heads, sizes = runs(low)
             at = np.flatnonzero(np.repeat(member(heads, back), sizes))
             pair = rank[at] * np.uint64(pow(BASE, half, 1 << 64)) + rank[at + length - half]
@@ -140,23 +157,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the bytes that stay) for each row of ``docs``."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // 12 // BUCKET_ENTRIES))
+    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block, used = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
-            bounds = []
-            for n in pa.compute.binary_length(batch.column(1)).to_pylist():
+            numbers, digests = [], []
+            for text in batch.column(1):
+                data = text.as_buffer()
                 if used > BLOCK_BYTES:
                     block, used = block + 1, 0
-                used += n
-                bounds.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(bounds, pa.int64()), *batch.columns], ["block", "doc_id", "text"])
+                used += data.size
+                numbers.append(block)
+                digests.append(xxhash.xxh3_128_digest(data))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns, pa.array(digests, pa.binary())], ["block", "doc_id", "text", "digest"])
 
     name = f"lectern_spans_{uuid.uuid4().hex}"
-    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(number, "block long, doc_id long, text string")
+    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(number, "block long, doc_id long, text string, digest binary")
     own.write.option("compression", "zstd").bucketBy(int(min(blocks, 100_000)), "block").saveAsTable(name)
     try:
         return _measured(spark, name, length, buckets, texts)
@@ -164,87 +183,91 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
         spark.sql(f"DROP TABLE {name}")
 
 
+BLOB = [("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.string()), ("ranks", pa.binary()), ("keys", pa.binary()), ("ids", pa.binary())]
+
+
+def as_table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(BLOB)], [n for n, _ in BLOB])
+
+
+def of_kind(back: pa.Table, kind: str) -> pa.Table:
+    return back.filter(pa.compute.equal(back.column("kind"), kind))
+
+
 def _measured(spark: SparkSession, name: str, length: int, buckets: int, with_texts: bool) -> DataFrame:
-    blob = "bucket int, block long, many boolean, ranks binary, ids binary"
+    blob = "bucket int, block long, kind string, ranks binary, keys binary, ids binary"
 
-    def representatives(key: tuple, group: pa.Table) -> pa.Table:
+    def representatives(key: tuple, left: pa.Table, back: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            sets = [np.unique(np.concatenate(low)) for _, data in documents_of(group) if (low := [runs(x)[0] for _, x, _ in pieces(data, length)])]
+            sets = [np.unique(np.concatenate(low)) for _, x, copy in documents_of(left, back) if not copy and (low := [runs(r)[0] for _, r, _ in pieces(x, length)])]
         values, count = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
         rows = []
-        for many in (False, True):
-            some = values[(count > 1) == many]
+        for kind, chosen in (("one", count == 1), ("many", count > 1)):
+            some = values[chosen]
             filled, cuts = dealt(some, buckets)
-            rows += [(int(b), key[0].as_py(), many, some[cuts[b] : cuts[b + 1]].tobytes(), None) for b in filled]
+            rows += [(int(b), key[0].as_py(), kind, some[cuts[b] : cuts[b + 1]].tobytes(), None, None) for b in filled]
         return as_table(rows)
 
-    def as_table(rows: list[tuple]) -> pa.Table:
-        types = [("bucket", pa.int32()), ("block", pa.int64()), ("many", pa.bool_()), ("ranks", pa.binary()), ("ids", pa.binary())]
-        return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], [n for n, _ in types])
-
     def in_two(key: tuple, group: pa.Table) -> pa.Table:
         """Of each block's ranks those that another block has too, or that two of its own documents have."""
         values, owner = gathered(group.column("ranks"), "<u8")
-        many = np.array(group.column("many").to_pylist())[owner] if len(values) else np.zeros(0, bool)
+        many = np.array([k == "many" for k in group.column("kind").to_pylist()])[owner]
         order = np.argsort(values, kind="stable")
         heads, sizes = runs(values[order])
-        starts = np.cumsum(sizes) - sizes
-        keep = np.repeat((sizes > 1) | np.logical_or.reduceat(many[order], starts), sizes)
+        repeated = (sizes > 1) | np.logical_or.reduceat(many[order], np.cumsum(sizes) - sizes)
         chosen = np.zeros(len(values), bool)
-        chosen[order] = keep
+        chosen[order] = np.repeat(repeated, sizes)
+        borders = np.searchsorted(owner, np.arange(group.num_rows + 1))
         rows = []
-        for i, block in enumerate(group.column("block").to_pylist()):
-            some = values[(owner == i) & chosen]
+        for block, a, b in zip(group.column("block").to_pylist(), borders, borders[1:]):
+            some = values[a:b][chosen[a:b]]
             if len(some):
-                rows.append((key[0].as_py(), block, None, some.tobytes(), None))
+                rows.append((key[0].as_py(), block, "mark", some.tobytes(), None, None))
         return as_table(rows)
 
-    def back_of(group: pa.Table) -> np.ndarray:
-        return np.unique(gathered(group.column("ranks"), "<u8")[0]) if group.num_rows else np.zeros(0, np.uint64)
-
-    def strings(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return as_table([])
+    def found_in(left: pa.Table, back: pa.Table) -> tuple[list, list]:
+        docs, marks = documents_of(left, back), of_kind(back, "mark")
+        if not marks.num_rows:
+            return docs, []
         with np.errstate(over="ignore"):
-            ranks, low, _ = smallest_ids(list(candidates(documents_of(left), length, back_of(right))))
+            return docs, list(candidates(docs, length, np.unique(gathered(marks.column("ranks"), "<u8")[0])))
+
+    def strings(key: tuple, left: pa.Table, back: pa.Table) -> pa.Table:
+        ranks, low, _ = smallest_ids(found_in(left, back)[1])
         filled, cuts = dealt(ranks, buckets)
-        return as_table([(int(b), key[0].as_py(), None, ranks[cuts[b] : cuts[b + 1]].tobytes(), low[cuts[b] : cuts[b + 1]].tobytes()) for b in filled])
+        return as_table([(int(b), key[0].as_py(), "low", ranks[cuts[b] : cuts[b + 1]].tobytes(), *packed_ids(low[cuts[b] : cuts[b + 1]])) for b in filled])
 
     def smaller(key: tuple, group: pa.Table) -> pa.Table:
         """For each block the ranks that a document before its own first one has, with the smallest doc_id."""
         values, owner = gathered(group.column("ranks"), "<u8")
-        ids, _ = gathered(group.column("ids"), "<i8")
+        ids = np.concatenate([unpacked_ids(k, i) for k, i in zip(group.column("keys").to_pylist(), group.column("ids").to_pylist())])
         order = np.argsort(values, kind="stable")
         heads, sizes = runs(values[order])
         least = np.empty(len(values), np.int64)
         least[order] = np.repeat(np.minimum.reduceat(ids[order], np.cumsum(sizes) - sizes), sizes)
+        borders = np.searchsorted(owner, np.arange(group.num_rows + 1))
         rows = []
-        for i, block in enumerate(group.column("block").to_pylist()):
-            some = (owner == i) & (least < ids)
+        for block, a, b in zip(group.column("block").to_pylist(), borders, borders[1:]):
+            some = least[a:b] < ids[a:b]
             if some.any():
-                rows.append((key[0].as_py(), block, None, values[some].tobytes(), least[some].tobytes()))
+                rows.append((key[0].as_py(), block, "low", values[a:b][some].tobytes(), *packed_ids(least[a:b][some])))
         return as_table(rows)
 
     def remove(key: tuple, left: pa.Table, back: pa.Table) -> pa.Table:
-        docs = documents_of(left)
-        marks = back.filter(pa.compute.is_null(back.column("ids")))
-        more = back.filter(pa.compute.is_valid(back.column("ids")))
-        with np.errstate(over="ignore"):
-            found = list(candidates(docs, length, back_of(marks))) if marks.num_rows else []
-            ranks, low, _ = smallest_ids(found)
-        if more.num_rows:
-            values, ids = gathered(more.column("ranks"), "<u8")[0], gathered(more.column("ids"), "<i8")[0]
-            at = np.searchsorted(ranks, values)
-            low = low.copy()
-            low[at] = np.minimum(low[at], ids)
+        docs, found = found_in(left, back)
+        ranks, low, _ = smallest_ids(found)
+        more = of_kind(back, "low")
+        for values, keys, ids in zip(*(more.column(c).to_pylist() for c in ("ranks", "keys", "ids"))):
+            at = np.searchsorted(ranks, np.frombuffer(values, "<u8"))
+            low[at] = np.minimum(low[at], unpacked_ids(keys, ids))
         edges: dict[int, list[np.ndarray]] = {}
         for i, k, position, rank in found:
             repeated = position[low[np.searchsorted(ranks, rank)] < k] if len(rank) else position
             if len(repeated):
                 edges.setdefault(i, []).append(repeated)
         out = []
-        for i, (k, data) in enumerate(docs):
-            gone = np.zeros(len(data), bool)
+        for i, (k, data, copy) in enumerate(docs):
+            gone = np.full(len(data), copy and len(data) >= length)
             if i in edges:
                 starts = np.concatenate(edges[i])
                 step = np.zeros(len(data) + 1, np.int32)
@@ -257,13 +280,21 @@ def _measured(spark: SparkSession, name: str, length: int, buckets: int, with_te
         types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
         return pa.table([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(types)], [n for n, _ in types])
 
-    texts = spark.table(name).groupBy("block")
-    first = stored(texts.applyInArrow(representatives, blob).groupBy("bucket").applyInArrow(in_two, blob), "span-marks")
-    exchanged = texts.cogroup(first.groupBy("block")).applyInArrow(strings, blob).groupBy("bucket").applyInArrow(smaller, blob)
-    both = stored(first.unionByName(exchanged), "span-ranks")
-    discard(first)
-    out = stored(texts.cogroup(both.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "span-results", compression="zstd")
-    discard(both)
+    texts, whole = spark.table(name).groupBy("block"), spark.table(name).select("block", "doc_id", "digest")
+    order = F.coalesce("doc_id", F.lit(LAST))
+    first = whole.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    none = F.lit(None).cast("binary")
+    copies = whole.join(first, "digest").where(order > F.col("first")).select(
+        F.lit(None).cast("int").alias("bucket"), "block", F.lit("copy").alias("kind"), F.col("digest").alias("ranks"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary").alias("keys"), none.alias("ids")
+    )
+    copies = stored(copies, "span-copies")
+    marks = stored(copies.unionByName(texts.cogroup(copies.groupBy("block")).applyInArrow(representatives, blob).groupBy("bucket").applyInArrow(in_two, blob)), "span-marks")
+    low = texts.cogroup(marks.groupBy("block")).applyInArrow(strings, blob).groupBy("bucket").applyInArrow(smaller, blob)
+    both = stored(marks.unionByName(low), "span-ranks")
+    result = texts.cogroup(both.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = stored(result, "span-results", compression="zstd")
+    for used in (copies, marks, both):
+        discard(used)
     return out
 
 
