@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def documents_of(group: pa.Table, back: pa.Table) -> list[tuple[int, bytes, bool]]:
     """(doc_id, text, whether it is a copy of a smaller doc_id's text) in ascending order of doc_id."""
-    copies = back.filter(pa.compute.equal(back.column("kind"), "copy"))
+    copies = back.filter(pc.equal(back.column("kind"), "copy"))
     copies = {*zip(copies.column("ranks").to_pylist(), copies.column("keys").to_pylist())}
     ids = group.column("doc_id").to_pylist()
     keys = np.array([LAST if k is None else k for k in ids], np.int64)
@@ -191,7 +192,7 @@ def as_table(rows: list[tuple]) -> pa.Table:
 
 
 def of_kind(back: pa.Table, kind: str) -> pa.Table:
-    return back.filter(pa.compute.equal(back.column("kind"), kind))
+    return back.filter(pc.equal(back.column("kind"), kind))
 
 
 def _measured(spark: SparkSession, name: str, length: int, buckets: int, with_texts: bool) -> DataFrame:
