@@ -29,7 +29,7 @@ TOGETHER = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = f"used int, closed boolean, members array<struct<{PIECES.replace(' ', ':').replace(',:', ',')}>>"
-MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+MEMBER = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
 def best_fit(sizes: list[int], length: int) -> list[list[int]]:
@@ -64,13 +64,18 @@ def pieces_of(ids: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
     return [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
-def _bins(rows: list[tuple[int, list[dict]]], length: int) -> Iterator[pa.RecordBatch]:
-    rows.sort(key=lambda r: (-r[0], [(m["doc_id"] is not None, m["doc_id"] or 0, m["piece"]) for m in r[1][:1]]))
+def _bins(rows: list[tuple[int, list[tuple]]], length: int) -> Iterator[pa.RecordBatch]:
+    """Pack (size, members) items; members are tuples in the order of MEMBER."""
+    rows.sort(key=lambda r: (-r[0], r[1][0][0] is not None, r[1][0][0] or 0, r[1][0][1]))
     packed = best_fit([r[0] for r in rows], length)
     for i in range(0, len(packed), 5000):
-        members = [[m for k in b for m in rows[k][1]] for b in packed[i : i + 5000]]
-        used = [sum(rows[k][0] for k in b) for b in packed[i : i + 5000]]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([u == length for u in used]), pa.array(members, pa.list_(MEMBER))], ["used", "closed", "members"])
+        some = packed[i : i + 5000]
+        members = [m for b in some for k in b for m in rows[k][1]]
+        ends = np.cumsum([0, *(sum(len(rows[k][1]) for k in b) for b in some)])
+        used = [sum(rows[k][0] for k in b) for b in some]
+        fields = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*members), MEMBER)], [n for n, _ in MEMBER])
+        nested = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([u == length for u in used]), nested], ["used", "closed", "members"])
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
@@ -85,8 +90,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) ->
                 part, whole = batch.slice(i, 1000), []
                 for key, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                     for p in pieces_of(np.frombuffer(raw + end, "<u4"), length):
-                        member = dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), (key, *p)))
-                        (whole if p[2] == length else waiting).append((p[2], [member]))
+                        (whole if p[2] == length else waiting).append((p[2], [(key, *p)]))
                 if whole:
                     yield from _bins(whole, length)
             if len(waiting) > TOGETHER:
@@ -95,7 +99,12 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) ->
         yield from _bins(waiting, length)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(r["used"], r["members"]) for batch in batches for r in batch.to_pylist()]
+        rows = []
+        for batch in batches:
+            nested = batch.column(1)
+            members = [*zip(*(c.to_pylist() for c in nested.flatten().flatten()))]
+            ends = np.cumsum([0, *nested.value_lengths().to_pylist()])
+            rows += [(u, members[a:b]) for u, a, b in zip(batch.column(0).to_pylist(), ends, ends[1:])]
         yield from _bins(rows, length)
 
     state = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first, BINS), "packed")
