@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import scratch_path, stored, table
 
 SEGMENT = 32_768
 CHUNK = 8_192
@@ -116,12 +116,15 @@ def write(pages: DataFrame, folder: str, segment: int = SEGMENT) -> str:
     return folder
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits)."""
+def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """page_id, payload, payload_bytes, payload_digest, record_type, refers_to; payload and its size are null for revisits.
+
+    The files are parsed once; without ``payloads`` they are checked and measured, but not kept.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    kept = "origin string, page_id long, record_type string, refers_to long, stated string, segment int, total long, block binary, payload binary"
+    kept = "origin string, page_id long, record_type string, refers_to long, stated string, segment int, total long, block binary, payload binary, payload_bytes long"
     names = [x.split()[0] for x in kept.split(", ")]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
     def rows(archive: bytes) -> Iterator[tuple]:
         for f, block in parsed(archive):
@@ -133,7 +136,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             payload = dechunked(block.split(END, 1)[1]) if segment is None and f["warc-type"] == "response" else None
             if payload is not None and digest(payload) != stated:
                 raise ValueError("a payload does not have its record's digest")
-            yield f.get("warc-segment-origin-id", f["warc-record-id"]), page, f["warc-type"], refers, stated, segment, total, block if segment else None, payload
+            yield f.get("warc-segment-origin-id", f["warc-record-id"]), page, f["warc-type"], refers, stated, segment, total, block if segment else None, payload if payloads else None, None if payload is None else len(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,22 +155,22 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 payload = dechunked(block.split(END, 1)[1])
                 if digest(payload) != r["stated"]:
                     raise ValueError("a payload does not have its record's digest")
-                out.append((r["page_id"], payload, r["stated"]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.string()))], ["page_id", "payload", "payload_digest"])
+                out.append((r["page_id"], payload if payloads else None, len(payload), r["stated"]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.string()))], ["page_id", "payload", "payload_bytes", "payload_digest"])
 
-    every = files.mapInArrow(run, kept)
+    every = stored(files.mapInArrow(run, kept), "warc-records")
     parts = every.where("segment is not null").groupBy("origin").agg(
         F.max("page_id").alias("page_id"), F.max("stated").alias("stated"), F.max("total").alias("total"), F.collect_list(F.struct("segment", "block")).alias("parts")
     )
-    joined = parts.mapInArrow(assemble, "page_id long, payload binary, payload_digest string")
-    whole = every.where("segment is null").select("page_id", "payload", F.col("stated").alias("payload_digest"), "record_type", "refers_to")
+    joined = parts.mapInArrow(assemble, "page_id long, payload binary, payload_bytes long, payload_digest string")
+    whole = every.where("segment is null").select("page_id", "payload", "payload_bytes", F.col("stated").alias("payload_digest"), "record_type", "refers_to")
     none = F.lit(None).cast("long")
-    return whole.unionByName(joined.select("page_id", "payload", "payload_digest", F.lit("response").alias("record_type"), none.alias("refers_to")))
+    return whole.unionByName(joined.select("page_id", "payload", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), none.alias("refers_to")))
 
 
 def resolved(records: DataFrame) -> DataFrame:
     """The records with ``payload_bytes``; a revisit has those of the response that it refers to."""
-    narrow = records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    narrow = records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     own = narrow.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("referred_bytes"))
     return narrow.join(own, ["refers_to", "payload_digest"], "left").select(
         "page_id", F.coalesce("payload_bytes", "referred_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
@@ -176,7 +179,7 @@ def resolved(records: DataFrame) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    return resolved(read(spark, folder))
+    return resolved(read(spark, folder, payloads=False))
 
 
 SQL = """
