@@ -23,7 +23,7 @@ def docs(spark):
     """Nulls in every column, an empty and a long text, ties and repeated rows, and clashing column names (n)."""
     base = prose(1, 80)
     rows = [(1, base, 1, "en"), (2, base, 1, None), (2, base, 1, None), (3, base.replace("alpha", "omega", 1), 1, "en"), (4, None, None, "en"), (5, "", 1, "en"), (None, "lonely text", 1, "en"),
-            (6, prose(2, 9000), 1, "en"), (7, prose(3, 60) + " " + base[100:260] + " É", 1, "de"), (8, "Mail a.b@c.de +1 (555) 123-4567 4111 1111 1111 1111 at 10.0.0.256 1.2.3.4", 1, "en")]
+            (6, prose(2, 9000), 1, "en"), (7, prose(3, 60) + " " + base[100:260] + " É", 1, "de"), (8, "Mail a.b@c.de, call +1 (555) 123-4567, card 4111 1111 1111 1111, at 10.0.0.256 or 1.2.3.4", 1, "en")]
     return spark.createDataFrame(rows, SCHEMA)
 
 
