@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: A run that starts in Han stops where Han ends; any other run of letters, digits and underscores goes on into Han.
 TOKEN = r"\p{IsHan}+|[\p{L}\p{N}_]+"
 HAN = r"^\p{IsHan}+$"
+WITHOUT_HAN = r"[\p{L}\p{N}_]+"
 
 
 def tokenize(text: Column) -> Column:
@@ -20,8 +21,9 @@ def tokenize(text: Column) -> Column:
 
     runs = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     plain = F.transform(runs, lambda w: F.when(w.rlike(HAN), expand(w)).otherwise(F.array(w)))
-    # texts without Han, by far the most, skip the nested arrays
-    return F.when(text.rlike(r"\p{IsHan}"), F.flatten(plain)).otherwise(runs)
+    # texts without Han, by far the most, skip the nested arrays and need one class of characters only
+    simple = F.regexp_extract_all(F.lower(text), F.lit(WITHOUT_HAN), F.lit(0))
+    return F.when(text.rlike(r"\p{IsHan}"), F.flatten(plain)).otherwise(simple)
 
 
 def utf16_length(text: Column) -> Column:
