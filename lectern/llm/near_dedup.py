@@ -7,11 +7,13 @@ below 0.8) are confirmed on the full sets.
 
 Documents with equal sets are one class from the start. Within a bucket no pairs are listed: each round compares every
 member with one pivot of its bucket (first the member that shares most buckets, then members picked by hash), merges
-what is confirmed into components, and goes on with the buckets that still hold several. What the rounds leave is
-compared completely: buckets are cut into blocks of ``BLOCK`` members, a task compares the sketches of two blocks, and
-only candidates between different components leave it. So no link between components is lost, however large a bucket.
-There a second parity bitmap, of the whole set, rules pairs out for certain: every bit of its XOR is owed to at least
+what is confirmed into components, and goes on with the buckets that still hold several. A pivot has met all members,
+so it leaves its bucket; a bucket of up to ``PIVOT_ROUNDS`` + 1 members is settled by the rounds alone. What they leave
+is compared completely: buckets are cut into blocks of ``BLOCK`` members, a task compares the sketches of two blocks,
+and only candidates between different components leave it. So no link between components is lost, however large a
+bucket. A second parity bitmap, of the whole set, rules pairs out for certain: every bit of its XOR is owed to at least
 one differing shingle, and a linked pair of sets with s elements together differs in at most s (100 - t) / (100 + t).
+Full sets are built for the documents of pairs that pass both, once each.
 
 Defined results: null texts and texts without words have no shingle and link with nothing; equal rows link with each
 other; rows that share a doc_id share a component; a null doc_id has no component and is kept; an empty table gives an
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, stored, table
@@ -133,8 +135,8 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, bands array<long>, bitmap binary")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) for the documents in ``nodes``."""
+def full_sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """(node, hashes) for the documents in ``nodes``; ``repeated`` says whether a doc_id may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -145,7 +147,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    return own.mapInArrow(run, "node long, hashes binary").distinct()
+    own = own.distinct() if repeated else own
+    return own.mapInArrow(run, "node long, hashes binary")
 
 
 def close_enough() -> Column:
@@ -175,14 +178,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
-def pivot_pairs(members: DataFrame, order: Column) -> DataFrame:
-    """Each member with its bucket's pivot, once, where their components differ."""
-    pivot = members.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), "node", "comp", "n", "sketch")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return (
-        members.join(pivot, "bucket").where("comp <> p.comp")
-        .select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b"), F.col("sketch").alias("sketch_a"), F.col("p.sketch").alias("sketch_b"))
-        .where(close_enough()).select("a", "b").distinct()
-    )
+def with_pivots(members: DataFrame, order: Column) -> DataFrame:
+    """Each other member of a bucket that holds several components, with the bucket's pivot."""
+    pivot = members.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), "node", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    pivot = pivot.select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
+    return members.join(pivot, "bucket").where("node <> pivot").select("bucket", "node", "comp", "pivot", "pivot_comp")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that neither sizes, odd sketches nor whole bitmaps rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for total, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                size = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64))
+                keep.append(differ * (100 + percent) <= total * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where(close_enough()).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"))
+    both = near.join(side("a", "bitmap"), "a").join(side("b", "bitmap"), "b")
+    return both.select("a", "b", "total", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long")
 
 
 def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -190,7 +210,7 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataF
     several = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sign")).where("low < high")
     once = several.groupBy("size", "sign", "low").agg(F.min("bucket").alias("bucket"))  # buckets of the same members count once
     placed = members.join(once.select("bucket", "size"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    placed = placed.join(nodes.select("node", "bitmap"), "node")
+    placed = placed.join(nodes.select("node", "n", "sketch", "bitmap"), "node")
     dealt = placed.select("bucket", "node", "comp", "n", "sketch", "bitmap", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
 
@@ -229,21 +249,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = stored(nodes, "near-nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = stored(rows.join(shared, "bucket"), "near-buckets")
-    weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = stored(rows.join(nodes.select("node", "n", "sketch").join(weight, "node"), "node").select("bucket", "node", "n", "sketch", "weight", F.col("node").alias("comp")), "near-members")
-    discard(rows)
+    weight = F.sum("size").over(Window.partitionBy("node"))  # a node has at most BANDS rows
+    members = stored(rows.join(shared, "bucket").select("bucket", "node", F.col("node").alias("comp"), weight.alias("weight")), "near-members")
+    repeated = bool(found.groupBy("doc_id").count().where("count > 1").limit(1).count())
     sets, links = None, []
     for k in range(PIVOT_ROUNDS + 1):
         if k < PIVOT_ROUNDS:
-            pairs = pivot_pairs(members, F.col("weight") if k == 0 else F.xxhash64("node", F.lit(k)))
+            met = stored(with_pivots(members, F.col("weight") if k == 0 else F.xxhash64("node", F.lit(k))), "near-met")
+            discard(members)
+            pairs = met.where("comp <> pivot_comp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+            pairs, members = stored(likely(pairs, nodes, percent), "near-pairs"), met.select("bucket", "node", "comp")
         else:
-            pairs = remaining_pairs(members, nodes, percent)
-        pairs = stored(pairs, "near-pairs")
+            pairs = stored(remaining_pairs(members, nodes, percent), "near-pairs")
         if not pairs.limit(1).count():
             continue
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         if sets is None:
-            sets = stored(full_sets(docs, members.select("node").distinct(), width), "near-sets")
+            sets = stored(full_sets(docs, needed, width, repeated), "near-sets")
+        else:
+            needed = stored(needed.join(sets.select("node"), "node", "left_anti"), "near-needed")
+            sets = sets.unionByName(stored(full_sets(docs, needed, width, repeated), "near-sets"))
         good = stored(confirmed(pairs, sets, percent), "near-links")
         discard(pairs)
         links.append(good)
@@ -253,9 +278,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if k == PIVOT_ROUNDS or not good.limit(1).count():
             continue
         merged = components(every)
-        before = members
-        members = stored(members.drop("comp").join(merged, "node", "left").select("bucket", "node", "n", "sketch", "weight", F.coalesce("component", "node").alias("comp")), "near-members")
-        discard(before)
+        members = stored(met.select("bucket", "node").join(merged, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")), "near-members")
+        discard(met)
     if links:
         every = links[0]
         for more in links[1:]:
