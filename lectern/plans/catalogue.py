@@ -7,6 +7,8 @@ revisions, ``orders`` and ``lineitem`` documents with linked images, ``pages`` H
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import evaluate, fusion, lexical, structure
+from lectern.operators import chunking, evaluate, fusion, lexical, structure
+from lectern.sources.catalogue_store import CatalogueStore
+from lectern.streaming import ingest as ingestion
 
 QUERY = "the thonou ent de la que"
 
@@ -377,3 +381,33 @@ def capture_violations(spark, sf):
 @query("SELECT source AS document_id, count(*) AS n_elements, count_if(lang = 'en') AS n_images, sum(n_chars) AS n_chars FROM documents GROUP BY source")
 def list_documents(spark, sf):
     return read(spark, sf, "documents").groupBy(F.col("source").alias("document_id")).agg(F.count(F.lit(1)).alias("n_elements"), F.count_if(F.col("lang") == "en").alias("n_images"), F.sum("n_chars").alias("n_chars"))
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder in the shared one that the cluster names; a local one only where that is unset (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lectern-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query()
+def retrieval_chunks(spark, sf):
+    cut = chunking.retrieval_chunks(read(spark, sf, "documents").withColumnRenamed("doc_id", "document_id"))
+    return cut.select("document_id", "pos", "start", "stop", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(f"WITH {LINES} SELECT document_id::VARCHAR AS document_id, pos, start, stop, sha256(text) AS text_hash FROM el WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def catalogue_snapshot(spark, sf):
+    store = CatalogueStore(spark, _scratch(spark, "catalogue"), ingestion.SCHEMA)
+    epoch = store.publish(ingestion.elements(read(spark, sf, "documents").withColumnRenamed("doc_id", "document_id")), 0)
+    store.remove(read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id")), epoch)
+    return store.snapshot().select("document_id", "pos", "start", "stop", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(f"WITH {LINES} SELECT document_id::VARCHAR AS document_id, pos, start, stop, sha256(text) AS text_hash FROM el")
+def stream_ingest(spark, sf):
+    folder = _scratch(spark, "ingest")
+    store = CatalogueStore(spark, f"{folder}/catalogue", ingestion.SCHEMA)
+    # a pattern, since a stream does not take the path of a single file
+    rows = spark.readStream.schema(read(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]")
+    ingestion.ingest(rows.select(F.col("doc_id").alias("document_id"), "text"), store, f"{folder}/checkpoint")
+    return store.snapshot().select("document_id", "pos", "start", "stop", F.sha2("text", 256).alias("text_hash"))
