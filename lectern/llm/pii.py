@@ -2,20 +2,26 @@
 
 Four base patterns (email, ip, card, phone) with their checks always count. Beside them, generators with high recall
 propose spans that may overlap: digit groups in any notation, addresses with spelled-out signs, and the base patterns'
-failing matches. Boosted trees score each candidate from its format and the words before it; they learn on at most
-about ``TRAINING_CANDIDATES`` candidates (a documented bound, drawn by hash), where a candidate that coincides with a
-base span is a positive. The redaction threshold is the lowest score whose precision on the held-back half is at least
-``PRECISION``; a candidate above it that overlaps no base span is added.
+failing matches. Boosted trees, one model a kind, score each candidate from its format and the words before it. Base
+spans are positives; so is a candidate beside them that has evidence of its own (``evidence``): an address that is valid
+once its signs are written out, a card number by Luhn's check in card notation or after a clue word, 8 to 15 digits after
+a clue word that are no date, four numbers to 255 after a clue word. Candidates that cut a base span are not learnt from.
+A model learns on at most about ``TRAINING_CANDIDATES`` candidates (a documented bound, drawn by hash, in equal parts of
+base spans, candidates with evidence and candidates without, which weigh the same). The redaction threshold of a kind is
+the lowest score whose precision is at least ``PRECISION`` over all its candidates that overlap no base span, those
+learnt from included; all of these at or above it are added.
 
 Spans are start and end in code points, end exclusive. Matching is one pass a pattern over the whole text; texts
 without the characters that a pattern needs are skipped.
 
-Defined results: null and empty texts have no span; repeated rows get a result each; without candidates of both
-labels nothing is added; an empty table gives an empty result; other columns are not read.
+Defined results: null and empty texts have no span; repeated rows get a result each; to a kind of which no candidate
+beside the base spans has evidence nothing is added; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -46,6 +52,13 @@ GENERATORS = {
 }
 GENERATOR_NEEDS = {"digits": r"[0-9]{7}|[0-9][\x20()./-]{1,2}[0-9]", "spelled": r"[\[(]at[\])]"}
 CLUES = {"call": "phone", "tel": "phone", "mail": "email", "card": "card", "visa": "card", "server": "ip", "host": "ip"}
+#: Clue words as whole words, in the languages of the corpus.
+CLUE_WORDS = {
+    "phone": r"call|tel|telephone|phone|mobile|cell|fax|dial|sms|whatsapp|telefon|tel[eé]fono|t[eé]l[eé]phone|t[eé]l|handy|mobil|m[oó]vil|portable|ruf|anruf|llama|appelez",
+    "card": r"card|visa|mastercard|amex|credit|debit|karte|kreditkarte|carte|tarjeta",
+    "ip": r"server|host|ip|address|serveur|servidor|adresse",
+}
+DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-]{1,2}[0-9]{1,2}[ ./-]{1,2}[0-9]{1,2}|[0-9]{1,2}[ ./-]{1,2}[0-9]{1,2}[ ./-]{1,2}(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[ ./-]{1,2}(?:19|20)[0-9]{2})$"
 
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
@@ -106,11 +119,28 @@ def scan(documents: DataFrame) -> DataFrame:
     return raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[base[k].alias(k) for k in KINDS], F.filter(every, lambda c: F.length(c["value"]) >= 6).alias("candidates"))
 
 
-FEATURES = ["length", "digits", "groups", "longest", "dots", "dashes", "spaces", "plus", "paren", "at", "luhn_ok", "small_parts", "glued_before", "glued_after", *[f"clue_{c}" for c in CLUES]]
+FEATURES = [
+    "length", "digits", "groups", "longest", "dots", "dashes", "spaces", "plus", "paren", "at", "luhn_ok", "small_parts", "glued_before", "glued_after", *[f"clue_{c}" for c in CLUES],
+    "address", "date", "card_notation", *[f"word_{k}" for k in CLUE_WORDS],
+]
+
+
+def address(value: Column) -> Column:
+    """Whether ``value``, its signs written out, is a mail address under a top-level name of letters."""
+    plain = F.regexp_replace(F.regexp_replace(value, r"\x20?[\[(]at[\])]\x20?", "@"), r"\x20?[\[(]dot[\])]\x20?", ".")
+    return plain.rlike(r"^[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+$")
+
+
+def evidence(kind: Column, f: dict[str, Column]) -> Column:
+    """Whether format and context say that a candidate is personal data, whatever the base patterns found."""
+    card = f["luhn_ok"] & ((f["digits"].between(16, 19) & f["card_notation"]) | (f["digits"].between(13, 19) & f["word_card"]))
+    phone = f["digits"].between(8, 15) & f["word_phone"] & ~f["date"] & ~f["glued_before"] & ~f["glued_after"]
+    ip = (f["groups"] == 4) & (f["dots"] == 3) & f["small_parts"] & f["word_ip"] & ~f["glued_before"] & ~f["glued_after"]
+    return F.when(kind == "email", f["address"]).when(kind == "card", card).when(kind == "phone", phone).otherwise(ip)
 
 
 def featured(scanned: DataFrame) -> DataFrame:
-    """One row for each candidate: row, kind, start, stop, label, features."""
+    """One row for each candidate: row, kind, start, stop, label, whether it is a base span of its kind, whether it overlaps one of any, features."""
     c = scanned.select("row", *KINDS, F.explode("candidates").alias("c")).select("row", *KINDS, "c.*")
     digits = F.regexp_replace("value", "[^0-9]", "")
     groups = F.filter(F.split("value", "[^0-9]+"), lambda x: x != "")
@@ -121,39 +151,57 @@ def featured(scanned: DataFrame) -> DataFrame:
         "plus": F.col("value").startswith("+"), "paren": F.col("value").contains("("), "at": F.col("value").rlike("@|[\\[(]at"),
         "luhn_ok": F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(F.lit(False)), "small_parts": F.forall(groups, lambda g: (F.length(g) <= 3) & (F.substring(g, 1, 3).cast("int") <= 255)),
         "glued_before": F.col("context").rlike(r"[\p{L}\p{N}+]$"), "glued_after": F.col("after").rlike(r"^[\p{L}\p{N}]"),
-    } | {f"clue_{w}": F.col("context").contains(w) for w in CLUES}
-    # what a candidate would be: by its signs and the number of its digits
+    } | {f"clue_{w}": F.col("context").contains(w) for w in CLUES} | {
+        "address": address(F.col("value")), "date": F.col("value").rlike(DATE), "card_notation": F.col("value").rlike(r"^[0-9]{4}(?:[^0-9]{1,2}[0-9]{4})*+(?:[^0-9]{1,2}[0-9]{1,4})?$"),
+    } | {f"word_{k}": F.col("context").rlike(rf"(?<!\p{{L}})(?:{w})(?!\p{{L}})") for k, w in CLUE_WORDS.items()}
+    dotted = (F.size(groups) == 4) & (many(".") == 3)
+    # what a candidate would be: by its signs, the number of its digits and the words before it
     kind = (
         F.when(F.col("source").isin(*KINDS), F.col("source")).when(F.col("source") == "spelled", "email")
-        .when((F.length(digits) >= 13), "card").when((F.size(groups) == 4) & (many(".") == 3), "ip").otherwise("phone")
+        .when(numbers["word_phone"] & F.length(digits).between(8, 15) & ~(dotted & numbers["small_parts"]), "phone")
+        .when((F.length(digits) >= 13), "card").when(dotted, "ip").otherwise("phone")
     )
-    same = F.exists(base, lambda b: (b["start"] == F.col("start")) & (b["stop"] == F.col("stop")))
+    at = lambda b: (b["start"] == F.col("start")) & (b["stop"] == F.col("stop"))
     overlaps = F.exists(base, lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"]))
-    out = c.select("row", kind.alias("kind"), "start", "stop", same.cast("double").alias("label"), overlaps.alias("overlaps"), *[v.cast("double").alias(k) for k, v in numbers.items()])
+    out = c.select("row", kind.alias("kind"), "start", "stop", *KINDS, overlaps.alias("overlaps"), *[v.alias(k) for k, v in numbers.items()])
+    same = F.coalesce(*[F.when(F.col("kind") == k, F.exists(k, at)) for k in KINDS])
+    label = same | evidence(F.col("kind"), {k: F.col(k) for k in numbers})
+    out = out.select("row", "kind", "start", "stop", label.cast("double").alias("label"), same.alias("same"), "overlaps", *[F.col(k).cast("double").alias(k) for k in numbers])
     return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(out)
 
 
+def taught(candidates: DataFrame, kind: str, strata: dict[tuple[bool, float], int]) -> DataFrame:
+    """(row, kind, start, stop, label, score) of the candidates of ``kind`` that overlap no base span; ``strata``: how many there are by same and label."""
+    own = candidates.where(F.col("kind") == kind)
+    bound = TRAINING_CANDIDATES / len(strata)
+    draw = F.pmod(F.xxhash64("row", "start", "stop", "kind"), F.lit(1 << 30)) / F.lit(1 << 30)
+    share = weight = F.lit(None).cast("double")
+    for (same, label), n in strata.items():
+        here = (F.col("same") == same) & (F.col("label") == label)
+        share, weight = F.when(here, bound / n).otherwise(share), F.when(here, bound / min(n, bound)).otherwise(weight)
+    sample = stored(own.where(draw < share).select("label", "features", weight.alias("weight")), "pii-sample")
+    trees = GBTClassifier(maxIter=6, maxDepth=3, seed=7, featuresCol="features", labelCol="label", weightCol="weight", cacheNodeIds=False).fit(sample)
+    score = F.round(vector_to_array("probability")[1], 3)
+    return trees.transform(own.where("not overlaps")).select("row", "kind", "start", "stop", "label", score.alias("score"))
+
+
 def added(scanned: DataFrame) -> DataFrame:
     """(row, more): spans that the trees add, as sorted kind:start:end strings' parts."""
     spark = scanned.sparkSession
-    nothing = spark.createDataFrame([], "row long, more array<struct<kind:string,start:int,stop:int>>")
-    candidates = featured(scanned)
-    n = candidates.count()
-    draw = F.pmod(F.xxhash64("row", "start", "stop", "kind"), F.lit(1 << 30)) / F.lit(1 << 30)
-    part = F.pmod(F.xxhash64("row", "start", F.lit(3)), F.lit(2))
-    sample = stored(candidates.where(draw < min(1.0, 2 * TRAINING_CANDIDATES / max(n, 1))).select("label", "features", part.alias("part")), "pii-sample")
-    labels = {(r["part"], r["label"]) for r in sample.groupBy("part", "label").count().collect()}
-    if len(labels) < 4:
-        return nothing
-    trees = GBTClassifier(maxIter=6, maxDepth=3, seed=7, featuresCol="features", labelCol="label", cacheNodeIds=False).fit(sample.where("part = 0"))
-    score = lambda df: trees.transform(df).withColumn("score", F.round(vector_to_array("probability")[1], 3))
-    # precision of all held-back candidates at or above each of at most 1001 scores
-    held = score(sample.where("part = 1")).groupBy("score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
-    above = held.select("score", F.expr("sum(good) over (order by score desc) / sum(n) over (order by score desc)").alias("precision"))
-    threshold = above.where(F.col("precision") >= PRECISION).agg(F.min("score")).first()[0]
-    if threshold is None:
-        return nothing
-    chosen = score(candidates.where("not overlaps")).where(F.col("score") >= threshold)
+    candidates = featured(scanned).where("same or not overlaps")
+    strata: dict[str, dict[tuple[bool, float], int]] = {}
+    for r in candidates.groupBy("kind", "same", "label").count().collect():
+        strata.setdefault(r["kind"], {})[r["same"], r["label"]] = r["count"]
+    # where no candidate beside the base spans has evidence, no score reaches the precision
+    scored = [taught(candidates, kind, strata[kind]) for kind in KINDS if (False, 1.0) in strata.get(kind, {})]
+    if not scored:
+        return spark.createDataFrame([], "row long, more array<struct<kind:string,start:int,stop:int>>")
+    every = stored(functools.reduce(DataFrame.unionByName, scored), "pii-scored")
+    # precision of all candidates at or above each of at most 1001 scores a kind
+    by_score = every.groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+    above = by_score.select("kind", "score", F.expr("sum(good) over (partition by kind order by score desc) / sum(n) over (partition by kind order by score desc)").alias("precision"))
+    thresholds = above.where(F.col("precision") >= PRECISION).groupBy("kind").agg(F.min("score").alias("threshold"))
+    chosen = every.join(F.broadcast(thresholds), "kind").where(F.col("score") >= F.col("threshold"))
     return chosen.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "stop"))).alias("more"))
 
 

@@ -191,3 +191,24 @@ def test_pii(docs, empty):
     got = {r["doc_id"]: r for r in pii.detect(docs).select("doc_id", *[F.transform(k, lambda x: x["value"]).alias(k) for k in pii.KINDS]).collect()}
     assert (got[8]["email"], got[8]["ip"], got[8]["card"], got[8]["phone"]) == (["a.b@c.de"], ["1.2.3.4"], ["4111 1111 1111 1111"], ["+1 (555) 123-4567"])
     assert got[4]["email"] == [] and pii.detect(empty).count() == 0
+
+
+def test_pii_adds_what_the_base_patterns_miss(spark):
+    """A few spelled-out addresses, local phone numbers and cards in other notations among many look-alikes and base spans."""
+    pad = "lorem ipsum dolor sit amet consectetur "
+    planted = [f"{pad}write to jane.doe{i} [at] host{i} [dot] com today" for i in range(3)] + [f"{pad}or to joe{i}(at)mail.example.org" for i in range(3)]
+    planted += [f"{pad}please call 030 1234 56{i}7 soon" for i in range(3)] + [f"{pad}Tel. (0555) 123-45{i}7 ok" for i in range(3)] + [f"{pad}paid by 4111.1111.1111.1111 then" for _ in range(2)]
+    values = [f"jane.doe{i} [at] host{i} [dot] com" for i in range(3)] + [f"joe{i}(at)mail.example.org" for i in range(3)] + [f"030 1234 56{i}7" for i in range(3)] + [f"0555) 123-45{i}7" for i in range(3)] + ["4111.1111.1111.1111"] * 2
+    others = [f"{pad}order 030 1234 5{i:03} shipped, see (at) 10.{i % 60:02}" for i in range(400)] + [f"{pad}recall 2019-2020, call 2024-01-{i % 28 + 1:02}, paid 4111.1111.1111.{1000 + i % 100 * 10 + 2}" for i in range(100)]
+    base = [f"{pad}me{i}@example.org or +49 30 123 45{i:03}, 4111 1111 1111 1111, 10.0.0.{i % 255}" for i in range(200)]
+    rows = [(i, x) for i, x in enumerate(planted + others + base)]
+    got = {r["doc_id"]: r["more"] or [] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kinds = ["email"] * 6 + ["phone"] * 6 + ["card"] * 2
+    for i, (kind, value) in enumerate(zip(kinds, values, strict=True)):
+        start = planted[i].index(value)
+        assert [tuple(m) for m in got[i]] == [(kind, start, start + len(value))], planted[i]
+    luhn_by_chance = {i for i, x in rows if "paid 4111." in x and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(x[-19:].replace(".", "")))) % 10 == 0}
+    assert {i for i, m in got.items() if m and i >= len(planted)} <= luhn_by_chance
+    # the same without look-alikes, where all candidates have evidence
+    alone = {r["doc_id"]: len(r["more"] or []) for r in pii.detect(spark.createDataFrame(rows[:14], "doc_id long, text string")).collect()}
+    assert alone == dict.fromkeys(range(14), 1)
