@@ -2,8 +2,10 @@
 
 List rules come first: (action, host, path), a rule fits its host and all subdomains when the url's path starts with
 its path, the longest wins. What no list rule decides is judged by mined rules: Spark's FP-growth mines combinations
-of url tokens that go with the label *block* on labelled pages; rules below ``MIN_SUPPORT`` or ``MIN_CONFIDENCE`` are
-pruned. Matching goes through an inverted index: every rule is listed under its rarest token (by counts over all
+of url tokens, of any size, that go with the label *block* on labelled pages. Rules below ``MIN_CONFIDENCE`` are pruned,
+and those that hold on fewer pages than both ``MIN_PAGES`` and the share ``MIN_SUPPORT`` of the labelled pages. Of the rest
+only rules go that have one token more than a rule of at least their confidence: that one fits wherever they do. A token
+with digits counts as it is and with each run of digits as one #. Matching goes through an inverted index: every rule is listed under its rarest token (by counts over all
 urls), urls look up their tokens there, and the candidates' other tokens are checked. Urls are judged once each.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no tokens, and is allowed; repeated
@@ -21,7 +23,7 @@ from .common import ascii_lower, stored, table
 
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-MAX_TOKENS = 4
+MIN_PAGES = 10
 
 #: The rule list of the query.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -45,27 +47,38 @@ def list_rule(rules: list[tuple[str, str, str]], host: Column, path: Column) ->
 
 
 def url_tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of a url: host labels, path segments, query keys; digits are written as one #."""
+    """Distinct tokens of a url: host labels, path segments, query keys; those of host and path also with digits written as one #."""
     plain = lambda c: F.regexp_replace(c, r"[0-9]+", "#")
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     parts = F.concat(
-        F.transform(F.split(plain(host), r"\."), lambda x: F.concat(F.lit("host:"), x)),
-        F.transform(F.split(plain(path), "/"), lambda x: F.concat(F.lit("path:"), x)),
+        *[F.transform(F.split(c, r"\."), lambda x: F.concat(F.lit("host:"), x)) for c in (host, plain(host))],
+        *[F.transform(F.split(c, "/"), lambda x: F.concat(F.lit("path:"), x)) for c in (path, plain(path))],
         F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("query:"), F.regexp_extract(x, "^[^=]*", 0))),
     )
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: ~x.endswith(":"))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def needed_only(rules: DataFrame) -> DataFrame:
+    """``rules`` without those that one token less makes a rule of at least the same confidence."""
+    less = rules.select("rule_id", "confidence", F.explode("antecedent").alias("token"), "antecedent").where(F.size("antecedent") > 1).select("rule_id", "confidence", F.array_remove("antecedent", F.col("token")).alias("less"))
+    parts = rules.select(F.col("antecedent").alias("less"), F.col("confidence").alias("reached"))
+    spare = less.join(parts, "less").where("reached >= confidence").select("rule_id").distinct()
+    return rules.join(spare, "rule_id", "left_anti")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(rule_id, antecedent, confidence, support) from (tokens, blocked) rows."""
     spark = labelled.sparkSession
     items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens"))
     baskets = stored(labelled.where(F.size("tokens") > 0).select(items.alias("items")), "url-baskets")
-    if not baskets.limit(1).count():
+    n = baskets.count()
+    if not n:
         return spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    found = found.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= MAX_TOKENS))
-    return stored(found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "url-rules")
+    # half a page less, so that rounding doesn't ask for one more
+    support = min(min_support, (min_pages - 0.5) / n)
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets).associationRules
+    found = stored(found.where(F.array_contains("consequent", BLOCK)).select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "url-rules-found")
+    return stored(needed_only(found), "url-rules")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

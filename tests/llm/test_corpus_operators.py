@@ -212,3 +212,31 @@ def test_pii_adds_what_the_base_patterns_miss(spark):
     # the same without look-alikes, where all candidates have evidence
     alone = {r["doc_id"]: len(r["more"] or []) for r in pii.detect(spark.createDataFrame(rows[:14], "doc_id long, text string")).collect()}
     assert alone == dict.fromkeys(range(14), 1)
+
+
+def test_url_filter_mines_rules_of_any_size_digits_and_age(spark):
+    def verdicts(labelled, asked):
+        urls = [u for u, _ in labelled] + asked
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(labelled)], "page_id long, blocked boolean")
+        got = {r["page_id"]: r for r in url_filter.judge(pages, labels, []).collect()}
+        return [got[len(labelled) + i] for i in range(len(asked))]
+
+    # blocked only where all five tokens meet: any four of them are as often good
+    five = ["aa", "bb", "cc", "dd", "ee"]
+    url = lambda t: "http://{}.{}.{}/{}?{}=1".format(*t)
+    four = [five[:i] + ["zz"] + five[i + 1 :] for i in range(5)]
+    got = verdicts([(url(five), True)] * 20 + [(url(f), False) for f in four for _ in range(20)], [url(five).replace("=1", "=2"), url(four[0]).replace("=1", "=2")])
+    assert [r["verdict"] for r in got] == ["block", "allow"] and got[0]["confidence"] == 1.0 and len(got[0]["mined_rule"].split()) == 5
+    # hosts that differ by a number only
+    got = verdicts([(f"http://spam{1 + i % 2}.org/read/{i}", i % 2 == 0) for i in range(40)], ["http://spam1.org/read/x", "http://spam2.org/read/x"])
+    assert [(r["verdict"], r["mined_rule"]) for r in got] == [("block", "host:spam1"), ("allow", None)]
+    # a host of 12 labelled pages stays a rule as the table grows
+    got = verdicts([(f"http://rare.org/read/{i}", True) for i in range(12)] + [(f"http://good.org/read/{i}", False) for i in range(4000)], ["http://rare.org/read/x", "http://good.org/read/x"])
+    assert [(r["verdict"], r["mined_rule"]) for r in got] == [("block", "host:rare"), ("allow", None)]
+
+
+def test_url_filter_drops_only_rules_that_a_part_of_them_covers(spark):
+    rows = [(1, ["a"], 0.9), (2, ["a", "b"], 0.9), (3, ["a", "c"], 0.95), (4, ["b", "d"], 0.8), (5, ["a", "b", "d"], 0.85)]
+    rules = spark.createDataFrame(rows, "rule_id long, antecedent array<string>, confidence double")
+    assert {r["rule_id"] for r in url_filter.needed_only(rules).collect()} == {1, 3, 4}
