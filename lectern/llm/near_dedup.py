@@ -3,7 +3,8 @@
 A document is its set of word shingles. ``BANDS`` x ``ROWS`` MinHash values give banded buckets (at a similarity of
 0.8 a pair misses all of them with probability 3e-6); the same values are folded into a parity bitmap (odd sketch),
 whose XOR population count estimates high similarities; candidates at or above ``ESTIMATE`` (4.7 standard deviations
-below 0.8) are confirmed on the full sets.
+below 0.8) are confirmed on the full sets. For another ``percent`` of 50 to 100 the rows of a band and the estimate that
+rules out are derived, so that neither loses a larger share of pairs than at 80.
 
 Documents with equal sets are one class from the start. Within a bucket no pairs are listed: each round compares every
 member with one pivot of its bucket (first the member that shares most buckets, then members picked by hash), merges
@@ -35,7 +36,9 @@ from .components import components
 
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
-ESTIMATE = 0.65
+#: Estimated similarity below which sketches rule a pair out, and the percent that it and the bands are meant for; the
+#: smallest percent covered, below which whole bitmaps of a pair can lie more than one folding apart.
+ESTIMATE, PERCENT, LEAST_PERCENT = 0.65, 80, 50
 PIVOT_ROUNDS = 3
 BLOCK = 256
 #: Words remembered by a worker, and shingles that are hashed together.
@@ -84,10 +87,28 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def buckets(values: np.ndarray) -> np.ndarray:
-    rows = values.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
+def band_rows(percent: int) -> int:
+    """The most rows a band, up to ``ROWS``, by which a pair at ``percent`` is missed no likelier than one at ``PERCENT`` by the usual bands."""
+    missed = lambda p, r: (1 - (p / 100) ** r) ** (BANDS * ROWS // r)
+    return next(r for r in range(ROWS, 0, -1) if missed(percent, r) <= missed(PERCENT, ROWS) or r == 1)
+
+
+def least_estimate(percent: int) -> float:
+    """The estimate that rules out: as many standard errors below ``percent`` as ``ESTIMATE`` is below ``PERCENT``, and no higher than it."""
+
+    def error(p: int) -> float:
+        odd = 2 * BANDS * ROWS * (1 - p / 100)  # samples that differ
+        sketch = SKETCH_BITS / 4 * np.expm1(4 * odd / SKETCH_BITS) - odd
+        return float(np.sqrt(p / 100 * (1 - p / 100) / (BANDS * ROWS) + sketch / (2 * BANDS * ROWS) ** 2))
+
+    return min(ESTIMATE, percent / 100 - (PERCENT / 100 - ESTIMATE) * error(percent) / error(PERCENT))
+
+
+def buckets(values: np.ndarray, each: int = ROWS) -> np.ndarray:
+    bands = len(values) // each
+    rows = values[: bands * each].reshape(bands, each).astype(np.uint64)
+    out = np.arange(bands, dtype=np.uint64)
+    for k in range(each):
         out = mixed(out * K1 + rows[:, k])
     return out.view(np.int64)
 
@@ -117,7 +138,7 @@ def folded(bitmap: bytes, size: int) -> np.ndarray:
     return words
 
 
-def features(docs: DataFrame, width: int) -> DataFrame:
+def features(docs: DataFrame, width: int, each: int = ROWS) -> DataFrame:
     names = ["doc_id", "n", "digest", "sketch", "bands", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +150,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                     for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                         own = shingle_set(text, width)
                         low = minima(own)
-                        rows.append((key, len(own), xxhash.xxh3_128_digest(own.tobytes()), odd_sketch(low), buckets(low), whole_bitmap(own)))
+                        rows.append((key, len(own), xxhash.xxh3_128_digest(own.tobytes()), odd_sketch(low), buckets(low, each), whole_bitmap(own)))
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()))], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, bands array<long>, bitmap binary")
@@ -151,14 +172,14 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) ->
     return own.mapInArrow(run, "node long, hashes binary")
 
 
-def close_enough() -> Column:
+def close_enough(percent: int) -> Column:
     """Sizes that allow the similarity, and sketches that make it likely; for columns n_a, n_b, sketch_a, sketch_b."""
     bits = F.lit(0)
     for i in range(SKETCH_BITS // 64):
         part = lambda c: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")  # noqa: B023, E731
         bits = bits + F.bit_count(part("sketch_a").bitwiseXOR(part("sketch_b")))
-    most = int(SKETCH_BITS / 2 * (1 - np.exp((ESTIMATE - 1) * 4 * BANDS * ROWS / SKETCH_BITS)))
-    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 80) & (bits <= most)
+    most = int(SKETCH_BITS / 2 * (1 - np.exp((least_estimate(percent) - 1) * 4 * BANDS * ROWS / SKETCH_BITS)))
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (bits <= most)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +221,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def side(name: str, *columns: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where(close_enough()).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"))
+    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where(close_enough(percent)).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"))
     both = near.join(side("a", "bitmap"), "a").join(side("b", "bitmap"), "b")
     return both.select("a", "b", "total", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long")
 
@@ -214,6 +235,8 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataF
     dealt = placed.select("bucket", "node", "comp", "n", "sketch", "bitmap", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
 
+    least = least_estimate(percent)
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
         node, comp, n, block = (group.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
         bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
@@ -226,7 +249,7 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataF
         for i in left:
             rest = right[comp[right] != comp[i]]
             rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent]
-            rest = rest[estimated(np.bitwise_count(bits[rest] ^ bits[i]).sum(1)) >= ESTIMATE]
+            rest = rest[estimated(np.bitwise_count(bits[rest] ^ bits[i]).sum(1)) >= least]
             for z in {*np.minimum(sizes[rest], sizes[i]).tolist()}:
                 some = rest[np.minimum(sizes[rest], sizes[i]) == z]
                 differ = np.bitwise_count(at_size[z][some] ^ at_size[z][i]).sum(1, dtype=np.int64)
@@ -238,9 +261,11 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataF
     return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
-    found = stored(features(docs, width), "near-features")
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text); ``percent`` from ``LEAST_PERCENT`` to 100."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100: {percent}")
+    found = stored(features(docs, width, band_rows(percent)), "near-features")
     classes = stored(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "near-classes")
     first = F.first
     nodes = (
@@ -249,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = stored(nodes, "near-nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    weight = F.sum("size").over(Window.partitionBy("node"))  # a node has at most BANDS rows
+    weight = F.sum("size").over(Window.partitionBy("node"))  # a node has one row a band, at most BANDS * ROWS
     members = stored(rows.join(shared, "bucket").select("bucket", "node", F.col("node").alias("comp"), weight.alias("weight")), "near-members")
     repeated = bool(found.groupBy("doc_id").count().where("count > 1").limit(1).count())
     sets, links = None, []
@@ -294,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def representatives(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest doc_id."""
     gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -240,3 +240,23 @@ def test_url_filter_drops_only_rules_that_a_part_of_them_covers(spark):
     rows = [(1, ["a"], 0.9), (2, ["a", "b"], 0.9), (3, ["a", "c"], 0.95), (4, ["b", "d"], 0.8), (5, ["a", "b", "d"], 0.85)]
     rules = spark.createDataFrame(rows, "rule_id long, antecedent array<string>, confidence double")
     assert {r["rule_id"] for r in url_filter.needed_only(rules).collect()} == {1, 3, 4}
+
+
+def test_near_duplicates_of_other_percents(spark):
+    """Pairs from 0.7 to 0.75 with sizes a fifth to three tenths apart or equal: all are found at 70, none at 80."""
+    rows, near = [], []
+    for i in range(120):
+        words = [f"w{i}x{k}" for k in range(200)]
+        cut = 200 - 51 - i % 5  # a part of 145 to 149 words
+        swap = words[: 200 - 30 - i % 3] + [f"v{i}x{k}" for k in range(30 + i % 3)]  # as long, 0.73 or more
+        near.append(swap if i % 2 else words[:cut])
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near[-1]))]
+        whole = set(words)
+        assert 0.7 <= len(whole & set(near[-1])) / len(whole | set(near[-1])) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent, kept in ((70, 120), (80, 240)):
+        assert near_dedup.near_duplicates(docs, width=1, percent=percent).where("kept").count() == kept
+    for percent in (49, 101):
+        with pytest.raises(ValueError):
+            near_dedup.near_duplicates(docs, percent=percent)
+    assert (near_dedup.band_rows(80), near_dedup.least_estimate(80)) == (5, 0.65)
