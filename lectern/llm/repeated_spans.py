@@ -1,22 +1,27 @@
 """Operator 7: removal of repeated byte strings by distributed prefix doubling.
 
-Positions get ranks (64-bit fingerprints that stand for equal strings) at growing lengths; a position whose string is
-met in one document only is dropped before its rank is paired with the one an offset further on.
-
-* Copies of whole documents are found by their digests first; they go as a whole and take no further part.
-* Within a task, ranks of 1, 2, 4 ... bytes are paired up to ``half`` = 25 bytes at every position.
-* First exchange. Of the 26 half-length ranks inside each 50-byte string the smallest stands for it; these are dealt
-  to buckets by rank, and those met in two documents go back to the blocks that sent them.
-* Second exchange. Only strings whose representative came back are ranked at 50 bytes, as the pair of the ranks at
-  the position and ``half`` bytes on; past the threshold, the smallest doc_id of each rank goes back.
-
-Every exchange carries each rank once for each block of documents, so strings with very many copies are a few
-entries, and no group holds more than a bucket, whose number grows with the corpus. The documents are stored once,
-as a table bucketed by block, so that no pass shuffles text.
+A string of ``LENGTH`` (50) bytes goes from a document if a document with a smaller doc_id has it. Ranks stand for equal
+strings; Spark sorts (rank, position) rows at growing lengths, and positions whose rank is met in one document only, or
+that are past the threshold, leave. The documents are stored once as a table bucketed by block (about ``BLOCK_BYTES`` of
+text), so that no round shuffles text. Copies of whole documents are found by their digests and take no part.
+
+1. Within a block ranks are doubled from 1 to 25 bytes at every position; neighbours lie in the same document, so this
+   needs no exchange. Of the 26 ranks inside a string the smallest stands for it: equal strings have equal
+   representatives. Neighbouring strings under one representative are a *run*, at most 26 of them.
+2. First sort, 25 bytes: the representatives, one row a block. Those that one document alone has leave.
+3. Second sort, 50 to 75 bytes: each remaining run as a whole, by the ranks at its start, 25 bytes on and 25 bytes
+   before its end. A run that a smaller doc_id has goes as a whole; where a representative has one run only, all is
+   settled.
+4. Third sort, 50 bytes: of the others the first holder of each run sends its bytes; the strings in it are sorted and
+   compared as they are.
+
+Rows are combined within their block before every sort, so a string in a third of all documents is a row a block; a
+representative met in more than ``HOT`` blocks is dealt by its runs and strings instead of by itself. In the second sort
+equality rests on 192 bits, in the third on bytes.
 
 Defined results: null text is the empty text; rows that share a doc_id do not remove each other's bytes; a null doc_id
 counts as larger than any other; texts under 50 bytes keep everything; an empty table gives an empty result; very long
-texts are ranked in pieces; other columns are not read.
+texts are ranked in pieces, and are a block of their own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,14 +34,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored, table, text_or_empty
+from .common import discard, shared_folder, stored, table, text_or_empty
 
 LENGTH = 50
-#: Bytes of text in a block, bytes ranked together, and bytes of text for each bucket of ranks (of which it gets a part).
-BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 8 << 20
+#: Bytes of text in a block, bytes that are ranked together, blocks from which on a representative is dealt by its runs.
+BLOCK_BYTES, PIECE_BYTES, HOT = 8 << 20, 1 << 20, 256
 LAST = (1 << 63) - 1
 
 BASE = 0x9E3779B97F4A7C15
@@ -75,229 +80,275 @@ def smallest(rank: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - (width - have)], low[width - have :]) if width > have else low
 
 
-def pieces(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first position, representative of each string, ranks at half length) for up to PIECE_BYTES positions at a time."""
-    half, n = length // 2, len(data) - length + 1
-    whole = np.frombuffer(data, np.uint8)
-    for i in range(0, max(n, 0), PIECE_BYTES):
-        part = whole[i : i + PIECE_BYTES + length - 1]
-        rank = doubled(part, half)
-        yield i, smallest(rank, length - half + 1), rank
-
-
-def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    return values[start], np.diff(np.r_[start, len(values)])
-
-
-def documents_of(group: pa.Table, back: pa.Table) -> list[tuple[int, bytes, bool]]:
-    """(doc_id, text, whether it is a copy of a smaller doc_id's text) in ascending order of doc_id."""
-    copies = back.filter(pc.equal(back.column("kind"), "copy"))
-    copies = {*zip(copies.column("ranks").to_pylist(), copies.column("keys").to_pylist())}
-    ids = group.column("doc_id").to_pylist()
-    keys = np.array([LAST if k is None else k for k in ids], np.int64)
-    texts, digests = group.column("text"), group.column("digest").to_pylist()
+class Block:
+    """The documents of a block one after another in ascending order of doc_id, and the runs of their strings."""
+
+    def __init__(self, group: pa.Table, back: pa.Table, length: int) -> None:
+        self.length = length
+        self.row = group.column("row").to_numpy()
+        self.null = np.array(group.column("doc_id").is_null())
+        key = group.column("doc_id").fill_null(LAST).to_numpy()
+        order = np.argsort(key, kind="stable")
+        self.key, self.row, self.null = key[order], self.row[order], self.null[order]
+        text = pa.concat_arrays([c.cast(pa.large_binary()) for c in group.column("text").chunks]) if group.num_rows else pa.array([], pa.large_binary())
+        text = text.take(pa.array(order))
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        self.data = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+        self.start, self.stop = ends[:-1] - ends[0], ends[1:] - ends[0]
+        self.copy = np.isin(self.row, of_kind(back, "copy")[0])
+
+    def runs(self) -> dict[str, np.ndarray]:
+        """rank (of the representative), at, n, doc, e1, e2 of every run, in the order of the text."""
+        half, size = self.length // 2, len(self.data)
+        # strings that start in the last bytes of a document, or in a copy, do not count
+        counts = np.where(self.copy, 0, np.maximum(self.stop - self.start - self.length + 1, 0))
+        step = np.zeros(size + 1, np.int8)
+        some = counts > 0
+        np.add.at(step, self.start[some], 1)
+        np.add.at(step, (self.start + counts)[some], -1)
+        inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        found: dict[str, list] = {k: [] for k in ("rank", "at", "n", "e1", "e2")}
+        with np.errstate(over="ignore"):
+            for i in range(0, max(size - self.length + 1, 0), PIECE_BYTES):
+                part = self.data[i : i + PIECE_BYTES + self.length - 1]
+                rank = doubled(part, half)
+                low = smallest(rank, self.length - half + 1)
+                here = inside[i : i + len(low)]
+                change = np.r_[True, (low[1:] != low[:-1]) | (here[1:] != here[:-1])]
+                at = np.flatnonzero(change)
+                n = np.diff(np.r_[at, len(low)])
+                at, n = at[here[at]], n[here[at]]
+                most = self.length - half + 1
+                if len(n) and n.max() > most:  # a period shorter than the width
+                    times = -(-n // most)
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    at, n = np.repeat(at, times) + most * nth, np.minimum(np.repeat(n, times) - most * nth, most)
+                pair = mixed(rank[at] * np.uint64(BASE) + rank[at + half])
+                end = rank[at + n - 1 + self.length - half] + n.astype(np.uint64)
+                found["rank"].append(low[at])
+                found["at"].append(at + i)
+                found["n"].append(n)
+                found["e1"].append(mixed(pair * M1 + end))
+                found["e2"].append(mixed((pair ^ (end * M2)) * np.uint64(BASE) + end))
+        out = {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k in ("rank", "e1", "e2") else np.int64) for k, v in found.items()}
+        out["doc"] = np.searchsorted(self.stop, out["at"], side="right")
+        return out
+
+
+def chosen(runs: dict[str, np.ndarray], some: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: v[some] for k, v in runs.items()}
+
+
+def firsts(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each value (in the order of the text), and whether another document has it too."""
+    order = np.argsort(values, kind="stable")
+    ordered, docs = values[order], doc[order]
+    start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(values) else np.zeros(0, np.int64)
+    last = np.r_[start[1:], len(values)] - 1
+    places, many = order[start], docs[last] != docs[start] if len(values) else np.zeros(0, bool)
+    back = np.argsort(places)
+    return places[back], many[back]
+
+
+def of_kind(back: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The two values of the rows of a kind."""
+    some = back.filter(pc.equal(back.column("kind"), kind))
+    return some.column("a").to_numpy(), some.column("b").to_numpy()
+
+
+def looked_up(values: np.ndarray, keys: np.ndarray, told: np.ndarray, none: int) -> np.ndarray:
+    """What is told of each value (as unsigned ranks against signed keys), ``none`` where it is not among the keys."""
+    if not len(keys):
+        return np.full(len(values), none, np.int64)
     order = np.argsort(keys, kind="stable")
-    return [(int(keys[i]), texts[int(i)].as_buffer().to_pybytes(), (digests[i], b"" if ids[i] is None else b"%d" % ids[i]) in copies) for i in order]
-
-
-def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
-def dealt(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted ranks: the bucket borders (ranks are dealt by range), as places into ``values``."""
-    borders = (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1].astype(np.uint64)
-    cuts = np.r_[0, np.searchsorted(values, borders), len(values)]
-    filled = np.flatnonzero(np.diff(cuts))
-    return filled, cuts
-
-
-def gathered(blobs: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(b.as_buffer(), kind) for b in blobs]
-    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-
-
-def packed_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
-    """The distinct ids, and for each entry the place of its id among them."""
-    keys, places = np.unique(ids, return_inverse=True)
-    return keys.astype("<i8").tobytes(), places.astype("<u2" if len(keys) <= 1 << 16 else "<u4").tobytes()
-
+    keys, told = keys[order], told[order]
+    values = values.view(np.int64)
+    place = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return np.where(keys[place] == values, told[place], none)
 
-def unpacked_ids(keys: bytes, places: bytes) -> np.ndarray:
-    known = np.frombuffer(keys, "<i8")
-    return known[np.frombuffer(places, "<u2" if len(known) <= 1 << 16 else "<u4")]
 
+def signed(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64))
 
-def candidates(docs: list[tuple[int, bytes, bool]], length: int, back: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(document, doc_id, positions, 50-byte ranks) of the strings whose representative came back."""
-    half = length // 2
-    for i, (key, data, copy) in enumerate(docs):
-        for first, low, rank in pieces(b"" if copy else data, length):
-            heads, sizes = runs(low)
-            at = np.flatnonzero(np.repeat(member(heads, back), sizes))
-            pair = rank[at] * np.uint64(pow(BASE, half, 1 << 64)) + rank[at + length - half]
-            yield i, key, at + first, mixed(pair + np.uint64(length))
 
-
-def smallest_ids(found: list[tuple[int, int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct ranks, and the smallest and largest doc_id that has each (documents come in ascending order)."""
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ranks = np.concatenate([r for *_, r in found])
-    keys = np.concatenate([np.full(len(r), k, np.int64) for _, k, _, r in found])
-    order = np.argsort(ranks, kind="stable")
-    ranks, keys = ranks[order], keys[order]
-    start = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else np.zeros(0, np.int64)
-    return ranks[start], keys[start], keys[np.r_[start[1:], len(ranks)] - 1] if len(ranks) else keys
+BACK = "block long, kind string, a long, b long"
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the bytes that stay) for each row of ``docs``."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, used = TaskContext.get().partitionId() << 24, 0
+        block, used, row = TaskContext.get().partitionId() << 28, 0, 0
         for batch in batches:
-            numbers, digests = [], []
+            blocks, rows, digests = [], [], []
             for text in batch.column(1):
                 data = text.as_buffer()
-                if used > BLOCK_BYTES:
-                    block, used = block + 1, 0
-                used += data.size
-                numbers.append(block)
+                if used and used + data.size > BLOCK_BYTES or row == 1 << 20:
+                    block, used, row = block + 1, 0, 0
+                blocks.append(block)
+                rows.append((block << 20) + row)
+                used, row = used + data.size, row + 1
                 digests.append(xxhash.xxh3_128_digest(data))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns, pa.array(digests, pa.binary())], ["block", "doc_id", "text", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(rows, pa.int64()), *batch.columns, pa.array(digests, pa.binary())], ["block", "row", "doc_id", "text", "digest"])
 
+    # a table of its own, as only tables have buckets; more blocks than Spark allows buckets share them
     name = f"lectern_spans_{uuid.uuid4().hex}"
-    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(number, "block long, doc_id long, text string, digest binary")
-    own.write.option("compression", "zstd").bucketBy(int(min(blocks, 100_000)), "block").saveAsTable(name)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    path = f"{shared_folder(spark)}/{name}"
+    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(number, "block long, row long, doc_id long, text string, digest binary")
+    own.write.option("compression", "zstd").option("path", path).bucketBy(min(max(1, -(-size // BLOCK_BYTES)), most), "block").saveAsTable(name)
     try:
-        return _measured(spark, name, length, buckets, texts)
+        out = _measured(spark.table(name), length, texts)
+        discard(spark.table(name))
+        return out
     finally:
         spark.sql(f"DROP TABLE {name}")
 
 
-BLOB = [("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.string()), ("ranks", pa.binary()), ("keys", pa.binary()), ("ids", pa.binary())]
-
-
-def as_table(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(BLOB)], [n for n, _ in BLOB])
-
-
-def of_kind(back: pa.Table, kind: str) -> pa.Table:
-    return back.filter(pc.equal(back.column("kind"), kind))
-
-
-def _measured(spark: SparkSession, name: str, length: int, buckets: int, with_texts: bool) -> DataFrame:
-    blob = "bucket int, block long, kind string, ranks binary, keys binary, ids binary"
-
-    def representatives(key: tuple, left: pa.Table, back: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
-            sets = [np.unique(np.concatenate(low)) for _, x, copy in documents_of(left, back) if not copy and (low := [runs(r)[0] for _, r, _ in pieces(x, length)])]
-        values, count = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
-        rows = []
-        for kind, chosen in (("one", count == 1), ("many", count > 1)):
-            some = values[chosen]
-            filled, cuts = dealt(some, buckets)
-            rows += [(int(b), key[0].as_py(), kind, some[cuts[b] : cuts[b + 1]].tobytes(), None, None) for b in filled]
-        return as_table(rows)
-
-    def in_two(key: tuple, group: pa.Table) -> pa.Table:
-        """Of each block's ranks those that another block has too, or that two of its own documents have."""
-        values, owner = gathered(group.column("ranks"), "<u8")
-        many = np.array([k == "many" for k in group.column("kind").to_pylist()])[owner]
-        order = np.argsort(values, kind="stable")
-        heads, sizes = runs(values[order])
-        repeated = (sizes > 1) | np.logical_or.reduceat(many[order], np.cumsum(sizes) - sizes)
-        chosen = np.zeros(len(values), bool)
-        chosen[order] = np.repeat(repeated, sizes)
-        borders = np.searchsorted(owner, np.arange(group.num_rows + 1))
-        rows = []
-        for block, a, b in zip(group.column("block").to_pylist(), borders, borders[1:]):
-            some = values[a:b][chosen[a:b]]
-            if len(some):
-                rows.append((key[0].as_py(), block, "mark", some.tobytes(), None, None))
-        return as_table(rows)
-
-    def found_in(left: pa.Table, back: pa.Table) -> tuple[list, list]:
-        docs, marks = documents_of(left, back), of_kind(back, "mark")
-        if not marks.num_rows:
-            return docs, []
-        with np.errstate(over="ignore"):
-            return docs, list(candidates(docs, length, np.unique(gathered(marks.column("ranks"), "<u8")[0])))
-
-    def strings(key: tuple, left: pa.Table, back: pa.Table) -> pa.Table:
-        ranks, low, _ = smallest_ids(found_in(left, back)[1])
-        filled, cuts = dealt(ranks, buckets)
-        return as_table([(int(b), key[0].as_py(), "low", ranks[cuts[b] : cuts[b + 1]].tobytes(), *packed_ids(low[cuts[b] : cuts[b + 1]])) for b in filled])
-
-    def smaller(key: tuple, group: pa.Table) -> pa.Table:
-        """For each block the ranks that a document before its own first one has, with the smallest doc_id."""
-        values, owner = gathered(group.column("ranks"), "<u8")
-        ids = np.concatenate([unpacked_ids(k, i) for k, i in zip(group.column("keys").to_pylist(), group.column("ids").to_pylist())])
-        order = np.argsort(values, kind="stable")
-        heads, sizes = runs(values[order])
-        least = np.empty(len(values), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(ids[order], np.cumsum(sizes) - sizes), sizes)
-        borders = np.searchsorted(owner, np.arange(group.num_rows + 1))
-        rows = []
-        for block, a, b in zip(group.column("block").to_pylist(), borders, borders[1:]):
-            some = least[a:b] < ids[a:b]
-            if some.any():
-                rows.append((key[0].as_py(), block, "low", values[a:b][some].tobytes(), *packed_ids(least[a:b][some])))
-        return as_table(rows)
-
-    def remove(key: tuple, left: pa.Table, back: pa.Table) -> pa.Table:
-        docs, found = found_in(left, back)
-        ranks, low, _ = smallest_ids(found)
-        more = of_kind(back, "low")
-        for values, keys, ids in zip(*(more.column(c).to_pylist() for c in ("ranks", "keys", "ids"))):
-            at = np.searchsorted(ranks, np.frombuffer(values, "<u8"))
-            low[at] = np.minimum(low[at], unpacked_ids(keys, ids))
-        edges: dict[int, list[np.ndarray]] = {}
-        for i, k, position, rank in found:
-            repeated = position[low[np.searchsorted(ranks, rank)] < k] if len(rank) else position
-            if len(repeated):
-                edges.setdefault(i, []).append(repeated)
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """The rows whose text a smaller doc_id has, to be told to their blocks."""
+    order = F.coalesce("doc_id", F.lit(LAST))
+    first = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = rows.join(first, "digest").where(order > F.col("first"))
+    return copies.select("block", F.lit("copy").alias("kind"), F.col("row").alias("a"), F.lit(0).cast("long").alias("b"))
+
+
+def in_several(heads: DataFrame) -> DataFrame:
+    """Of (rank, tag) rows, where a tag is twice the block plus whether it has several documents of the rank, those to go on with."""
+    same = Window.partitionBy("rank")
+    counted = heads.select("rank", "tag", F.count(F.lit(1)).over(same).alias("n"), F.max(F.col("tag") % 2).over(same).alias("many"))
+    return counted.where("n > 1 or many = 1").select(F.shiftright("tag", 1).alias("block"), F.lit("mark").alias("kind"), F.col("rank").alias("a"), (F.col("n") > HOT).cast("long").alias("b"))
+
+
+def settled(runs: DataFrame) -> DataFrame:
+    """From (rank, salt, e1, e2, tag, low, hot): ``dup`` (e1, smallest doc_id) and ``send`` (e1, hot) rows for the blocks."""
+    dealt = runs.repartition("rank", "salt")
+    one, every = Window.partitionBy("rank", "salt", "e1", "e2"), Window.partitionBy("rank", "salt")
+    least = dealt.withColumn("least", F.min("low").over(one))
+    other = (F.min("e1").over(every) != F.max("e1").over(every)) | (F.min("e2").over(every) != F.max("e2").over(every)) | F.col("hot")
+    told = least.withColumn("several", other)
+    dup = (F.col("least") < F.col("low")) | (F.col("tag") % 2 == 1)
+    send = F.col("several") & (F.col("least") == F.col("low"))
+    none = F.lit(None).cast("struct<kind:string,a:long,b:long>")
+    rows = F.array(
+        F.when(dup, F.struct(F.lit("dup").alias("kind"), F.col("e1").alias("a"), F.col("least").alias("b"))).otherwise(none),
+        F.when(send, F.struct(F.lit("send").alias("kind"), F.col("e1").alias("a"), F.col("hot").cast("long").alias("b"))).otherwise(none),
+    )
+    return told.where(dup | send).select(F.shiftright("tag", 1).alias("block"), F.inline(F.array_compact(rows)))
+
+
+def met_before(sent: DataFrame, length: int) -> DataFrame:
+    """From (rank, block, e1, doc, n, bytes, hot): ``edge`` rows (e1, a bit for each string of the run that a smaller doc_id has)."""
+    strings = lambda df: df.select("rank", "block", "e1", "doc", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("rank", "block", "e1", "doc", "i", F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("string"))
+    bit = F.expr("shiftleft(1L, i)")
+    edge = lambda df: df.groupBy("rank", "block", "e1").agg(F.bit_or(bit).alias("b"))
+    # runs under a rare representative meet by it, and are opened after the exchange
+    cold = strings(sent.where("not hot").repartition("rank"))
+    cold = edge(cold.withColumn("least", F.min("doc").over(Window.partitionBy("rank", "string"))).where("least < doc"))
+    # those under a frequent one meet by string, and only its smallest doc_id does
+    hot = strings(sent.where("hot"))
+    least = hot.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("string", "least")
+    hot = edge(hot.join(least, "string").where("least < doc"))
+    return cold.unionByName(hot).select("block", F.lit("edge").alias("kind"), F.col("e1").alias("a"), "b")
+
+
+def _measured(blocks: DataFrame, length: int, with_texts: bool) -> DataFrame:
+    names = lambda ddl: [x.split()[0] for x in ddl.split(", ")]
+    heads, runs, sent = "rank long, tag long", "rank long, salt long, e1 long, e2 long, tag long, low long, hot boolean", "rank long, block long, e1 long, doc long, n int, bytes binary, hot boolean"
+
+    def first(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
+        own = Block(group, back, length).runs()
+        at, many = firsts(own["rank"], own["doc"])
+        return pa.table([signed(own["rank"][at]), pa.array(2 * key[0].as_py() + many)], names(heads))
+
+    def marked(own: dict[str, np.ndarray], back: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        hot = looked_up(own["rank"], *of_kind(back, "mark"), -1)
+        return chosen(own, hot >= 0), hot[hot >= 0] == 1
+
+    def second(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
+        block = Block(group, back, length)
+        own, hot = marked(block.runs(), back)
+        at, many = firsts(own["e1"] ^ (own["e2"] * M2), block.key[own["doc"]])
+        own, hot = chosen(own, at), hot[at]
+        salt = np.where(hot, own["e1"].view(np.int64), 0)
+        columns = [signed(own["rank"]), pa.array(salt), signed(own["e1"]), signed(own["e2"]), pa.array(2 * key[0].as_py() + many), pa.array(block.key[own["doc"]]), pa.array(hot)]
+        return pa.table(columns, names(runs))
+
+    def third(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
+        if not len(of_kind(back, "send")[0]):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())], names(sent))
+        block = Block(group, back, length)
+        own = block.runs()
+        hot = looked_up(own["e1"], *of_kind(back, "send"), -1)
+        own, hot = chosen(own, hot >= 0), hot[hot >= 0]
+        at, _ = firsts(own["e1"], own["doc"])
+        own, hot = chosen(own, at), hot[at]
+        data = block.data.tobytes()
+        pieces = [data[a : a + n + length - 1] for a, n in zip(own["at"].tolist(), own["n"].tolist())]
+        columns = [signed(own["rank"]), pa.array(np.full(len(at), key[0].as_py())), signed(own["e1"]), pa.array(block.key[own["doc"]]), pa.array(own["n"].astype(np.int32)), pa.array(pieces, pa.binary()), pa.array(hot == 1)]
+        return pa.table(columns, names(sent))
+
+    def remove(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
+        block = Block(group, back, length)
+        own = block.runs() if back.num_rows else chosen(block.runs(), slice(0, 0))
+        least = looked_up(own["e1"], *of_kind(back, "dup"), LAST)
+        goes = least < block.key[own["doc"]]
+        some = chosen(own, goes)
+        step = np.zeros(len(block.data) + 1, np.int32)
+        np.add.at(step, some["at"], 1)
+        np.add.at(step, some["at"] + some["n"] + length - 1, -1)
+        edges = np.where(goes, 0, looked_up(own["e1"], *of_kind(back, "edge"), 0))
+        for bit in range(length - length // 2 + 1):
+            at = own["at"][(edges >> bit & 1) == 1] + bit
+            np.add.at(step, at, 1)
+            np.add.at(step, at + length, -1)
+        gone = np.cumsum(step)[:-1] > 0
         out = []
-        for i, (k, data, copy) in enumerate(docs):
-            gone = np.full(len(data), copy and len(data) >= length)
-            if i in edges:
-                starts = np.concatenate(edges[i])
-                step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, starts, 1)
-                np.add.at(step, starts + length, -1)
-                gone = np.cumsum(step)[:-1] > 0
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0
-            out.append((None if k == LAST else k, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_texts else None))
+        for k, null, a, b, copy in zip(block.key.tolist(), block.null.tolist(), block.start.tolist(), block.stop.tolist(), block.copy.tolist()):
+            here = np.full(b - a, True) if copy and b - a >= length else gone[a:b]
+            kept = block.data[a:b][~here].tobytes()
+            spans = int((here[1:] & ~here[:-1]).sum() + here[0]) if b > a else 0
+            out.append((None if null else k, b - a, int(here.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_texts else None))
         types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
         return pa.table([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(types)], [n for n, _ in types])
 
-    texts, whole = spark.table(name).groupBy("block"), spark.table(name).select("block", "doc_id", "digest")
-    order = F.coalesce("doc_id", F.lit(LAST))
-    first = whole.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    none = F.lit(None).cast("binary")
-    copies = whole.join(first, "digest").where(order > F.col("first")).select(
-        F.lit(None).cast("int").alias("bucket"), "block", F.lit("copy").alias("kind"), F.col("digest").alias("ranks"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary").alias("keys"), none.alias("ids")
-    )
-    copies = stored(copies, "span-copies")
-    marks = stored(copies.unionByName(texts.cogroup(copies.groupBy("block")).applyInArrow(representatives, blob).groupBy("bucket").applyInArrow(in_two, blob)), "span-marks")
-    low = texts.cogroup(marks.groupBy("block")).applyInArrow(strings, blob).groupBy("bucket").applyInArrow(smaller, blob)
-    both = stored(marks.unionByName(low), "span-ranks")
-    result = texts.cogroup(both.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    def told(*parts: DataFrame):
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        return blocks.groupBy("block").cogroup(every.groupBy("block"))
+
+    copies = stored(whole_copies(blocks.select("block", "row", "doc_id", "digest")), "span-copies")
+    marks = stored(in_several(told(copies).applyInArrow(first, heads)), "span-marks")
+    found = stored(settled(told(copies, marks).applyInArrow(second, runs)), "span-runs")
+    discard(marks)
+    sending = found.where("kind = 'send'")
+    edges = stored(met_before(stored(told(copies, sending).applyInArrow(third, sent), "span-sent"), length), "span-edges")
+    result = told(copies, found.where("kind = 'dup'"), edges).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = stored(result, "span-results", compression="zstd")
-    for used in (copies, marks, both):
+    for used in (copies, found, edges):
         discard(used)
     return out
 
 
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT r, doc_id, i, b[i:i + 49] AS s FROM (SELECT r, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50)),
+m AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+h AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM g JOIN m USING (s) WHERE first < doc_id),
+n AS (SELECT r, i, least(50, coalesce(i - p, 50)) AS more, (p IS NULL OR i > p + 50)::INT AS opens, sum((p IS NULL OR i > p + 50)::INT) OVER (PARTITION BY r ORDER BY i) AS span FROM h),
+sp AS (SELECT r, span, min(i) AS a, max(i) + 50 AS z, sum(more) AS len FROM n GROUP BY r, span),
+k AS (SELECT r, lag(z, 1, 1) OVER w AS a, a AS z FROM sp WINDOW w AS (PARTITION BY r ORDER BY span) UNION ALL SELECT r, max(z), 2147483647 FROM sp GROUP BY r),
+kept AS (SELECT r, sha256(unhex(string_agg(CASE WHEN z > a THEN hex(b[a:z - 1]) ELSE '' END, '' ORDER BY a, z))) AS sha FROM k JOIN d USING (r) GROUP BY r),
+t AS (SELECT r, sum(len) AS n_removed, count(*) AS n_spans FROM sp GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(sha, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN kept USING (r)
+"""

@@ -157,9 +157,16 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and got[200] == got[300] == 100
 
 
-def test_repeated_spans(docs, empty, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 256])
+def test_repeated_spans(spark, docs, empty, monkeypatch, hot):
+    """Against brute force; a line with varying neighbours, a text of one character, and pieces smaller than a text too."""
     monkeypatch.setattr(repeated_spans, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr(repeated_spans, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(repeated_spans, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(repeated_spans, "HOT", hot)
+    line = "all rights are reserved by whoever wrote these lines first, and by no one else"
+    more = [(20 + i, f"{prose(50 + i, 8)} {line}{' ' if i % 2 else ''}{prose(70 + i, 9)}", 1, "en") for i in range(12)]
+    more += [(40, "a" * 400, 1, "en"), (41, "b" + "a" * 300 + "c", 1, "en"), (42, "ab" * 90, 1, "en"), (43, "xab" * 3 + "ab" * 60, 1, "en"), (43, "\u00e9" * 60, 1, "en"), (43, "\u00e9" * 70, 1, "en")]
+    docs = docs.unionByName(spark.createDataFrame(more, SCHEMA))
     rows = sorted([(r["doc_id"] if r["doc_id"] is not None else 1 << 70, (r["text"] or "").encode()) for r in docs.collect()])
     seen, want = {}, []
     for k, b in rows:
