@@ -1,24 +1,33 @@
 """Byte-level BPE ids at corpus speed.
 
-The ids are those of the ``tokenizers`` library and its vocabulary file. Its byte-level pre-tokenizer starts a new
-piece at every single space between two words, so texts are cut there, the library encodes the distinct words that
-are new, many in one call, and a text's ids are put together from those of its words. In the ids of many words, a
-word starts where a token starts with a space. A text with two spaces in a row, or with an added token's string in
-it, goes through the library whole.
+The ids are those of the ``tokenizers`` library and its vocabulary file. Its byte-level pre-tokenizer always starts a
+new piece at a space before something else than white space, so texts are cut there, and a text's ids are put together
+from those of its words. New words go through the library, many in one call: letters alone are one piece to it, and
+signs after them another; whatever else there is goes through its pre-tokenizer. A text with an added token's string in
+it goes through the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_OF_DOCUMENT = 2
-#: Words remembered by a Python worker; the memory is cleared when it is full, which changes no result.
-REMEMBERED = 400_000
-#: Characters of text taken together.
-TOGETHER = 3_000_000
+#: Words remembered by a Python worker, twice at most: those of the last so many new ones, and those before them.
+REMEMBERED = 500_000
+#: Beginnings of texts remembered likewise.
+HEADS = 20_000
+#: Bytes of text taken together.
+TOGETHER = 8 << 20
+#: Where a piece starts whatever stands before it, and what makes that differ from all single spaces (two of Unicode's white spaces).
+CUT, RUN = re.compile(r" (?=\S)"), r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+#: Signs that are split from the letters before them.
+SIGNS = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -30,67 +39,134 @@ def default_tokenizer() -> str:
 class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # for pieces in the pre-tokenizer's alphabet, one a line
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        self.alphabet = {10: 10} | {b: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(128) if b != 10}
+        shown = "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("".join(map(chr, range(128, 0x800)))))
+        for char, raw in zip(range(128, 0x800), zip(shown[::2], shown[1::2])):
+            self.alphabet |= dict(zip(chr(char).encode(), raw))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.starts[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.size = self.tokenizer.get_vocab_size()
+        self.starts = np.zeros(self.size, bool)  # tokens that begin with a space, as a word's first one alone does
+        self.starts[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}  # by word, its ids after a space
-        self.seen = bytearray(1 << 22)
+        self.before: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # by a text's first word, its ids
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _encode(self, words: list[str]) -> None:
+        """Words of letters alone."""
         for i in range(0, len(words), 5000):
             some = words[i : i + 5000]
-            (encoded,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
-            at = (4 * np.flatnonzero(self.starts[ids])).tolist()
-            raw = ids.tobytes()
-            self.known.update({w: raw[a:b] for w, a, b in zip(some, at, [*at[1:], len(raw)], strict=True)})
-
-    def _forget(self, words: list[str]) -> None:
-        """Of new words only those stay that came before: most invented words come once."""
-        for word in words:
-            slot = hash(word) & 0x3FFFFF
-            if not self.seen[slot]:
-                self.seen[slot] = 1
-                del self.known[word]
+            (encoded,) = self.pieces.encode_batch_fast([(" " + "\n ".join(some)).encode().decode("latin-1").translate(self.alphabet)], add_special_tokens=False)
+            self._keep(some, encoded.ids)
+
+    def _keep(self, words: list[str], ids: list[int]) -> None:
+        ids = np.array(ids, "<u4")
+        raw, at = ids.tobytes(), (4 * np.flatnonzero(self.starts[ids])).tolist()
+        self.known.update({w: raw[a:b] for w, a, b in zip(words, at, [*at[1:], len(raw)], strict=True)})
+
+    def _learn(self, words: set[str]) -> None:
+        known, letters, signed, others = self.known, [], [], []
+        for w in words:
+            if w.isalpha():
+                letters.append(w)
+            elif (core := w.rstrip(SIGNS)).isalpha():
+                signed.append((w, core, w[len(core) :]))
+            else:
+                others.append(w)
+        self._encode([*{c for _, c, _ in signed if c not in known}.union(letters)])
+        tails = [*{t for *_, t in signed}]
+        ids = dict(zip(tails, self.whole(tails)))
+        known.update({w: known[c] + ids[t] for w, c, t in signed})
+        # with a space inside, a word does not start at each piece with a space
+        odd = [w for w in others if not w or " " in w]
+        known.update(zip(odd, self.whole([f" {w}" for w in odd])))
+        plain = [*set(others).difference(odd)]
+        for i in range(0, len(plain), 5000):
+            some = plain[i : i + 5000]
+            self._keep(some, self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids)
+
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, each after a space."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-
-    def _some(self, texts: list[str | None]) -> list[bytes]:
-        out: list = []
-        for text in texts:
-            if not text or "  " in text or any(a in text for a in self.added):
-                out.append(self.whole([text])[0] if text else b"")
+            self.known, self.before = {}, self.known
+        new = {w for w in words if w not in self.known}
+        again = {w: self.before[w] for w in new if w in self.before}
+        self.known |= again
+        self._learn(new.difference(again))
+        return [*map(self.known.__getitem__, words)]
+
+    def _first(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words that texts begin with."""
+        if len(self.heads) > HEADS:
+            self.heads = {}
+        new = [w for w in words if w not in self.heads]
+        self.heads.update(zip(new, self.whole(new)))
+        return [*map(self.heads.__getitem__, words)]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ends of texts whose white space is single."""
+        cut = pc.split_pattern(texts, " ")
+        words, borders = cut.flatten(), np.asarray(cut.offsets) - cut.offsets[0].as_py()
+        first = np.zeros(len(words), bool)
+        first[borders[:-1]] = True
+        heads, others = (words.filter(pa.array(m)).dictionary_encode() for m in (first, ~first))
+        ids = [*self._after_space(others.dictionary.to_pylist()), *self._first(heads.dictionary.to_pylist())]
+        table, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        index = np.empty(len(words), np.int64)
+        index[~first], index[first] = others.indices, len(others.dictionary) + np.asarray(heads.indices)
+        size, start = size[index], (np.cumsum(size) - size)[index]
+        ends = np.cumsum(size)
+        return table[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends[borders[1:] - 1]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, as unsigned 32-bit integers, and where each text ends; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        special = np.array(pc.match_substring_regex(texts, RUN))
+        for a in self.added:
+            special |= np.array(pc.match_substring(texts, a))
+        ids, ends = self._plain(texts.filter(pa.array(~special)))
+        if not special.any():
+            return ids, ends
+        plain, parts = iter(np.split(ids, ends)[:-1]), []
+        for text, other in zip(texts.to_pylist(), special):
+            if not other:
+                parts.append(next(plain))
+            elif any(a in text for a in self.added):
+                parts.append(np.frombuffer(self.whole([text])[0], "<u4"))
             else:
-                out.append(text.split(" "))
-        split = [x for x in out if isinstance(x, list)]
-        heads = iter(self.whole([x[0] for x in split]))
-        new = [w for w in set().union(*split) if w not in self.known]
-        self._learn([w for w in new if w])
-        if "" in new:  # a text that ends with a space, or the head of one that starts with it
-            self.known[""] = self.whole([" "])[0]
-        get = self.known.__getitem__
-        out = [b"".join([next(heads), *map(get, x[1:])]) if isinstance(x, list) else x for x in out]
-        self._forget(new)
-        return out
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        some, size = [], 0
-        for text in texts:
-            some.append(text)
-            size += len(text or "")
-            if size > TOGETHER:
-                yield from self._some(some)
-                some, size = [], 0
-        yield from self._some(some)
+                head, *words = CUT.split(text)
+                distinct = [*{*words}]
+                known = dict(zip(distinct, self._after_space(distinct)))
+                parts.append(np.frombuffer(b"".join([*self._first([head]), *map(known.__getitem__, words)]), "<u4"))
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, ends = self.encoded(pa.array(list(texts), pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends)[:-1]]
+
+
+def documents(encoder: WordEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of (doc_id, text) batches with their texts' ids, each text's followed by the end id, and where each text ends."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, side="right"))
+            part = batch.slice(at, max(1, stop - at))
+            at += part.num_rows
+            ids, ends = encoder.encoded(part.column(1))
+            yield part, np.insert(ids, ends, END_OF_DOCUMENT), ends + np.arange(1, len(ends) + 1)
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -83,16 +83,14 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) ->
     spark, path = docs.sparkSession, tokenizer or bpe.default_tokenizer()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, waiting = bpe.encoder(path), []
-        end = np.array([bpe.END_OF_DOCUMENT], "<u4").tobytes()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part, whole = batch.slice(i, 1000), []
-                for key, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    for p in pieces_of(np.frombuffer(raw + end, "<u4"), length):
-                        (whole if p[2] == length else waiting).append((p[2], [(key, *p)]))
-                if whole:
-                    yield from _bins(whole, length)
+        waiting = []
+        for part, ids, ends in bpe.documents(bpe.encoder(path), batches):
+            whole = []
+            for key, a, b in zip(part.column(0).to_pylist(), np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                for p in pieces_of(ids[a:b], length):
+                    (whole if p[2] == length else waiting).append((p[2], [(key, *p)]))
+            if whole:
+                yield from _bins(whole, length)
             if len(waiting) > TOGETHER:
                 yield from _bins(waiting, length)
                 waiting = []

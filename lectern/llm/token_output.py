@@ -33,15 +33,11 @@ def tokenised(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder(tokenizer)
-        narrow = len(encoder.starts) <= 1 << 16
-        kind = "<u2" if narrow else "<u4"
-        end = np.array([bpe.END_OF_DOCUMENT], kind).tobytes()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                ids = encoder.encode(part.column(1).to_pylist())
-                ids = [(np.frombuffer(x, "<u4").astype(kind).tobytes() if narrow else x) + end for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([len(end)] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
+        kind = np.dtype("<u2" if encoder.size <= 1 << 16 else "<u4")
+        for part, ids, ends in bpe.documents(encoder, batches):
+            borders = pa.py_buffer(np.r_[0, ends * kind.itemsize].astype(np.int32))
+            rows = pa.Array.from_buffers(pa.binary(), len(ends), [None, borders, pa.py_buffer(ids.astype(kind))])
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), rows, pa.array(np.full(len(ends), kind.itemsize, np.int32))], ["doc_id", "ids", "width"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, ids binary, width int")
 
