@@ -11,8 +11,9 @@ base spans, candidates with evidence and candidates without, which weigh the sam
 the lowest score whose precision is at least ``PRECISION`` over all its candidates that overlap no base span, those
 learnt from included; all of these at or above it are added.
 
-Spans are start and end in code points, end exclusive. Matching is one pass a pattern over the whole text; texts
-without the characters that a pattern needs are skipped.
+Spans are start and end in code points, end exclusive. Matching is linear in the text, a few passes a pattern; texts
+without the characters that a pattern needs are skipped. What overlaps is found by running maxima over a document's
+spans in order, so a document with very many of them costs a sort.
 
 Defined results: null and empty texts have no span; repeated rows get a result each; to a kind of which no candidate
 beside the base spans has evidence nothing is added; an empty table gives an empty result; other columns are not read.
@@ -25,15 +26,17 @@ import functools
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, text_or_empty
 
 TRAINING_CANDIDATES = 20_000
 PRECISION = 0.98
-#: Code points before a candidate that count as its context.
+#: Code points before a candidate, and not before the match that precedes it, that count as its context.
 CONTEXT = 24
+#: Put before each match to find its place; stands for no sign of a pattern. Texts that have it already get another control sign there.
+MARK, OTHER = "\u0001", "\u0002"
 KINDS = ("email", "ip", "card", "phone")
 
 # The patterns are those of the contract, written so that they never go back: a run of characters is entered at its
@@ -60,22 +63,23 @@ CLUE_WORDS = {
 }
 DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-]{1,2}[0-9]{1,2}[ ./-]{1,2}[0-9]{1,2}|[0-9]{1,2}[ ./-]{1,2}[0-9]{1,2}[ ./-]{1,2}(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[ ./-]{1,2}(?:19|20)[0-9]{2})$"
 
-SPAN = "array<struct<start:int,stop:int,value:string>>"
-
-
 def spans(text: Column, pattern: str, needed: str) -> Column:
-    """Leftmost non-overlapping matches with their places: lengths of matches and of what lies between, summed up."""
+    """Leftmost non-overlapping matches: their places, what stands before them and the sign after them."""
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), value.alias("value"))
-    start = lambda s, x: s["at"] + F.length(x["gap"])
-
-    def add(s: Column, x: Column) -> Column:
-        item = F.struct(start(s, x).alias("start"), (start(s, x) + F.length(x["value"])).alias("stop"), x["value"].alias("value"))
-        return F.struct((start(s, x) + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"), F.concat(s["found"], F.when(x["value"].isNotNull(), F.array(item)).otherwise(F.array().cast(SPAN))).alias("found"))
-
-    none = F.array().cast(SPAN)
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda s: s["found"])
-    return F.when(text.rlike(needed), found).otherwise(none)
+    gap = F.split(text, pattern, -1)
+    signs = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), pattern, f"{MARK}$0"), "")
+    marks = F.filter(F.transform(signs, lambda c, i: F.when(c == MARK, i)), lambda i: i.isNotNull())
+    start = F.transform(marks, lambda place, i: place - i)  # less the marks before it
+    # the lambdas see their own element only, so that nothing is computed again for each
+    each = F.arrays_zip(value.alias("value"), start.alias("start"), gap.alias("gap"), F.concat(F.array(F.lit("")), value).alias("former"), F.slice(gap, 2, F.size(gap)).alias("next"))
+    found = F.transform(
+        F.filter(each, lambda x: x["value"].isNotNull()),
+        lambda x: F.struct(
+            x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("stop"), x["value"].alias("value"),
+            F.lower(F.right(F.concat(x["former"], x["gap"]), F.lit(CONTEXT))).alias("context"), F.substring(x["next"], 1, 1).alias("after"),
+        ),
+    )
+    return F.when(text.rlike(needed), found).otherwise(F.array().cast("array<struct<start:int,stop:int,value:string,context:string,after:string>>"))
 
 
 def luhn(digits: Column) -> Column:
@@ -108,15 +112,12 @@ def scan(documents: DataFrame) -> DataFrame:
     def checked(kind: str) -> Column:
         return F.filter(F.col(f"raw_{kind}"), lambda x: holds(kind, x["value"]))
 
-    base = {k: checked(k) for k in KINDS}
-
     def proposed(source: str, name: str) -> Column:
-        context = lambda x: F.lower(F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))))
-        after = lambda x: F.substring(text, x["stop"] + 1, F.lit(1))
-        return F.transform(F.col(source), lambda x: F.struct(F.lit(name).alias("source"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), context(x).alias("context"), after(x).alias("after")))
+        return F.transform(F.col(source), lambda x: F.struct(F.lit(name).alias("source"), *[x[c].alias(c) for c in ("start", "stop", "value", "context", "after")]))
 
     every = F.concat(*[proposed(f"raw_{k}", k) for k in KINDS], *[proposed(g, g) for g in GENERATORS])
-    return raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[base[k].alias(k) for k in KINDS], F.filter(every, lambda c: F.length(c["value"]) >= 6).alias("candidates"))
+    base = [F.transform(checked(k), lambda x: F.struct(*[x[c].alias(c) for c in ("start", "stop", "value")])).alias(k) for k in KINDS]
+    return raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", *base, F.filter(every, lambda c: F.length(c["value"]) >= 6).alias("candidates"))
 
 
 FEATURES = [
@@ -139,13 +140,26 @@ def evidence(kind: Column, f: dict[str, Column]) -> Column:
     return F.when(kind == "email", f["address"]).when(kind == "card", card).when(kind == "phone", phone).otherwise(ip)
 
 
+def met(scanned: DataFrame) -> DataFrame:
+    """The candidates, each with whether it overlaps a base span, and by kind whether it is one."""
+    candidates = scanned.select("row", F.explode("candidates").alias("c")).select("row", "c.*", F.lit(None).cast("string").alias("base"))
+    kinds = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*KINDS))
+    base = scanned.select("row", F.explode(kinds).alias("base", "found")).select("row", "base", F.explode("found").alias("c")).select("row", "base", "c.start", "c.stop")
+    every = candidates.unionByName(base, allowMissingColumns=True).repartition("row")
+    is_base, own = F.col("base").isNotNull(), Window.partitionBy("row")
+    reach = F.max(F.when(is_base, F.col("stop"))).over(own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    next_ = F.min(F.when(is_base, F.col("start"))).over(own.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1))
+    same = [F.max(F.coalesce(F.col("base") == k, F.lit(False))).over(Window.partitionBy("row", "start", "stop")).alias(f"same_{k}") for k in KINDS]
+    overlaps = F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(next_ < F.col("stop"), F.lit(False))
+    return every.select("*", overlaps.alias("overlaps"), *same).where(~is_base).drop("base")
+
+
 def featured(scanned: DataFrame) -> DataFrame:
     """One row for each candidate: row, kind, start, stop, label, whether it is a base span of its kind, whether it overlaps one of any, features."""
-    c = scanned.select("row", *KINDS, F.explode("candidates").alias("c")).select("row", *KINDS, "c.*")
+    c = met(scanned)
     digits = F.regexp_replace("value", "[^0-9]", "")
     groups = F.filter(F.split("value", "[^0-9]+"), lambda x: x != "")
     many = lambda chars: F.length(F.regexp_replace("value", f"[^{chars}]", ""))
-    base = F.concat(*KINDS)
     numbers = {
         "length": F.length("value"), "digits": F.length(digits), "groups": F.size(groups), "longest": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "dots": many("."), "dashes": many("-"), "spaces": many(" "),
         "plus": F.col("value").startswith("+"), "paren": F.col("value").contains("("), "at": F.col("value").rlike("@|[\\[(]at"),
@@ -161,10 +175,8 @@ def featured(scanned: DataFrame) -> DataFrame:
         .when(numbers["word_phone"] & F.length(digits).between(8, 15) & ~(dotted & numbers["small_parts"]), "phone")
         .when((F.length(digits) >= 13), "card").when(dotted, "ip").otherwise("phone")
     )
-    at = lambda b: (b["start"] == F.col("start")) & (b["stop"] == F.col("stop"))
-    overlaps = F.exists(base, lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"]))
-    out = c.select("row", kind.alias("kind"), "start", "stop", *KINDS, overlaps.alias("overlaps"), *[v.alias(k) for k, v in numbers.items()])
-    same = F.coalesce(*[F.when(F.col("kind") == k, F.exists(k, at)) for k in KINDS])
+    out = c.select("row", kind.alias("kind"), "start", "stop", "overlaps", *[f"same_{k}" for k in KINDS], *[v.alias(k) for k, v in numbers.items()])
+    same = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"same_{k}")) for k in KINDS])
     label = same | evidence(F.col("kind"), {k: F.col(k) for k in numbers})
     out = out.select("row", "kind", "start", "stop", label.cast("double").alias("label"), same.alias("same"), "overlaps", *[F.col(k).cast("double").alias(k) for k in numbers])
     return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(out)
