@@ -1,20 +1,26 @@
 """Operator 2: WARC archives written and read back, with segmented records put together again.
 
-Writing. Of pages with equal payloads the one with the smallest page_id becomes a ``response`` record, the others
-``revisit`` records. A response's body is sent in chunked transfer framing; a block of more than ``SEGMENT`` bytes is
-cut into a first record and ``continuation`` records. Spark's text writer puts the files into the folder: a record
-ends with two line ends, which is the writer's separator.
+Writing. Of pages with equal payloads (SHA-256 and size) the one with the smallest page_id becomes a ``response`` record,
+the others ``revisit`` records that name its identifier. A response's body is sent in chunked transfer framing; a block
+of more than ``SEGMENT`` bytes is cut into a first record and ``continuation`` records, so that no record is larger, and
+a file holds at most about ``FILE_BYTES``. Spark's text writer puts the compressed files into the folder: a record ends
+with two line ends, which is the writer's separator.
 
 Reading. Files are parsed record by record; records that are whole are decoded at once, segments are grouped by their
 origin's identifier, ordered by segment number, checked against the total length, and decoded.
 
-Defined results: null html is the empty payload; pages that share a page_id, or have none, get a record each; a page
-whose page_id is null never is the smallest; an empty table gives an empty folder; an extra column is not read.
+Identifiers come from a row's content, so a task that runs again writes the same ones.
+
+Defined results: null html is the empty payload; pages that share a page_id, or have none, get a record each; of rows that
+are equal throughout, all are responses, or all revisits, under one identifier; a page whose page_id is null never is the
+smallest, and without another one all of its group are responses; an empty table gives an empty folder; an extra column
+is not read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -26,8 +32,8 @@ from .common import scratch_path, stored, table
 
 SEGMENT = 32_768
 CHUNK = 8_192
-#: Records of a file: a bound on what a reader holds.
-FILE_RECORDS = 1_000
+#: Bytes of a file before it is compressed: a bound on what a reader holds.
+FILE_BYTES = 32 << 20
 END = b"\r\n\r\n"
 
 
@@ -59,14 +65,15 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
-def records_of(identity: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> list[bytes]:
+def records_of(identity: str, page_id: int | None, url: str | None, payload: bytes, refers_to: str | None, segment: int = SEGMENT) -> list[bytes]:
+    """``identity`` and ``refers_to`` are page_id:tag."""
     common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
     common += [("WARC-Target-URI", " ".join(url.split()))] if url else []
     common += [("X-Page-Id", str(page_id))] if page_id is not None else []
     own = [("WARC-Record-ID", f"<urn:record:{identity}>")]
     http = [("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
-        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:record:{refers_to}>")]
         return [record(more + own + common + http, b"HTTP/1.1 200 OK\r\n\r\n")]
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment:
@@ -97,22 +104,26 @@ def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def write(pages: DataFrame, folder: str, segment: int = SEGMENT) -> str:
     """pages: (page_id, url, html)."""
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
-    keyed = own.select("page_id", "row", F.sha1("html").alias("sha"), F.octet_length("html").alias("size"))
-    # smallest page_id of each payload; rows of one page_id: the first row
-    first = keyed.groupBy("sha", "size").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = keyed.join(first, ["sha", "size"]).where((F.col("row") != F.col("first.row")) & F.col("first.page_id").isNotNull()).select("row", F.col("first.page_id").alias("refers_to"))
+    html = F.coalesce("html", F.lit(""))
+    own = pages.select("page_id", "url", html.alias("html"), F.xxhash64("page_id", "url", html).alias("tag"))
+    keyed = own.select("page_id", "tag", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("size"))
+    # smallest page_id of each payload; of several rows of that page_id the one with the smallest tag
+    first = keyed.groupBy("sha", "size").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and not first.none")
+    again = keyed.join(first, ["sha", "size"]).where((F.col("tag") != F.col("first.tag")) | ~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    again = again.select(F.col("tag").alias("same_tag"), F.col("page_id").alias("same_id"), F.concat_ws(":", "first.page_id", "first.tag").alias("refers_to")).dropDuplicates(["same_tag", "same_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 out = []
-                for row, page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns)):
-                    out += records_of(f"{page_id}:{row}", page_id, url, html.encode(), refers_to, segment)
+                for tag, page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns)):
+                    out += records_of(f"{page_id}:{tag}", page_id, url, html.encode(), refers_to, segment)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    rows = own.join(again, "row", "left").select("row", "page_id", "url", "html", "refers_to").mapInArrow(run, "record binary")
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    same = (F.col("tag") == F.col("same_tag")) & F.col("page_id").eqNullSafe(F.col("same_id"))
+    rows = own.join(again, same, "left").select("tag", "page_id", "url", "html", "refers_to").mapInArrow(run, "record binary")
+    written = rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+    written.option("maxRecordsPerFile", max(1, FILE_BYTES // segment)).text(folder)
     return folder
 
 
@@ -129,7 +140,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     def rows(archive: bytes) -> Iterator[tuple]:
         for f, block in parsed(archive):
             page = int(f["x-page-id"]) if "x-page-id" in f else None
-            refers = int(f["warc-refers-to"].removeprefix("<urn:page:")[:-1]) if "warc-refers-to" in f else None
+            refers = int(f["warc-refers-to"].removeprefix("<urn:record:").split(":")[0]) if "warc-refers-to" in f else None
             total = int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None
             segment = int(f["warc-segment-number"]) if "warc-segment-number" in f else None
             stated = f["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in f else None
@@ -141,21 +152,23 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
-                found = list(rows(archive.as_py()))
+                found = list(rows(gzip.decompress(archive.as_buffer())))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                parts = sorted(r["parts"], key=lambda p: p["segment"])
-                block = b"".join(p["block"] for p in parts)
-                if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or len(block) != r["total"]:
+                parts = sorted((p["segment"], p["block"]) for p in r["parts"])
+                times = sum(number == 1 for number, _ in parts)  # rows that are equal throughout
+                whole = parts[:: max(times, 1)]
+                block = b"".join(b for _, b in whole)
+                if [n for n, _ in parts] != [n for n in range(1, len(whole) + 1) for _ in range(times)] or len(block) != r["total"]:
                     raise ValueError(f"record {r['origin']} is not complete")
                 payload = dechunked(block.split(END, 1)[1])
                 if digest(payload) != r["stated"]:
                     raise ValueError("a payload does not have its record's digest")
-                out.append((r["page_id"], payload if payloads else None, len(payload), r["stated"]))
+                out += [(r["page_id"], payload if payloads else None, len(payload), r["stated"])] * times
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.string()))], ["page_id", "payload", "payload_bytes", "payload_digest"])
 
     every = stored(files.mapInArrow(run, kept), "warc-records")

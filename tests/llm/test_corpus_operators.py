@@ -1,5 +1,8 @@
+import glob
+import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -58,6 +61,19 @@ def test_warc_round_trip(spark):
     assert len(got) == 6 and got[3]["refers_to"] == 2 and got[3]["record_type"] == "revisit" and got[3]["payload_bytes"] == 4
     assert got[1]["payload_bytes"] == 100_000 and got[1]["payload_digest"] == warc.digest(b"x" * 100_000) and got[5]["refers_to"] == 4 and got[None]["record_type"] == "response"
     assert warc.dechunked(warc.chunked(b"a" * 20_000)) == b"a" * 20_000
+    # multi-byte text cut inside a character, equal and near-equal rows, no page_id at all, another column
+    long = "é日😀" * 5000
+    rows = [(7, "u", long, 1), (7, "u", long, 2), (7, "v", long, 3), (8, "u", long, 4), (None, "u", long, 5), (None, "x", "same", 6), (None, "y", "same", 7), (9, None, None, 8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, row long")
+    folder = warc.write(pages, scratch_path(spark, "w"), segment=1001)
+    back = warc.read(spark, folder).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in back if r["payload_digest"] == warc.digest(long.encode())) in (
+        [(0, "revisit", 7), (7, "response", 0), (7, "response", 0), (7, "revisit", 7), (8, "revisit", 7)], [(0, "revisit", 7), (7, "response", 0), (7, "revisit", 7), (7, "revisit", 7), (8, "revisit", 7)])
+    assert {r["payload"].decode() for r in back if r["page_id"] == 7 and r["payload"]} == {long} and sum(r["record_type"] == "response" for r in back if r["page_id"] is None) == 2
+    raw = b"".join(gzip.open(f).read() for f in glob.glob(folder.removeprefix("file:") + "/part-*"))
+    ids = set(re.findall(rb"WARC-Record-ID: (.*?)\r", raw))
+    assert set(re.findall(rb"WARC-Refers-To: (.*?)\r", raw)) <= ids and len(back) == 8
+    assert warc.read(spark, warc.write(pages.limit(0), scratch_path(spark, "w"))).count() == 0
 
 
 def test_packing(docs, empty):
@@ -185,7 +201,9 @@ def test_repeated_spans(spark, docs, empty, monkeypatch, hot):
     assert repeated_spans.repeated_spans(empty).count() == 0
 
 
-def test_decontaminate(spark, docs, empty):
+@pytest.mark.parametrize("bound", [0, 8 << 20])
+def test_decontaminate(spark, docs, empty, bound, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
     text = docs.where("doc_id = 1").first()["text"]
     items = spark.createDataFrame([(1, " ".join(text.split()[5:17])), (1, " ".join(text.split()[5:17])), (2, "LONELY, text!"), (3, None), (None, "alpha1"), (4, "...")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.contamination(docs, items).collect()}
