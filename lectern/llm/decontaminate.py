@@ -1,11 +1,14 @@
 """Operator 8: benchmark decontamination as a prefix-filtered set join, in DataFrame functions alone.
 
-An item's windows are its runs of ``WINDOW`` words (a shorter item is one window). The shingles of a window are its
-words, ordered by rarity over the whole corpus; as a window must be contained whole, one prefix token, its rarest
-word, is necessary and enough. Document positions of prefix tokens join the windows on the token, bounds on position
-and length drop windows that would leave the text, and the words are compared one by one.
+An item's windows are its runs of ``WINDOW`` words (a shorter item is one window). The shingles of a window are its pairs
+of neighbouring words (a window of one word has that word), ordered by rarity over the whole corpus; as a window must be
+contained whole, the prefix that a document has to share is one shingle, the rarest. Document positions of prefix
+shingles join the windows on the shingle, bounds on position and length drop windows that would leave the text, and the
+words are compared one by one.
 
-The windows are broadcast only when the benchmark's text is at most ``BROADCAST_BYTES``; beyond that Spark shuffles.
+Benchmark tables are broadcast only when the benchmark's text is at most ``BROADCAST_BYTES``. Beyond that the same joins
+shuffle (document, position, shingle) rows, and only documents with a candidate are looked up for their words; either
+way the result is the same. Shingles are hashed for the joins, equality rests on the words.
 
 Defined results: null and empty texts have no words and are clean; items without words have no window; repeated
 documents keep a row each (equal text, equal result), repeated items count once by item_id; a null item_id is not
@@ -22,6 +25,8 @@ from .common import ascii_lower, table, text_or_empty
 WINDOW = 10
 BROADCAST_BYTES = 8 << 20
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str = "text") -> Column:
@@ -29,43 +34,67 @@ def words(text: str = "text") -> Column:
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(item_id, at, words): ``at`` numbers an item's windows."""
+    """(item_id, words), each once."""
     own = benchmark.where("item_id is not null").select("item_id", words().alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    return own.select("item_id", F.explode(starts).alias("at"), "w").select("item_id", "at", F.slice("w", F.col("at") + 1, F.lit(size)).alias("words")).distinct()
-
-
-def prefixes(documents: DataFrame, benchmark: DataFrame, size: int, hint) -> DataFrame:
-    """(token, before, item_id, words): each window under its rarest word, which stands ``before`` words into it."""
+    return own.select("item_id", F.explode(starts).alias("from"), "w").select("item_id", F.slice("w", F.col("from") + 1, F.lit(size)).alias("words")).distinct()
+
+
+def shingled(rows: DataFrame, words_: str, *keys: str, single: bool) -> DataFrame:
+    """The keys, ``at`` and ``shingle`` of each pair of neighbouring words; with ``single`` of each word too."""
+    pairs = F.arrays_zip(F.col(words_).alias("one"), F.slice(words_, 2, F.greatest(F.size(words_), F.lit(1))).alias("two"))
+    each = rows.select(*keys, F.posexplode(pairs).alias("at", "p"))
+    pair = F.when(F.col("p.two").isNotNull(), F.xxhash64("p.one", "p.two"))
+    if not single:
+        return each.select(*keys, "at", pair.alias("shingle")).where("shingle is not null")
+    both = F.array_compact(F.array(F.xxhash64("p.one"), pair))
+    return each.select(*keys, "at", F.explode(both).alias("shingle"))
+
+
+def prefixes(documents: DataFrame, window: DataFrame, small: bool, single: bool) -> DataFrame:
+    """(shingle, before, item_id, window): each window under its rarest shingle, which stands ``before`` words into it."""
+    hint = F.broadcast if small else lambda df: df
+    own = shingled(window, "words", "item_id", "words", single=single).where("size(words) = 1 or shingle <> xxhash64(words[at])")
+    vocabulary = own.select("shingle").distinct()
+    corpus = shingled(documents.select(words().alias("w")), "w", single=single).select("shingle")
+    count = lambda df: df.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    # where the vocabulary cannot be broadcast, counts are made before it is joined, so that frequent shingles are few rows
+    seen = count(corpus.join(hint(vocabulary), "shingle", "left_semi")) if small else count(corpus).join(vocabulary, "shingle", "left_semi")
+    placed = own.join(hint(seen), "shingle", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at")).alias("r")
+    return placed.groupBy("item_id", "words").agg(rarest).select(F.col("r.shingle").alias("shingle"), F.col("r.at").alias("before"), "item_id", F.col("words").alias("window"))
+
+
+def occurrences(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """(key, text_key, item_id, start, stop): the places of windows in the texts of ``documents`` (key, text_key, text)."""
+    small = (benchmark.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0) <= BROADCAST_BYTES
     window = windows(benchmark, size)
-    vocabulary = window.select(F.explode("words").alias("token")).distinct()
-    seen = documents.select(F.explode(words()).alias("token")).join(hint(vocabulary), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    placed = window.select("item_id", "at", "words", F.posexplode("words").alias("before", "token")).join(seen, "token", "left")
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "before")).alias("r")
-    return placed.groupBy("item_id", "at", "words").agg(rarest).select(F.col("r.token").alias("token"), F.col("r.before").alias("before"), "item_id", F.col("words").alias("window"))
+    single = bool(window.where(F.size("words") == 1).limit(1).count())
+    prefix = prefixes(documents, window, small, single)
+    split = documents.select("key", "text_key", words().alias("w")).where(F.size("w") > 0)
+    first, length = F.col("at") - F.col("before"), F.size("window")
+    same = F.slice("w", F.greatest(first, F.lit(0)) + 1, length) == F.col("window")
+    if small:
+        near = shingled(split, "w", "key", "text_key", "w", single=single).join(F.broadcast(prefix), "shingle").where((first >= 0) & (first + length <= F.size("w")))
+    else:
+        sized = split.withColumn("n", F.size("w"))
+        near = shingled(sized, "w", "key", "text_key", "n", single=single).join(prefix, "shingle").where((first >= 0) & (first + length <= F.col("n")))
+        texts = split.dropDuplicates(["key", "text_key"])
+        near = near.select("key", "text_key", "at", "before", "item_id", "window").distinct().join(texts, ["key", "text_key"])
+    return near.where(same).select("key", "text_key", "item_id", first.alias("start"), (first + length).alias("stop"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, items (sorted as strings): a row for each row of ``documents``."""
-    bytes_ = benchmark.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
-    hint = F.broadcast if bytes_ <= BROADCAST_BYTES else lambda df: df
     key = [F.coalesce("doc_id", F.lit(-1)).alias("key"), F.xxhash64(text_or_empty()).alias("text_key")]
-    split = documents.select(*key, words().alias("w"))
-    places = split.select("key", "text_key", "w", F.posexplode("w").alias("at", "token"))
-    first = F.col("at") - F.col("before")
-    found = (
-        places.join(hint(prefixes(documents, benchmark, size, hint)), "token")
-        .where((first >= 0) & (first + F.size("window") <= F.size("w")))
-        .where(F.slice("w", F.greatest(first, F.lit(0)) + 1, F.size("window")) == F.col("window"))
-        .select("key", "text_key", "item_id", first.alias("start"), (first + F.size("window")).alias("stop"))
-    )
+    found = occurrences(documents.select(*key, "text"), benchmark, size)
     covered = F.expr(
         "aggregate(array_sort(spans), named_struct('n', 0L, 'reach', 0), (s, x) -> named_struct("
         "'n', s.n + greatest(0, x.stop - greatest(x.start, s.reach)), 'reach', greatest(s.reach, x.stop)), s -> s.n)"
     )
     hits = found.groupBy("key", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     hits = hits.select("key", "text_key", covered.alias("n_hit"), F.array_sort("items").alias("items"))
-    base = documents.select("doc_id", *key, F.size(words()).cast("long").alias("n_words"))
+    base = documents.select("doc_id", *key, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("n_words"))
     return base.join(hits, ["key", "text_key"], "left").select(
         "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )

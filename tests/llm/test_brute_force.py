@@ -56,3 +56,34 @@ def test_pii_is_linear(spark):
     assert len(got[2]["email"]) == len(got[2]["phone"]) == 20_000 and not got[1]["email"]
     last = got[2]["email"][-1]
     assert people[last["start"] : last["stop"]] == "p19999@host.org"
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+@pytest.mark.parametrize("bound", [0, 8 << 20])
+def test_decontamination(spark, bound, monkeypatch):
+    """Few different words, so that windows overlap and repeat; items of one word and of several windows; repeated documents."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+    draw = random.Random(5)
+    words = lambda n: draw.choice([" ", ", ", "--"]).join(draw.choice(["a", "B", "c", "É", "\u212a", "d"]) for _ in range(n))
+    items = [(i, words(draw.choice([2, 4, 5, 9, 10, 12]))) for i in range(40)] + [(100, "lone"), (101, ""), (102, None), (None, "a b c"), (3, "a b c d")]
+    docs = [(i, words(draw.randrange(60)), "x") for i in range(150)] + [(200, "a LONE wolf", "x"), (201, None, "x"), (202, "", None), (None, "lone", "x"), (5, "a b c d e f", "x"), (5, "a b c d e f", "x")]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = []
+    for k, t, _ in docs:
+        own, hit, ids = WORD.findall(lowered(t)), set(), set()
+        for item, text in items:
+            w = WORD.findall(lowered(text))
+            for g in ({tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w and item is not None else ()):
+                for i in range(len(own) - len(g) + 1):
+                    if tuple(own[i : i + len(g)]) == g:
+                        hit.update(range(i, i + len(g)))
+                        ids.add(str(item))
+        want.append((k, len(own), len(hit), sorted(ids)))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in got)
+    assert sum(1 for w in want if w[2]) > 50
