@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import tokenize
 from lectern.functions.vectors import cosine
+from lectern.operators.lexical import in_order
 
 RRF_K, DEPTH = 60, 50
 
@@ -23,7 +24,7 @@ def missing_vectors(elements: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], limit: int, places: int = 6) -> DataFrame:
-    """(element_id, score, lexical_rank, dense_rank) from ranked lists (element_id, rank) of at most DEPTH rows each.
+    """(element_id, score, lexical_rank, dense_rank, rank) from ranked lists (element_id, rank) of at most DEPTH rows each.
 
     The lists are united and summed in one shuffle, in place of a full outer join.
     """
@@ -33,7 +34,9 @@ def reciprocal_rank_fusion(lists: list[DataFrame], limit: int, places: int = 6)
     for part in parts[1:]:
         united = united.unionByName(part)
     fused = united.groupBy("element_id").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("score"), *[F.max(F.when(F.col("of") == n, F.col("rank"))).alias(n) for n in names])
-    return fused.withColumn("score", F.round("score", places)).orderBy(F.desc("score"), "element_id").limit(limit)
+    order = [F.desc("score"), in_order("element_id", fused)]
+    best = fused.orderBy(*order).limit(limit)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("score", F.round("score", places))
 
 
 def hint_scores(hints: DataFrame, links: DataFrame, query: str) -> DataFrame:

@@ -1,7 +1,14 @@
-"""Lexical ranking: postings, corpus statistics, BM25 for one query or many."""
+"""Lexical ranking: a stored index of postings, corpus statistics, BM25 for one query or many.
+
+Texts are tokenised once, when a snapshot is indexed: postings go into a table in order of terms, so that a query reads
+the row groups of its own terms (the filter on ``term`` reaches the scan), and lengths are summed up in a table of one
+row. A term's document frequency is the number of its postings.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,31 +40,67 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(tokens: DataFrame, queries: DataFrame) -> DataFrame:
+@dataclass
+class Index:
+    postings: DataFrame  # term, element_id, tf, len
+    stats: DataFrame  # n, avg_len
+
+
+#: Terms of a query that are put into the scan's filter; longer queries (and batches) join them.
+LITERALS = 200
+
+
+def build(elements: DataFrame, folder: str) -> None:
+    """Index (element_id, text) rows into ``folder``. A row without tokens counts for the statistics and has no posting."""
+    tokens = tokenized(elements)
+    sized = tokens.select("element_id", "tokens", F.size("tokens").alias("len"))
+    rows = sized.select("element_id", "len", F.explode_outer("tokens").alias("term")).groupBy("term", "element_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    rows.repartitionByRange("term", "element_id").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+    spark = elements.sparkSession
+    # every element has one posting at least, were it that of no term; it carries the length once
+    own = spark.read.parquet(f"{folder}/postings").groupBy("element_id").agg(F.max("len").alias("len"))
+    average = F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0))
+    own.agg(F.count(F.lit(1)).alias("n"), average.alias("avg_len")).write.parquet(f"{folder}/stats")
+
+
+def opened(spark, folder: str) -> Index:
+    return Index(spark.read.parquet(f"{folder}/postings").where("term is not null"), spark.read.parquet(f"{folder}/stats"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, place): the distinct terms of each query in order."""
+    return queries.select("query_id", F.posexplode(F.array_distinct(tokenize(F.col("text")))).alias("place", "term"))
+
+
+def bm25(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, element_id, score) of every element that has a query term. ``queries``: (query_id, text).
 
-    Only postings of query terms are made: the elements' tokens are filtered against the queries' terms before they
-    are counted, and df comes from the same counts.
+    An element's parts are added in the order of the query's terms, so equal elements have equal scores to the last bit.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    exploded = tokens.select("element_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    counted = exploded.join(wanted, "term", "left_semi").groupBy("term", "element_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(tokens)  # one row
-    scored = counted.join(df, "term").join(F.broadcast(stats)).select(
-        "term", "element_id",
-        (idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("part"),
-    )
-    return scored.join(terms, "term").groupBy("query_id", "element_id").agg(F.sum("part").alias("score"))
+    terms = query_terms(queries)
+    few = [r["term"] for r in terms.select("term").distinct().limit(LITERALS + 1).collect()]
+    wanted = F.broadcast(terms.select("term").distinct()) if len(few) > LITERALS else None
+    own = index.postings.where(F.col("term").isin(few)) if wanted is None else index.postings.join(wanted, "term", "left_semi")
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    # idf goes to the terms' side, which is as small as the queries
+    weights = terms.join(df, "term").join(F.broadcast(index.stats))
+    scored = own.join(weights, "term").select("query_id", "element_id", F.struct("place", part.alias("part")).alias("p"))
+    parts = scored.groupBy("query_id", "element_id").agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    return parts.select("query_id", "element_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"))
+
+
+def in_order(column: str, rows: DataFrame) -> Column:
+    """Ids compare as numbers, or, as strings, by Unicode collation."""
+    return F.collate(F.col(column), "UNICODE") if rows.schema[column].dataType.typeName() == "string" else F.col(column)
 
 
 def top(scored: DataFrame, limit: int, *partition: str, places: int = 6) -> DataFrame:
-    """The best ``limit`` rows (of each partition) by rounded score, then element_id, with their 1-based rank."""
+    """The best ``limit`` rows (of each partition) by score, then element_id, with their 1-based rank; scores are rounded afterwards."""
     from pyspark.sql import Window
 
-    rounded = scored.withColumn("score", F.round("score", places))
-    window = Window.partitionBy(*partition).orderBy(F.desc("score"), "element_id") if partition else Window.orderBy(F.desc("score"), "element_id")
+    order = [F.desc("score"), in_order("element_id", scored)]
+    window = Window.partitionBy(*partition).orderBy(*order) if partition else Window.orderBy(*order)
     if not partition:  # a top-k without a group needs no single task
-        rounded = rounded.orderBy(F.desc("score"), "element_id").limit(limit)
-    return rounded.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
+        scored = scored.orderBy(*order).limit(limit)
+    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit).withColumn("score", F.round("score", places))

@@ -48,6 +48,19 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.tokenized(elements(spark, sf))
 
 
+_indexed: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, sf: str) -> lexical.Index:
+    """The index of a snapshot's elements, built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexed:
+        folder = _scratch(spark, "index")
+        lexical.build(elements(spark, sf), folder)
+        _indexed[key] = folder
+    return lexical.opened(spark, _indexed[key])
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("element_id"), V.doubles(F.col("embedding")).alias("vector"))
 
@@ -60,18 +73,18 @@ TOK = r"regexp_extract_all(lower(coalesce(text, '')), '\p{Han}+|[\p{L}\p{N}_]+')
 BM25 = rf"""
 tok AS (SELECT doc_id AS element_id, {TOK} AS t FROM documents),
 st AS (SELECT count(*) AS n, coalesce(nullif(avg(len(t)), 0), 1) AS a FROM tok),
-q AS (SELECT DISTINCT query_id, unnest({TOK}) AS term FROM %s),
+q AS (SELECT query_id, term, min(spot) AS place FROM (SELECT query_id, unnest({TOK}) AS term, generate_subscripts({TOK}, 1) AS spot FROM %s) GROUP BY ALL),
 x AS (SELECT element_id, len(t) AS l, unnest(t) AS term FROM tok),
 tf AS (SELECT term, element_id, l, count(*) AS c FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS d FROM tf GROUP BY term),
-s AS (SELECT query_id, element_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score
+s AS (SELECT query_id, element_id, list_reduce(list_prepend(0::DOUBLE, list(ln(1 + (n - d + 0.5) / (d + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / a)) ORDER BY place)), lambda x, y: x + y) AS score
   FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY query_id, element_id)"""
 ONE = f"(SELECT 0 AS query_id, '{QUERY}' AS text)"
 MANY = "(SELECT item_id AS query_id, text FROM benchmark)"
 TOP = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, element_id) AS rank FROM s)"
 COS = """
 q0 AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-dense AS (SELECT vec_id AS element_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q0 WHERE list_cosine_similarity(embedding::DOUBLE[], q) > 0)"""
+dense AS (SELECT vec_id AS element_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q0 WHERE list_cosine_similarity(embedding::DOUBLE[], q) > 0)"""
 
 
 @query(rf"SELECT doc_id AS element_id, len({TOK}) AS n_tokens, len(list_distinct({TOK})) AS n_distinct FROM documents")
@@ -94,17 +107,17 @@ def postings_index(spark, sf):
     return lexical.postings(tokens(spark, sf))
 
 
-@query(f"WITH {BM25 % ONE}, {TOP} SELECT query_id, element_id, score, rank FROM r WHERE rank <= 10")
+@query(f"WITH {BM25 % ONE}, {TOP} SELECT query_id, element_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    return lexical.top(lexical.bm25(tokens(spark, sf), one_query(spark)), 10)
+    return lexical.top(lexical.bm25(index(spark, sf), one_query(spark)), 10)
 
 
 def _batch(spark, sf):
     queries = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return lexical.top(lexical.bm25(tokens(spark, sf), queries), 10, "query_id")
+    return lexical.top(lexical.bm25(index(spark, sf), queries), 10, "query_id")
 
 
-@query(f"WITH {BM25 % MANY}, {TOP} SELECT query_id, element_id, score, rank FROM r WHERE rank <= 10")
+@query(f"WITH {BM25 % MANY}, {TOP} SELECT query_id, element_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def bm25_batch(spark, sf):
     return _batch(spark, sf)
 
@@ -113,7 +126,7 @@ def _query_vector(spark, sf) -> list[float]:
     return vectors(spark, sf).where("element_id = 0").first()["vector"]
 
 
-@query(f"WITH {COS} SELECT element_id, score, row_number() OVER (ORDER BY score DESC, element_id) AS rank FROM dense QUALIFY rank <= 10")
+@query(f"WITH {COS} SELECT element_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, element_id) AS rank FROM dense QUALIFY rank <= 10")
 def cosine_topk(spark, sf):
     return lexical.top(fusion.dense_scores(vectors(spark, sf), _query_vector(spark, sf)), 10)
 
@@ -121,18 +134,18 @@ def cosine_topk(spark, sf):
 RRF = f"""
 lex AS (SELECT element_id, row_number() OVER (ORDER BY score DESC, element_id) AS rank FROM s QUALIFY rank <= 50),
 den AS (SELECT element_id, row_number() OVER (ORDER BY score DESC, element_id) AS rank FROM dense QUALIFY rank <= 50),
-rrf AS (SELECT element_id, round(coalesce(1 / (60 + l.rank), 0) + coalesce(1 / (60 + d.rank), 0), 6) AS score, l.rank AS lexical_rank, d.rank AS dense_rank FROM lex l FULL JOIN den d USING (element_id))"""
+rrf AS (SELECT element_id, coalesce(1 / (60 + l.rank), 0) + coalesce(1 / (60 + d.rank), 0) AS score, l.rank AS lexical_rank, d.rank AS dense_rank FROM lex l FULL JOIN den d USING (element_id))"""
 
 
 def _rrf(spark, sf, limit):
-    lex = lexical.top(lexical.bm25(tokens(spark, sf), one_query(spark)), fusion.DEPTH)
+    lex = lexical.top(lexical.bm25(index(spark, sf), one_query(spark)), fusion.DEPTH)
     den = lexical.top(fusion.dense_scores(vectors(spark, sf), _query_vector(spark, sf)), fusion.DEPTH)
     return fusion.reciprocal_rank_fusion([lex, den], limit)
 
 
-@query(f"WITH {BM25 % ONE}, {COS}, {RRF} SELECT element_id, score, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(dense_rank, 0) AS dense_rank FROM rrf ORDER BY score DESC, element_id LIMIT 30")
+@query(f"WITH {BM25 % ONE}, {COS}, {RRF} SELECT element_id, round(score, 6) AS score, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(dense_rank, 0) AS dense_rank FROM rrf ORDER BY score DESC, element_id LIMIT 30")
 def rrf_fuse(spark, sf):
-    return _rrf(spark, sf, 30).fillna(0, ["lexical_rank", "dense_rank"])
+    return _rrf(spark, sf, 30).drop("rank").fillna(0, ["lexical_rank", "dense_rank"])
 
 
 @query("""SELECT doc_id AS element_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
@@ -161,14 +174,14 @@ kept AS (SELECT element_id, row_number() OVER (ORDER BY score DESC, element_id)
 rest AS (SELECT element_id, row_number() OVER (ORDER BY rank) AS place FROM ranked WHERE element_id NOT IN (SELECT element_id FROM kept) QUALIFY place <= 30 - (SELECT count(*) FROM kept))
 SELECT element_id, row_number() OVER (ORDER BY part, place) AS ord FROM (SELECT 0 AS part, * FROM rest UNION ALL SELECT 1, element_id, rank FROM kept)""")
 def hint_reserve(spark, sf):
-    fused = _rrf(spark, sf, 30).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "element_id")))
+    fused = _rrf(spark, sf, 30)
     return fusion.reserve_hints(fused, _hints(spark, sf), 30)
 
 
 @query(f"""WITH {BM25 % ONE}, c AS (SELECT element_id, row_number() OVER (ORDER BY score DESC, element_id) AS rank FROM s QUALIFY rank <= 30)
 SELECT element_id, row_number() OVER (ORDER BY n_chars % 1000 DESC, rank) AS ord FROM c JOIN documents ON doc_id = element_id QUALIFY ord <= 10""")
 def rerank_order(spark, sf):
-    candidates = lexical.top(lexical.bm25(tokens(spark, sf), one_query(spark)), 30)
+    candidates = lexical.top(lexical.bm25(index(spark, sf), one_query(spark)), 30)
     scores = read(spark, sf, "documents").select(F.col("doc_id").alias("element_id"), (F.col("n_chars") % 1000).cast("double").alias("score"))
     return fusion.rerank(candidates, scores.join(candidates.select("element_id"), "element_id", "left_semi"), 10)
 
