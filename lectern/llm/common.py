@@ -16,14 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a temporary folder is chosen
-    and put into the session, so that later calls agree on it.
+    Only in a local session where ``spark.checkpoint.dir`` is unset (tests) a temporary folder is chosen and put into the
+    session, so that later calls agree on it; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lectern-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

@@ -71,15 +71,16 @@ def screen(groups: DataFrame, against: Snapshot) -> DataFrame:
 
 
 def merged_groups(incoming: DataFrame, against: Snapshot) -> DataFrame:
-    """(digest, keep_id, n) of snapshot and batch together."""
+    """(digest, keep_id, n) of snapshot and batch together: the snapshot's groups stay as they are but for those that positives meet."""
     screened = stored(screen(grouped(incoming), against), "screened")
     new = screened.where("not maybe").select("digest", "keep_id", "n")
     # positives join the exact buckets; both sides hold a digest once
     hits = screened.where("maybe").select("digest", F.col("keep_id").alias("in_keep"), F.col("n").alias("in_n"))
-    exact = against.groups.join(hits, "digest", "full_outer").select(
-        "digest", F.greatest("keep_id", "in_keep").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("in_n", F.lit(0))).alias("n")
-    )
-    return new.unionByName(exact)
+    met = stored(hits.join(against.groups, "digest", "left"), "met")
+    false = met.where("n is null").select("digest", F.col("in_keep").alias("keep_id"), F.col("in_n").alias("n"))
+    changed = met.where("n is not null").select("digest", F.greatest("keep_id", "in_keep").alias("keep_id"), (F.col("n") + F.col("in_n")).alias("n"))
+    same = against.groups.select("digest", "keep_id", "n").join(changed.select("digest"), "digest", "left_anti")
+    return same.unionByName(changed).unionByName(new).unionByName(false)
 
 
 def check_bytes(docs: DataFrame, copies: DataFrame) -> None:

@@ -108,6 +108,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     )
 
 
+def listed_labels(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(page_id, blocked) of the pages that a list rule decides."""
+    listed = list_rule(rules, *host_and_path())["verdict"]
+    return pages.select("page_id", (listed == "block").alias("blocked")).where("blocked is not null").distinct()
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"))
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels, RULES)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, listed_labels(pages, RULES), RULES)

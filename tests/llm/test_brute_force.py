@@ -87,3 +87,148 @@ def test_decontamination(spark, bound, monkeypatch):
         want.append((k, len(own), len(hit), sorted(ids)))
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in got)
     assert sum(1 for w in want if w[2]) > 50
+
+
+def test_packed_pieces_hold_the_library_s_ids(spark):
+    """doc_id, piece, start, length and ids_crc32 of every piece, rebuilt from the library's ids; several later rounds."""
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice(["alpha", "beta", "é日", "x  y", "12,5", "\n"]) for _ in range(draw.choice([0, 3, 50, 400, 2500]))) for _ in range(120)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("piece", packing.F.lit("clash")).repartition(24)
+    got = packing.placed(packing.pack(docs)).collect()
+    tokenizer, want = bpe.encoder(bpe.default_tokenizer()).tokenizer, {}
+    for k, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        head = len(ids) % 1024 or min(1024, len(ids))
+        cuts = [0, *range(head, len(ids) + 1, 1024)]
+        for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[k, piece] = (a, b - a, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a:b])))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 1024
+    # five documents a partition: at most 2 % and one more than best fit over all pieces at once needs
+    assert len(bins) <= 1.02 * len(packing.best_fit([n for _, n, _ in want.values()], 1024)) + 1
+
+
+def test_url_verdicts(spark):
+    """Host, path and the longest list rule in plain Python; mined rules by counting every combination of tokens."""
+    draw = random.Random(3)
+    hosts = ["www.Example.com", "example.com", "a.b.net", "NET", "x.org", "com", "examplecom", "b.example.com", ""]
+    urls = [f"{draw.choice(['http', 'ftp', ''])}{draw.choice(['://', '://', ':'])}{draw.choice(hosts)}{draw.choice(['', '/', '/en/', '/en', '/es/a', '/fr/b/c', '/EN/'])}{draw.choice(['', '?q=1', '#en/', '?a://b/'])}" for _ in range(600)] + [None, "", "x" * 100_000 + "://y.net/es/"]
+    pages = spark.createDataFrame([(i, u, "n") for i, u in enumerate(urls)] + [(5, urls[5], "n")], "page_id long, url string, host string")
+    labels = url_filter.listed_labels(pages, url_filter.RULES)
+    got = url_filter.judge(pages, labels, url_filter.RULES).collect()
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    def listed(host, path):
+        fits = [(len(h + p), h + p, a) for a, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    assert len(got) == len(urls) + 1
+    for r in got:
+        host, path = parts(urls[r["page_id"]])
+        rule, verdict = listed(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or ("block" if r["mined_rule"] else "allow"))
+    mined = {r["mined_rule"]: r["confidence"] for r in got if r["mined_rule"]}
+    tokens = {r["page_id"]: {*r["t"]} for r in pages.select("page_id", url_filter.url_tokens(*url_filter.host_and_path(), url_filter.F.col("url")).alias("t")).collect()}
+    blocked = {r["page_id"]: r["blocked"] for r in labels.collect()}
+    rows = [(tokens[i], blocked[i]) for i in [*range(len(urls)), 5] if i in blocked]
+    for rule, confidence in mined.items():
+        held = [b for t, b in rows if {*rule.split(" ")} <= t]
+        assert held and abs(sum(held) / len(held) - confidence) < 1e-9 and confidence >= url_filter.MIN_CONFIDENCE
+    # of the single tokens that reach the confidence often enough, none is overlooked
+    for token in {t for own, _ in rows for t in own}:
+        held = [b for t, b in rows if token in t]
+        if sum(held) >= max(1, min(url_filter.MIN_PAGES, url_filter.MIN_SUPPORT * len(rows))) and sum(held) / len(held) >= url_filter.MIN_CONFIDENCE:
+            assert all(r["verdict"] == "block" for r in got if token in tokens[r["page_id"]] and r["rule"] is None)
+
+
+def test_language_decisions(spark, monkeypatch):
+    """Scores and decisions recomputed with numpy from the fitted weights; texts longer than what is hashed together."""
+    import numpy as np
+
+    from lectern.llm import language_id
+
+    draw, rows = random.Random(8), []
+    for i in range(300):
+        lang = ("xx", "yy", "zz")[i % 3]
+        rows.append((i, " ".join("".join(draw.choice({"xx": "abcd", "yy": "wxyz", "zz": "klmn"}[lang]) for _ in range(5)) for _ in range(draw.randrange(1, 30))), lang))
+    rows += [(900, "", "xx"), (901, None, "xx"), (902, "12 !", None), (903, "abcd", None), (None, "wxyz wxyz", "yy"), (904, "ABCD é 日本", "xx"), (905, "abcd " * 700, None)]
+    docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, lang string, score string")
+    model = language_id.fit(docs)
+    monkeypatch.setattr(language_id, "TOGETHER", 1000)
+    got = {r["doc_id"]: r for r in language_id.predict(docs.select("doc_id", "text"), model).collect()}
+    monkeypatch.setattr(language_id, "TOGETHER", 1 << 20)
+    for key, text, _ in rows:
+        found = [g for g in language_id.grams(text or "")]
+        if not found:
+            assert (got[key]["lang_pred"], got[key]["score"]) == ("und", 0.0)
+            continue
+        features = np.concatenate(found)
+        logits = (model["weights"][features].sum(0, dtype=np.float64) / len(features) + model["bias"]) / model["temperature"]
+        p = np.exp(logits - logits.max())
+        assert got[key]["lang_pred"] == model["classes"][int(p.argmax())] and abs(got[key]["score"] - p.max() / p.sum()) < 1e-6
+    assert np.mean([got[k]["lang_pred"] == lang for k, t, lang in rows[:300]]) > 0.95
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Planted copies, near copies, benchmark passages and letterless rows; each stage against plain Python on what the stage before kept."""
+    import corpus_pipeline
+
+    draw = random.Random(21)
+    vocabulary = {"xx": [f"ba{a}{b}do" for a in "aeiou" for b in "klmnp"], "yy": [f"z{a}w{b}x" for a in "aeiou" for b in "qrstv"]}
+    prose = lambda lang, n: " ".join(draw.choice(vocabulary[lang]) + draw.choice(vocabulary[lang]) for _ in range(n))
+    texts = [(prose(lang, draw.randrange(60, 200)), lang) for lang in ("xx", "yy") * 60]
+    texts += [texts[3], texts[3], texts[10], (None, "xx"), ("", None), ("12 34 !", "yy"), ("12 34 !", "yy")]
+    for k in (5, 6, 7):
+        words = texts[k][0].split()
+        words[len(words) // 2] = "changed"
+        texts.append((" ".join(words), texts[k][1]))
+    passage = prose("xx", 14)
+    texts += [(prose("xx", 40) + " " + passage + " " + prose("xx", 30), "xx"), (prose("yy", 50) + ", " + passage.upper(), "yy")]
+    rows = [(i, t, lang, "web", len(t or ""), "own") for i, (t, lang) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _predicted string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage), (2, "nothing of the kind is to be found in here at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r["doc_id"]: r["text"] for r in docs.collect()} if number < 5 else {}
+        docs = stage(spark, docs, str(tmp_path))
+        path = str(tmp_path / f"stage{number}")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        after = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        seen.append((before, after))
+        if number < 4:
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    (all_, known), (_, single), (_, apart), (_, clean), (_, packed) = seen
+    assert known == {i for i, t in all_.items() if t and any(c.isalpha() for c in t)}
+    assert single == {max(i for i in known if all_[i] == all_[k]) for k in known}
+
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, root = {i: shingles(all_[i]) for i in single}, {i: i for i in single}
+    for _ in range(3):
+        for a in single:
+            for b in single:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert apart == {i for i in single if root[i] == i} and len(apart) < len(single)
+    flat = lambda t: " ".join(WORD.findall(lowered(t)))
+    items = [flat(passage).split(), "nothing of the kind is to be found in here at all".split()]
+    windows = [" ".join(w[i : i + 10]) for w in items for i in range(len(w) - 9)]
+    assert clean == {i for i in apart if not any(f" {w} " in f" {flat(all_[i])} " for w in windows)} and len(clean) == len(apart) - 2
+    assert packed == clean
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in final.collect()} == clean
+    tokenizer = bpe.encoder(bpe.default_tokenizer()).tokenizer
+    assert sum(r["length"] for r in final.collect()) == sum(len(tokenizer.encode(all_[i], add_special_tokens=False).ids) + 1 for i in clean)
