@@ -7,6 +7,10 @@ Each stage takes the Parquet that its predecessor wrote, and its decisions take
 3. near_dedup: of documents linked by five-word shingles at a similarity of 0.8, the smallest doc_id stays.
 4. decontamination: documents in which ten consecutive words of a benchmark item occur go.
 5. packing: what is left, as pieces of sequences of at most 1024 tokens (the columns of the packing query).
+
+Defined results: null and empty texts, and those without a letter, go in the first stage; rows that repeat stay or go
+together; a null doc_id loses against any other copy; an empty table gives no sequence; other columns pass through to
+the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +24,16 @@ from lectern.llm.common import stored, table
 MIN_LANGUAGE_SCORE = 0.4
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    predicted = language_id.predict(docs, language_id.fit(docs), names=("_predicted", "_likely"))
-    return predicted.where((F.col("_predicted") != "und") & (F.col("_likely") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    names = tuple(free_name(n, docs.columns) for n in ("predicted", "likely"))
+    predicted = language_id.predict(docs, language_id.fit(docs), names=names)
+    return predicted.where((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", keep_known_languages), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
 
-#: SQL can't express the trained language model of the first stage; tests compare run() with a brute-force version.
+#: SQL can't express the trained language model of the first stage; a test compares each stage and run() with plain Python.
 ORACLE_SQL = None
 
 
