@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What tokens and Han characters are, as classes of characters.
 #: A run that starts in Han stops where Han ends; any other run of letters, digits and underscores goes on into Han.
 TOKEN = r"\p{IsHan}+|[\p{L}\p{N}_]+"
 HAN = r"^\p{IsHan}+$"
@@ -31,6 +35,7 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+# Characters and what stands for them in HTML, the ampersand first.
 def escape_html(text: Column) -> Column:
     for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(plain), F.lit(escaped))
@@ -63,6 +68,89 @@ def hashed_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.sha2(F.concat(*parts), 256))
 
 
-def space_key(*fields: Column) -> Column:
-    """Identity of an embedding space: a hash over its fields, the metric and the text version, in a fixed order."""
-    return F.sha2(F.to_json(F.array(*[f.cast("string") for f in fields], F.lit("cosine"), F.lit("text-v1"))), 256)
+SPACES = r"(?U)\s+"
+
+
+def collapsed(text: Column) -> Column:
+    """White space of any script as single spaces, none at the ends."""
+    return F.trim(F.regexp_replace(text, SPACES, " "))
+
+
+def title_key(title: Column) -> Column:
+    """Lower-cased compatibility form (NFKC) for comparing titles; ASCII titles, by far the most, stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def folded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).lower())
+
+    plain = F.when(title.rlike(r"^\p{ASCII}*$"), F.lower(title))
+    return F.coalesce(plain, folded(F.when(plain.isNull(), title)))
+
+
+def job_title(path: Column, first_page: Column, source_hash: Column) -> Column:
+    """A book's title: its file name without .pdf (160 characters at most), else its first line with a letter or digit, else its hash."""
+    name = F.trim(F.substring(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.pdf$", ""), 1, 160))
+    lines = F.filter(F.split(first_page, "\n"), lambda line: line.rlike(r"[\p{L}\p{N}]"))
+    return F.coalesce(F.nullif(name, F.lit("")), F.substring(F.trim(F.get(lines, F.lit(0))), 1, 160), F.concat(F.lit("PDF "), F.substring(source_hash, 1, 12)))
+
+
+def percent_decoded(resource: Column) -> Column:
+    """Percent escapes decoded, a plus sign kept; null where they are not valid UTF-8."""
+    return F.try_url_decode(F.replace(resource, F.lit("+"), F.lit("%2B")))
+
+
+def safe_resource(resource: Column) -> Column:
+    """Whether a decoded path stays below its folder: no scheme, root, backslash, control sign, or step upwards."""
+    decoded = percent_decoded(resource)
+    bad = decoded.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^/|\\|\p{Cc}|(^|/)\.\.(/|$)|[?#]")
+    return F.coalesce(~bad & (decoded != ""), F.lit(False))
+
+
+def source_allowed(path: Column) -> Column:
+    """Whether a source may be read: a known suffix, no hidden part, no name that says credentials."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    known = name.rlike(r"\.(txt|md|markdown|html?|docx|pdf|png|jpe?g|webp)$")
+    return known & ~path.rlike(r"(^|/)\.[^/]") & ~name.rlike(r"credential|secret|password|private[-_]?key|id_rsa|token")
+
+
+def pieces(text: Column, size: int) -> Column:
+    """array<struct<start, stop, text>>: parts of at most ``size`` UTF-16 code units that split no surrogate pair.
+
+    Texts without characters beyond the basic plane are cut where they stand; for others a cut that would fall into a
+    pair comes one unit earlier, which a fold over the cuts keeps track of.
+    """
+    units = utf16_length(text)
+    even = F.transform(F.sequence(F.lit(0), F.greatest(units - 1, F.lit(0)), F.lit(size)), lambda a: F.struct(a.alias("start"), F.least(a + size, units).alias("stop"), F.substring(text, a + 1, F.lit(size)).alias("text")))
+    astral = text.rlike(r"[\x{10000}-\x{10FFFF}]")
+
+    @F.pandas_udf("array<struct<start:int,stop:int,text:string>>")
+    def cut(values: pd.Series) -> pd.Series:
+        def one(value: str | None) -> list[dict] | None:
+            if value is None:
+                return None
+            raw, out, at = value.encode("utf-16-le"), [], 0
+            while at < len(raw) // 2:
+                stop = min(at + size, len(raw) // 2)
+                if stop < len(raw) // 2 and 0xD8 <= raw[2 * stop - 1] <= 0xDB and stop - 1 > at:
+                    stop -= 1
+                out.append({"start": at, "stop": stop, "text": raw[2 * at : 2 * stop].decode("utf-16-le", "surrogatepass")})
+                at = stop
+            return out
+
+        return values.map(one)
+
+    return F.when(astral, cut(F.when(astral, text))).otherwise(even)
+
+
+def base64_exact(encoded: Column) -> Column:
+    """Whether decoding and encoding again gives the same string."""
+    return F.coalesce(F.replace(F.base64(F.try_to_binary(encoded, F.lit("base64"))), F.lit("\r\n"), F.lit("")) == encoded, F.lit(False))
+
+
+def instructed(instruction: Column, text: Column) -> Column:
+    return F.concat(F.coalesce(instruction, F.lit("")), text)
+
+
+def exact_keys(document: Column, keys: list[str]) -> Column:
+    """Whether a JSON object has these keys and no others."""
+    return F.coalesce(F.array_sort(F.json_object_keys(document)) == F.array(*map(F.lit, sorted(keys))), F.lit(False))

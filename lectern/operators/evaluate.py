@@ -55,3 +55,23 @@ def coverage(requirements: DataFrame, mapped: DataFrame) -> DataFrame:
         "answer_id", F.size(F.array_except(need_c, have_c)).alias("uncovered"), F.size(F.array_except(have_c, need_c)).alias("dangling"),
         ((F.size(F.array_except(need_c, have_c)) == 0) & (F.size(need_c) > 0)).alias("answered"),
     )
+
+
+def set_recall(shown: DataFrame, wanted: DataFrame, item: str) -> DataFrame:
+    """(query_id, recall, precision) of sets of items; null where the set to be divided by is empty."""
+    keys = ["query_id", item]
+    both = shown.select(*keys).distinct().withColumn("s", F.lit(1)).join(wanted.select(*keys).distinct().withColumn("w", F.lit(1)), keys, "full_outer")
+    per = both.groupBy("query_id").agg(F.sum(F.when(F.col("s") + F.col("w") == 2, 1).otherwise(0)).alias("both"), F.count("s").alias("s"), F.count("w").alias("w"))
+    return per.select("query_id", F.round(ratio(F.col("both"), F.col("w")), 6).alias("recall"), F.round(ratio(F.col("both"), F.col("s")), 6).alias("precision"))
+
+
+def locator_recall(hits: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall, reciprocal_rank) of gold spans that one of a query's first ``k`` hits overlaps.
+
+    hits: (query_id, document_id, start, stop, rank); spans: (query_id, document_id, span_id, span_start, span_stop).
+    """
+    h, s = hits.where(F.col("rank") <= k).alias("h"), spans.alias("s")
+    same = (F.col("h.query_id") == F.col("s.query_id")) & (F.col("h.document_id") == F.col("s.document_id"))
+    met = s.join(h, same & (F.col("start") <= F.col("span_stop")) & (F.col("stop") >= F.col("span_start")), "left")
+    best = met.groupBy(F.col("s.query_id").alias("query_id"), F.col("s.document_id").alias("document_id"), "span_id").agg(F.min("rank").alias("r"))
+    return best.groupBy("query_id").agg(F.round(ratio(F.count("r"), F.count(F.lit(1))), 6).alias("recall"), F.round(F.coalesce(1 / F.min("r"), F.lit(0.0)), 6).alias("reciprocal_rank"))

@@ -50,7 +50,7 @@ def hint_scores(hints: DataFrame, links: DataFrame, query: str) -> DataFrame:
 
 
 def reserve_hints(ranked: DataFrame, hints: DataFrame, pool: int) -> DataFrame:
-    """(element_id, ord): up to ceil(pool / 3) hints come last; the ranked list loses them and gives up their slots.
+    """(element_id, ord, hint): up to ceil(pool / 3) hints come last; the ranked list loses them and gives up their slots.
 
     ranked: (element_id, rank); hints: (element_id, score).
     """
@@ -61,7 +61,7 @@ def reserve_hints(ranked: DataFrame, hints: DataFrame, pool: int) -> DataFrame:
     rest = ranked.join(kept, "element_id", "left_anti")
     rest = rest.withColumn("ord", F.row_number().over(Window.orderBy("rank"))).join(F.broadcast(size)).where(F.col("ord") <= pool - F.col("held"))
     both = rest.select("element_id", F.lit(0).alias("part"), F.col("ord").alias("rank")).unionByName(kept.select("element_id", F.lit(1).alias("part"), "rank"))
-    return both.select("element_id", F.row_number().over(Window.orderBy("part", "rank")).alias("ord"))
+    return both.select("element_id", F.row_number().over(Window.orderBy("part", "rank")).alias("ord"), (F.col("part") == 1).alias("hint"))
 
 
 def rerank(candidates: DataFrame, scores: DataFrame, limit: int) -> DataFrame:

@@ -84,3 +84,9 @@ def capped_links(hits: DataFrame, links: DataFrame, limit: int = 5) -> DataFrame
     linked = hits.join(links, "element_id").groupBy("query_id", "image_id").agg(F.min(F.struct("rank", "image_pos")).alias("first"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("first", "image_id"))
     return linked.select("query_id", "image_id", order.alias("ord")).where(F.col("ord") <= limit)
+
+
+def numbered_once(rows: DataFrame, key: str, index: str) -> DataFrame:
+    """(key, n, whole): whether a key's rows are numbered 0 to n - 1, each number once."""
+    n = F.count(F.lit(1))
+    return rows.groupBy(key).agg(n.alias("n"), ((n == F.max(index) + 1) & (n == F.countDistinct(index)) & (F.min(index) == 0)).alias("whole"))

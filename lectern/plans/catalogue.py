@@ -48,17 +48,21 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.tokenized(elements(spark, sf))
 
 
-_indexed: dict[tuple, str] = {}
+_made: dict[tuple, str] = {}
+
+
+def once(spark: SparkSession, sf: str, name: str, make: Callable[[str], None]) -> str:
+    """A folder that ``make`` fills for a snapshot, in the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _made:
+        folder = _scratch(spark, name)
+        make(folder)
+        _made[key] = folder
+    return _made[key]
 
 
 def index(spark: SparkSession, sf: str) -> lexical.Index:
-    """The index of a snapshot's elements, built by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _indexed:
-        folder = _scratch(spark, "index")
-        lexical.build(elements(spark, sf), folder)
-        _indexed[key] = folder
-    return lexical.opened(spark, _indexed[key])
+    return lexical.opened(spark, once(spark, sf, "index", lambda folder: lexical.build(elements(spark, sf), folder)))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +179,7 @@ rest AS (SELECT element_id, row_number() OVER (ORDER BY rank) AS place FROM rank
 SELECT element_id, row_number() OVER (ORDER BY part, place) AS ord FROM (SELECT 0 AS part, * FROM rest UNION ALL SELECT 1, element_id, rank FROM kept)""")
 def hint_reserve(spark, sf):
     fused = _rrf(spark, sf, 30)
-    return fusion.reserve_hints(fused, _hints(spark, sf), 30)
+    return fusion.reserve_hints(fused, _hints(spark, sf), 30).drop("hint")
 
 
 @query(f"""WITH {BM25 % ONE}, c AS (SELECT element_id, row_number() OVER (ORDER BY score DESC, element_id) AS rank FROM s QUALIFY rank <= 30)
@@ -397,8 +401,12 @@ def list_documents(spark, sf):
 
 
 def _scratch(spark, name: str) -> str:
-    """A new folder in the shared one that the cluster names; a local one only where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lectern-")
+    """A new folder in the shared one that the cluster names; a local one only in a local session where that is unset (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-lectern-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

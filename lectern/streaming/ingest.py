@@ -21,10 +21,10 @@ def elements(documents: DataFrame) -> DataFrame:
 def ingest(documents: DataFrame, store: CatalogueStore, checkpoint: str) -> None:
     """Publish all that a streaming (document_id, text) table has at hand, one commit for each micro-batch.
 
-    A micro-batch that Spark repeats after a failure carries the same number, and the store commits it once.
+    A micro-batch that Spark repeats after a failure carries the same number, and the store commits a number once.
     """
 
     def commit(rows: DataFrame, number: int) -> None:
-        store.publish(elements(rows), store.head()["epoch"], batch=f"{checkpoint}#{number}")
+        store.publish(elements(rows), store.epoch(), batch=f"{checkpoint}#{number}")
 
     documents.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -50,9 +50,10 @@ def test_catalogue_commits(spark, tmp_path):
     assert store.remove(rows(("a", "", "")), 2) == 3 and store.remove(rows(), 3) == 4
     assert [tuple(r) for r in store.snapshot().collect()] == [("b", "1", "y")]
     assert store.history().count() == 3
-    stale = store.head() | {"epoch": 3}
-    with pytest.raises(Conflict):
-        store._commit(stale)
+    assert sorted(map(tuple, store.snapshot(1).collect())) == [("a", "1", "x"), ("b", "1", "y")] and store.epoch() == 4
+    for bad in ([("a", "7", "x"), ("a", "8", "x")], [(None, "7", "x")], [("a", None, "x")]):
+        with pytest.raises(Conflict):
+            store.publish(rows(*bad), 4)
 
 
 def test_ingest_takes_each_file_once(spark, tmp_path):
@@ -61,5 +62,5 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
         spark.createDataFrame([(str(k), "line\n" * 25), (f"n{k}", None)], "document_id string, text string").write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema("document_id string, text string").parquet(str(tmp_path / "in"))
         ingest.ingest(stream, store, str(tmp_path / "state"))
-    assert store.head()["epoch"] == 2
+    assert store.epoch() == 2
     assert store.snapshot().groupBy("document_id").count().orderBy("document_id").collect() == [("0", 2), ("1", 2), ("n0", 1), ("n1", 1)]
