@@ -28,11 +28,11 @@ def cosine(a: Column, b: Column) -> Column:
     bound = F.array(F.struct(a.alias("a"), top(a).alias("ta"), b.alias("b"), top(b).alias("tb")))
 
     def value(s: Column) -> Column:
-        x, y = F.transform(s["a"], lambda v: v / s["ta"]), F.transform(s["b"], lambda v: v / s["tb"])
+        x, y = F.transform(s["a"], lambda v: F.try_divide(v, s["ta"])), F.transform(s["b"], lambda v: F.try_divide(v, s["tb"]))
         pair = F.zip_with(x, y, lambda v, w: F.struct((v * w).alias("d"), (v * v).alias("p"), (w * w).alias("q")))
         zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
         add = lambda m, t: F.struct((m["d"] + t["d"]).alias("d"), (m["p"] + t["p"]).alias("p"), (m["q"] + t["q"]).alias("q"))
-        return F.aggregate(pair, zero, add, lambda m: m["d"] / F.sqrt(m["p"] * m["q"]))
+        return F.aggregate(pair, zero, add, lambda m: F.try_divide(m["d"], F.sqrt(m["p"] * m["q"])))
 
     found = F.element_at(F.transform(bound, value), 1)
     return F.when(found.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), found)))  # greatest and least skip nulls

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import title_key
 from lectern.operators.structure import unique_prefixes
+from lectern.sources.scratch import stored
 
 LEAST = 3
 
@@ -26,8 +27,8 @@ def listed(books: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, *order) -> DataFrame:
     """Rows with ``place``, their number from 1 in this order, by counts of the sorted partitions before them."""
     spark = rows.sparkSession
-    ordered = rows.orderBy(*order)
-    placed = ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    # stored, since a sort that is run again may draw its ranges elsewhere
+    placed = stored(rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")), "numbered")
     # the numbers of rows by partition are as few as the partitions
     counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = {}, 0

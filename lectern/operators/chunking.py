@@ -4,7 +4,7 @@ A chunk's end decides where the next one starts, so texts are cut one after anot
 at most ``LONGEST`` code units need no cut and stay in the JVM.
 
 Defined results: null and empty texts have no chunk; offsets are UTF-16 code units and never split a surrogate pair;
-repeated rows give their chunks again; however many chunks a text has, all are returned.
+repeated rows give their chunks again; a text of more than ``MOST`` chunks is refused (``TooLong``).
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import utf16_length
 
-# Sizes in code units, and what may end a chunk, best first.
-LONGEST, EARLIEST, TARGET, OVERLAP = 1200, 600, 800, 100
+# Sizes in code units, chunks of a text, and what may end a chunk, best first.
+LONGEST, EARLIEST, TARGET, OVERLAP, MOST = 1200, 600, 800, 100, 5000
 SPACE = r"[\t\n\v\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 BOUNDARIES = [re.compile(rf"\n{SPACE}*\n"), re.compile(r"\n"), re.compile(rf"[。！？]|[.!?](?:{SPACE}+|\Z)")]
 
@@ -54,13 +54,22 @@ def spans(units: str) -> Iterator[tuple[int, int]]:
         yield start, len(units)
 
 
+class TooLong(ValueError):
+    """A text has more chunks than may be indexed."""
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["document_id", "pos", "start", "stop", "text"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            units = code_units(text)
-            rows = [(key, i, a, b, units[a:b].encode("utf-16-le", "surrogatepass").decode("utf-16-le")) for i, (a, b) in enumerate(spans(units))]
+        for i in range(0, batch.num_rows, 100):
+            rows = []
+            for key, text in zip(*(c.to_pylist() for c in batch.slice(i, 100).columns)):
+                units = code_units(text)
+                own = [*spans(units)]
+                if len(own) > MOST:
+                    raise TooLong(f"document {key} has {len(own)} chunks; at most {MOST} are allowed")
+                rows += [(key, i, a, b, units[a:b].encode("utf-16-le", "surrogatepass").decode("utf-16-le")) for i, (a, b) in enumerate(own)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 

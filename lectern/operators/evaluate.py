@@ -12,13 +12,15 @@ def document_ranks(hits: DataFrame) -> DataFrame:
     return first.select("query_id", "document_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "document_id")).alias("document_rank"))
 
 
-def rank_metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """Per query: first relevant rank, hit at k, reciprocal rank at k, recall at k (null without gold)."""
-    found = hits.join(gold.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi").where(F.col("rank") <= k)
+def rank_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """Per query: first relevant rank, hit at k, reciprocal rank at k, recall at k (null without gold).
+
+    hits: (query_id, document_id, rank, relevant); relevant: (query_id, relevant), how many documents are.
+    """
+    found = hits.where("relevant").where(F.col("rank") <= k)
     best = found.groupBy("query_id").agg(F.min("rank").alias("first_rank"), F.countDistinct("document_id").alias("found"))
-    total = gold.groupBy("query_id").agg(F.countDistinct("document_id").alias("relevant"))
-    queries = hits.select("query_id").union(gold.select("query_id")).distinct()
-    return queries.join(best, "query_id", "left").join(total, "query_id", "left").select(
+    queries = hits.select("query_id").union(relevant.select("query_id")).distinct()
+    return queries.join(best, "query_id", "left").join(relevant, "query_id", "left").select(
         "query_id", "first_rank", F.col("first_rank").isNotNull().alias("hit"),
         F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 6).alias("reciprocal_rank"),
         F.round(ratio(F.coalesce("found", F.lit(0)), F.col("relevant")), 6).alias("recall"),
@@ -39,7 +41,24 @@ def overlapping(hits: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    return rows.groupBy(key).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias("nearest_rank"), F.count(value).alias("n"))
+    """(key, nearest_rank, n): the smallest value that at least ``share`` of a key's values do not exceed.
+
+    Values are counted by ranges between approximate quantiles first; only the range that holds the wanted rank is put in
+    order, so no task sorts a whole key.
+    """
+    own = rows.select(key, F.col(value).alias("v")).where("v is not null")
+    cuts = own.groupBy(key).agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
+    ranged = own.join(F.broadcast(cuts), key)  # a row for each key
+    ranged = ranged.select(key, "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range"))
+    counts = ranged.groupBy(key, "range").agg(F.count(F.lit(1)).alias("n"))  # 64 a key at most
+    window = Window.partitionBy(key)
+    before = F.coalesce(F.sum("n").over(window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = counts.select(key, "range", "n", before.alias("before"), F.sum("n").over(window).alias("total"))
+    wanted = F.greatest(F.ceil(F.col("total") * share), F.lit(1))
+    held = total.withColumn("wanted", wanted).where("before < wanted and wanted <= before + n").select(key, "range", (F.col("wanted") - F.col("before")).alias("nth"), "total")
+    inside = ranged.join(F.broadcast(held), [key, "range"]).withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("v")))
+    found = inside.where("i = nth").select(key, F.col("v").alias("nearest_rank"), F.col("total").alias("n"))
+    return rows.select(key).distinct().join(found, key, "left").select(key, "nearest_rank", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def coverage(requirements: DataFrame, mapped: DataFrame) -> DataFrame:

@@ -32,8 +32,9 @@ def pending(plan: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def generation_rules(plan: DataFrame, stored: DataFrame) -> DataFrame:
-    """(book_id, planned, stored, missing, foreign, valid): a generation counts as valid when both agree batch by batch."""
-    both = plan.select("book_id", "ordinal", "binding", F.lit(1).alias("p")).join(stored.select("book_id", "ordinal", "binding", F.lit(1).alias("s")), ["book_id", "ordinal", "binding"], "full_outer")
+    """(book_id, planned, stored, missing, foreign, valid): a generation counts as valid when both agree batch by batch; repeated rows count once."""
+    keys = ["book_id", "ordinal", "binding"]
+    both = plan.select(*keys).distinct().withColumn("p", F.lit(1)).join(stored.select(*keys).distinct().withColumn("s", F.lit(1)), keys, "full_outer")
     per = both.groupBy("book_id").agg(F.count("p").alias("planned"), F.count("s").alias("stored"), F.count_if(F.col("s").isNull()).alias("missing"), F.count_if(F.col("p").isNull()).alias("foreign"))
     return per.withColumn("valid", (F.col("missing") == 0) & (F.col("foreign") == 0))
 

@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import utf16_length
+
 LINES, MAX_LINE_ELEMENT = 20, 30_000
 
 
+def refused_texts(documents: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(document_id, why) of texts that are no plain text or too large: a NUL, more than ``most`` code units, an element of more than MAX_LINE_ELEMENT."""
+    length = utf16_length(F.coalesce("text", F.lit("")))
+    own = documents.select("document_id", F.when(F.col("text").contains("\u0000"), "nul").when(length > most, "size").alias("why")).where("why is not null")
+    long = line_elements(documents).where(utf16_length(F.col("text")) > MAX_LINE_ELEMENT).select("document_id", F.lit("element").alias("why")).distinct()
+    return own.unionByName(long)
+
+
 def line_elements(documents: DataFrame, size: int = LINES) -> DataFrame:
     """(document_id, pos, start, stop, text): runs of ``size`` lines with 1-based line numbers; no shuffle."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -30,9 +40,36 @@ def gaps(rows: DataFrame, partition: str, start: str, stop: Column) -> DataFrame
     return rows.withColumn("expected", before).where(F.col(start) != F.col("expected"))
 
 
-def running_total(rows: DataFrame, partition: str, order: str, value: str) -> DataFrame:
-    window = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(value).over(window))
+#: Numbers of an order that are summed up together.
+STRETCH = 1 << 16
+
+
+def running_total(rows: DataFrame, partition: str, order: str, value: str, stretch: int = STRETCH) -> DataFrame:
+    """Rows with ``running``: the sum of ``value`` up to each row, by a whole number ``order`` that is unique in a partition.
+
+    Stretches of the order are summed up first, then the few sums, then the rows within their stretch: a partition with a
+    third of all rows is many windows.
+    """
+    cut = rows.withColumn("_stretch", F.floor(F.col(order) / stretch))
+    sums = cut.groupBy(partition, "_stretch").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(partition).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select(F.col(partition).alias("_key"), F.col("_stretch").alias("_at"), before.alias("_base"))
+    inside = F.sum(value).over(Window.partitionBy(partition, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    own = cut.withColumn("_inside", inside)
+    same = F.col(partition).eqNullSafe(F.col("_key")) & F.col("_stretch").eqNullSafe(F.col("_at"))
+    return own.join(bases, same).withColumn("running", F.col("_base") + F.coalesce("_inside", F.lit(0))).drop("_stretch", "_key", "_at", "_base", "_inside")
+
+
+def within_budget(rows: DataFrame, partition: str, order: str, value: str, budget: int) -> DataFrame:
+    """The same rows, unless a partition's sum exceeds the budget: then ``OverBudget``."""
+    over = rows.groupBy(partition).agg(F.sum(value).alias("total")).where(F.col("total") > budget).limit(1).collect()
+    if over:
+        raise OverBudget(f"{over[0][partition]}: {over[0]['total']} is more than {budget}")
+    return rows
+
+
+class OverBudget(ValueError):
+    pass
 
 
 def repeated_ids(*ids: DataFrame) -> DataFrame:
@@ -52,9 +89,10 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
 def unique_prefixes(ids: DataFrame, least: int = 20) -> DataFrame:
     """(id, ref): each hex id's shortest prefix of at least ``least`` characters that no other id has.
 
-    In sorted order only the neighbours matter, so there is no self join; ids are dealt by their first characters.
+    In sorted order only the neighbours matter, so there is no self join; ids are dealt by as many of their first
+    characters as a reference has at least (six at most).
     """
-    part = ids.select("id", F.substring("id", 1, 2).alias("head"))
+    part = ids.select("id", F.substring("id", 1, min(least, 6)).alias("head"))
     window = Window.partitionBy("head").orderBy("id")
 
     def shared(other: Column) -> Column:

@@ -72,13 +72,17 @@ def _plan_and_stored(spark, sf):
     return own.select("book_id", "ordinal", "binding"), stored.select("book_id", "ordinal", "binding")
 
 
-@query("SELECT l_orderkey AS book_id, l_linenumber AS ordinal FROM lineitem WHERE l_returnflag = 'R' OR l_partkey % 17 = 0")
+PLANNED = """p AS (SELECT l_orderkey AS book_id, l_linenumber AS ordinal, md5(l_partkey || ':' || l_suppkey) AS binding FROM lineitem),
+s AS (SELECT l_orderkey AS book_id, l_linenumber AS ordinal, CASE WHEN l_partkey % 17 = 0 THEN 'other' ELSE md5(l_partkey || ':' || l_suppkey) END AS binding FROM lineitem WHERE l_returnflag <> 'R')"""
+
+
+@query(f"WITH {PLANNED} SELECT book_id, ordinal FROM p WHERE NOT EXISTS (FROM s WHERE s.book_id = p.book_id AND s.ordinal = p.ordinal AND s.binding = p.binding)")
 def pending_batches(spark, sf):
     return jobs.pending(*_plan_and_stored(spark, sf)).select("book_id", "ordinal")
 
 
-@query("""SELECT l_orderkey AS book_id, count(*) AS planned, count_if(l_returnflag <> 'R')::BIGINT AS stored, count_if(l_returnflag = 'R' OR l_partkey % 17 = 0)::BIGINT AS missing, count_if(l_returnflag <> 'R' AND l_partkey % 17 = 0)::BIGINT AS "foreign",
-  count_if(l_returnflag = 'R' OR l_partkey % 17 = 0) = 0 AS valid FROM lineitem GROUP BY 1""")
+@query(f"""WITH {PLANNED}, f AS (SELECT coalesce(a.book_id, b.book_id) AS book_id, a.book_id IS NOT NULL AS p, b.book_id IS NOT NULL AS s FROM (SELECT DISTINCT * FROM p) a FULL JOIN (SELECT DISTINCT * FROM s) b ON a.book_id = b.book_id AND a.ordinal = b.ordinal AND a.binding = b.binding)
+SELECT book_id, count_if(p)::BIGINT AS planned, count_if(s)::BIGINT AS stored, count_if(NOT s)::BIGINT AS missing, count_if(NOT p)::BIGINT AS "foreign", count_if(NOT s) + count_if(NOT p) = 0 AS valid FROM f GROUP BY 1""")
 def generation_check(spark, sf):
     return jobs.generation_rules(*_plan_and_stored(spark, sf))
 
@@ -188,3 +192,19 @@ def locator_recall(spark, sf):
 def index_order(spark, sf):
     """Whether numbered rows are 0 to n - 1, once each."""
     return structure.numbered_once(read(spark, sf, "conversations"), "conv_id", "turn")
+
+
+@query("SELECT document_id, why FROM (SELECT doc_id AS document_id, 'size' AS why FROM documents WHERE length(coalesce(text, '')) > 20000 UNION SELECT doc_id, 'element' FROM documents, (SELECT doc_id AS d, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))), 20)) AS i FROM documents) WHERE d = doc_id AND length(array_to_string(list_slice(string_split(coalesce(text, ''), chr(10)), i + 1, i + 20), chr(10))) > 30000)")
+def refused_texts(spark, sf):
+    return structure.refused_texts(read(spark, sf, "documents").withColumnRenamed("doc_id", "document_id"), 20_000)
+
+
+@query("""SELECT conv_id * 1000 + turn AS document_id, 2 AS line, substr(role, 1, 2) AS caption, turn % 3 <> 0 AS allowed FROM conversations WHERE turn % 2 = 0""")
+def markdown_images(spark, sf):
+    """Turns as Markdown: an image on the second line, within a fence in every other turn."""
+    from lectern.sources import markdown
+
+    turn = F.col("turn")
+    mark = F.concat(F.lit("!["), F.substring("role", 1, 2), F.lit("](img/"), turn.cast("string"), F.when(turn % 3 == 0, ".gif").otherwise(".png"), F.lit(")"))
+    text = F.when(turn % 2 == 0, F.concat(F.lit("`![no](x.png)`\n"), mark)).otherwise(F.concat(F.lit("```\n"), mark, F.lit("\n```")))
+    return markdown.images(read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + turn).alias("document_id"), text.alias("text"))).select("document_id", "line", "caption", "allowed")

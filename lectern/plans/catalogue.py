@@ -7,8 +7,6 @@ revisions, ``orders`` and ``lineitem`` documents with linked images, ``pages`` H
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +16,7 @@ from lectern.functions import text as T
 from lectern.functions import vectors as V
 from lectern.operators import chunking, evaluate, fusion, lexical, structure
 from lectern.sources.catalogue_store import CatalogueStore
+from lectern.sources.scratch import scratch as _scratch
 from lectern.streaming import ingest as ingestion
 
 QUERY = "the thonou ent de la que"
@@ -271,11 +270,17 @@ def doc_first_rank(spark, sf):
 GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS document_id FROM benchmark JOIN labels ON quality = 1 AND doc_id % 40 = item_id % 40)"
 
 
-def _hits_and_gold(spark, sf):
+def _judged(spark, sf):
+    """The hits of all items with whether they are relevant, and how many documents are relevant to each item.
+
+    A good document is relevant to the items of its rest by 40: hits meet documents by their number, and relevant ones
+    are counted by rest, so no list of all relevant pairs is made.
+    """
     hits = _batch(spark, sf).select("query_id", F.col("element_id").alias("document_id"), "rank")
-    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m"))
-    gold = read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 40).alias("m")).join(items, "m").drop("m")
-    return hits, gold
+    good = read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 40).alias("m")).distinct()
+    met = hits.join(good, "document_id", "left").select("query_id", "document_id", "rank", F.coalesce(F.col("m") == F.col("query_id") % 40, F.lit(False)).alias("relevant"))
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m")).distinct()
+    return met, items.join(good.groupBy("m").agg(F.count(F.lit(1)).alias("relevant")), "m").select("query_id", "relevant")
 
 
 METRICS = f"""WITH {BM25 % MANY}, {TOP}, {GOLD}, h AS (SELECT query_id, element_id AS document_id, rank FROM r WHERE rank <= 10),
@@ -286,12 +291,12 @@ m AS (SELECT query_id, first_rank, first_rank IS NOT NULL AS hit, round(coalesce
 
 @query(f"{METRICS} SELECT query_id, coalesce(first_rank, 0) AS first_rank, hit, reciprocal_rank, recall FROM m")
 def hit_at_k(spark, sf):
-    return evaluate.rank_metrics(*_hits_and_gold(spark, sf), 10).fillna(0, ["first_rank"])
+    return evaluate.rank_metrics(*_judged(spark, sf), 10).fillna(0, ["first_rank"])
 
 
 @query(f"{METRICS} SELECT round(avg(hit::INT), 6) AS hit_at_10, round(avg(reciprocal_rank), 6) AS mrr, round(avg(recall), 6) AS macro_recall FROM m")
 def mrr(spark, sf):
-    m = evaluate.rank_metrics(*_hits_and_gold(spark, sf), 10)
+    m = evaluate.rank_metrics(*_judged(spark, sf), 10)
     return m.agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_at_10"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("macro_recall"))
 
 
@@ -400,17 +405,22 @@ def list_documents(spark, sf):
     return read(spark, sf, "documents").groupBy(F.col("source").alias("document_id")).agg(F.count(F.lit(1)).alias("n_elements"), F.count_if(F.col("lang") == "en").alias("n_images"), F.sum("n_chars").alias("n_chars"))
 
 
-def _scratch(spark, name: str) -> str:
-    """A new folder in the shared one that the cluster names; a local one only in a local session where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-lectern-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _stop(start: str) -> str:
+    """Where the chunk ends that begins at ``start`` of the text t of length n."""
+
+    def nearest(pattern: str) -> str:
+        near = f"substr(t, {start} + 601, 600)"
+        found, gaps = f"regexp_extract_all({near}, '{pattern}')", f"string_split_regex({near}, '{pattern}')"
+        ends = f"list_transform(range(1, len({found}) + 1), lambda i: list_sum(list_transform({gaps}[1:i], lambda x: length(x))) + list_sum(list_transform({found}[1:i], lambda x: length(x))))"
+        return f"({start} + 600 + list_sort(list_transform({ends}, lambda e: abs(e - 200) * 10000 + e))[1] % 10000)"
+
+    patterns = [r"\n\s*\n", r"\n", r"[。！？]|[.!?](?:\s+|$)"]
+    return f"CASE WHEN n - ({start}) <= 1200 THEN n ELSE coalesce({', '.join(map(nearest, patterns))}, {start} + 800) END::INT"
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text)::INT AS n FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, 0 AS pos, 0 AS start, {_stop('0')} AS stop FROM d UNION ALL SELECT doc_id, pos + 1, stop - 100, {_stop('stop - 100')} FROM c JOIN d USING (doc_id) WHERE stop < n)
+SELECT doc_id AS document_id, pos, start, stop, sha256(substr(t, start + 1, stop - start)) AS text_hash FROM c JOIN d USING (doc_id)""")
 def retrieval_chunks(spark, sf):
     cut = chunking.retrieval_chunks(read(spark, sf, "documents").withColumnRenamed("doc_id", "document_id"))
     return cut.select("document_id", "pos", "start", "stop", F.sha2("text", 256).alias("text_hash"))

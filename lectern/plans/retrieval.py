@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from lectern.functions import identity
 from lectern.operators import rules, search
 from lectern.sources.retrieval_store import HintStore, VectorStore
+from lectern.sources.scratch import scratch as _scratch
 
-from .catalogue import BM25, ONE, QUERY, TOK, _scratch, elements, index, once, query, read
+from .catalogue import BM25, ONE, QUERY, TOK, elements, index, once, query, read
 
 SPACE = ("local", "length-16", 17)
 EMBED = f"list_append(list_transform(range(16), lambda i: len(list_filter({TOK}, lambda x: len(x) % 16 = i))::DOUBLE), 1)"
