@@ -32,7 +32,9 @@ def test_cosine(spark):
 def test_bm25_against_plain_python(spark):
     docs = {1: "red fox red", 2: "blue fox", 3: "green", 4: ""}
     df = spark.createDataFrame(list(docs.items()), "element_id long, text string")
-    got = dict(rows(lexical.bm25(lexical.tokenized(df), spark.createDataFrame([(0, "fox red fox")], "query_id long, text string")).select("element_id", "score")))
+    tokens = lexical.tokenized(df)
+    index = lexical.Index(lexical.postings(tokens), lexical.corpus_stats(tokens))
+    got = dict(rows(lexical.bm25(index, spark.createDataFrame([(0, "fox red fox")], "query_id long, text string")).select("element_id", "score")))
     toks = {k: re.findall(r"\w+", v) for k, v in docs.items()}
     avg = sum(map(len, toks.values())) / 4
     want = {}
@@ -47,7 +49,7 @@ def test_bm25_against_plain_python(spark):
 def test_hint_takes_the_only_slot(spark):
     ranked = spark.createDataFrame([(7, 1)], "element_id long, rank int")
     hints = spark.createDataFrame([(9, 2)], "element_id long, score int")
-    assert rows(fusion.reserve_hints(ranked, hints, 1)) == [(9, 1)]
+    assert rows(fusion.reserve_hints(ranked, hints, 1)) == [(9, 1, True)]
 
 
 def test_line_elements_and_gaps(spark):
@@ -61,4 +63,4 @@ def test_line_elements_and_gaps(spark):
 def test_entry_points_import():
     import __spark_entry__ as e
 
-    assert len(e.queries()) > 35 and set(e.oracle_sql()) <= set(e.queries())
+    assert len(e.queries()) > 80 and set(e.oracle_sql()) <= set(e.queries())
