@@ -2,10 +2,12 @@
 
 Four base patterns (email, ip, card, phone) with their checks always count. Beside them, generators with high recall
 propose spans that may overlap: digit groups in any notation, addresses with spelled-out signs, and the base patterns'
-failing matches. Boosted trees, one model a kind, score each candidate from its format and the words before it. Base
+failing matches, and long runs of mixed letters and digits as secrets (a kind without a base pattern, reported beside
+the others). Boosted trees, one model a kind, score each candidate from its format and the words before it. Base
 spans are positives; so is a candidate beside them that has evidence of its own (``evidence``): an address that is valid
 once its signs are written out, a card number by Luhn's check in card notation or after a clue word, 8 to 15 digits after
-a clue word that are no date, four numbers to 255 after a clue word. Candidates that cut a base span are not learnt from.
+a clue word that are no date, four numbers to 255 after a clue word, a mixed run that is assigned to a word such as
+password or token, or has the form of an issued key. Candidates that cut a base span are not learnt from.
 A model learns on at most about ``TRAINING_CANDIDATES`` candidates (a documented bound, drawn by hash, in equal parts of
 base spans, candidates with evidence and candidates without, which weigh the same). The redaction threshold of a kind is
 the lowest score whose precision is at least ``PRECISION`` over all its candidates that overlap no base span, those
@@ -38,6 +40,8 @@ CONTEXT = 24
 #: Put before each match to find its place; stands for no sign of a pattern. Texts that have it already get another control sign there.
 MARK, OTHER = "\u0001", "\u0002"
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans that the trees may add.
+ADDED = (*KINDS, "secret")
 
 # The patterns are those of the contract, written so that they never go back: a run of characters is entered at its
 # start only (or where the last match ended) and taken whole.
@@ -53,14 +57,18 @@ GENERATORS = {
     "digits": r"(?<![0-9])[0-9]++(?:[\x20()./-]{1,2}[0-9]++)++|(?<![0-9])[0-9]{7,}+",
     "spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++(?:\x20?\[at\]\x20?|\x20?\(at\)\x20?)[A-Za-z0-9-]++(?:(?:\x20?\[dot\]\x20?|\x20?\(dot\)\x20?|\.)[A-Za-z0-9-]++)++",
 }
-GENERATOR_NEEDS = {"digits": r"[0-9]{7}|[0-9][\x20()./-]{1,2}[0-9]", "spelled": r"[\[(]at[\])]"}
+GENERATORS["secret"] = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+"
+GENERATOR_NEEDS = {"secret": r"[A-Za-z][0-9]|[0-9][A-Za-z]", "digits": r"[0-9]{7}|[0-9][\x20()./-]{1,2}[0-9]", "spelled": r"[\[(]at[\])]"}
 CLUES = {"call": "phone", "tel": "phone", "mail": "email", "card": "card", "visa": "card", "server": "ip", "host": "ip"}
 #: Clue words as whole words, in the languages of the corpus.
 CLUE_WORDS = {
     "phone": r"call|tel|telephone|phone|mobile|cell|fax|dial|sms|whatsapp|telefon|tel[eé]fono|t[eé]l[eé]phone|t[eé]l|handy|mobil|m[oó]vil|portable|ruf|anruf|llama|appelez",
     "card": r"card|visa|mastercard|amex|credit|debit|karte|kreditkarte|carte|tarjeta",
     "ip": r"server|host|ip|address|serveur|servidor|adresse",
+    "secret": r"password|passwd|pwd|token|secret|key|apikey|auth|bearer|passwort|kennwort|clave|contrase[nñ]a",
 }
+#: What stands between such a word and the secret, and forms of issued keys.
+ASSIGNED, ISSUED = r"\s{0,2}[=:]\s{0,2}[\"']?$", r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{20,})$"
 DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-]{1,2}[0-9]{1,2}[ ./-]{1,2}[0-9]{1,2}|[0-9]{1,2}[ ./-]{1,2}[0-9]{1,2}[ ./-]{1,2}(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[ ./-]{1,2}(?:19|20)[0-9]{2})$"
 
 def spans(text: Column, pattern: str, needed: str) -> Column:
@@ -122,7 +130,7 @@ def scan(documents: DataFrame) -> DataFrame:
 
 FEATURES = [
     "length", "digits", "groups", "longest", "dots", "dashes", "spaces", "plus", "paren", "at", "luhn_ok", "small_parts", "glued_before", "glued_after", *[f"clue_{c}" for c in CLUES],
-    "address", "date", "card_notation", *[f"word_{k}" for k in CLUE_WORDS],
+    "letters", "capitals", "turns", "assigned", "issued", "address", "date", "card_notation", *[f"word_{k}" for k in CLUE_WORDS],
 ]
 
 
@@ -137,7 +145,7 @@ def evidence(kind: Column, f: dict[str, Column]) -> Column:
     card = f["luhn_ok"] & ((f["digits"].between(16, 19) & f["card_notation"]) | (f["digits"].between(13, 19) & f["word_card"]))
     phone = f["digits"].between(8, 15) & f["word_phone"] & ~f["date"] & ~f["glued_before"] & ~f["glued_after"]
     ip = (f["groups"] == 4) & (f["dots"] == 3) & f["small_parts"] & f["word_ip"] & ~f["glued_before"] & ~f["glued_after"]
-    return F.when(kind == "email", f["address"]).when(kind == "card", card).when(kind == "phone", phone).otherwise(ip)
+    return F.when(kind == "email", f["address"]).when(kind == "card", card).when(kind == "phone", phone).when(kind == "secret", f["issued"] | f["assigned"]).otherwise(ip)
 
 
 def met(scanned: DataFrame) -> DataFrame:
@@ -166,17 +174,19 @@ def featured(scanned: DataFrame) -> DataFrame:
         "luhn_ok": F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(F.lit(False)), "small_parts": F.forall(groups, lambda g: (F.length(g) <= 3) & (F.substring(g, 1, 3).cast("int") <= 255)),
         "glued_before": F.col("context").rlike(r"[\p{L}\p{N}+]$"), "glued_after": F.col("after").rlike(r"^[\p{L}\p{N}]"),
     } | {f"clue_{w}": F.col("context").contains(w) for w in CLUES} | {
+        "letters": many("A-Za-z"), "capitals": many("A-Z"), "turns": F.regexp_count("value", F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")), "issued": F.col("value").rlike(ISSUED),
+        "assigned": F.col("context").rlike(rf"(?<!\p{{L}})(?:{CLUE_WORDS['secret']}){ASSIGNED}"),
         "address": address(F.col("value")), "date": F.col("value").rlike(DATE), "card_notation": F.col("value").rlike(r"^[0-9]{4}(?:[^0-9]{1,2}[0-9]{4})*+(?:[^0-9]{1,2}[0-9]{1,4})?$"),
     } | {f"word_{k}": F.col("context").rlike(rf"(?<!\p{{L}})(?:{w})(?!\p{{L}})") for k, w in CLUE_WORDS.items()}
     dotted = (F.size(groups) == 4) & (many(".") == 3)
     # what a candidate would be: by its signs, the number of its digits and the words before it
     kind = (
-        F.when(F.col("source").isin(*KINDS), F.col("source")).when(F.col("source") == "spelled", "email")
+        F.when(F.col("source").isin(*ADDED), F.col("source")).when(F.col("source") == "spelled", "email")
         .when(numbers["word_phone"] & F.length(digits).between(8, 15) & ~(dotted & numbers["small_parts"]), "phone")
         .when((F.length(digits) >= 13), "card").when(dotted, "ip").otherwise("phone")
     )
     out = c.select("row", kind.alias("kind"), "start", "stop", "overlaps", *[f"same_{k}" for k in KINDS], *[v.alias(k) for k, v in numbers.items()])
-    same = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"same_{k}")) for k in KINDS])
+    same = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"same_{k}")) for k in KINDS], F.lit(False))
     label = same | evidence(F.col("kind"), {k: F.col(k) for k in numbers})
     out = out.select("row", "kind", "start", "stop", label.cast("double").alias("label"), same.alias("same"), "overlaps", *[F.col(k).cast("double").alias(k) for k in numbers])
     return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(out)
@@ -205,7 +215,7 @@ def added(scanned: DataFrame) -> DataFrame:
     for r in candidates.groupBy("kind", "same", "label").count().collect():
         strata.setdefault(r["kind"], {})[r["same"], r["label"]] = r["count"]
     # where no candidate beside the base spans has evidence, no score reaches the precision
-    scored = [taught(candidates, kind, strata[kind]) for kind in KINDS if (False, 1.0) in strata.get(kind, {})]
+    scored = [taught(candidates, kind, strata[kind]) for kind in ADDED if (False, 1.0) in strata.get(kind, {})]
     if not scored:
         return spark.createDataFrame([], "row long, more array<struct<kind:string,start:int,stop:int>>")
     every = stored(functools.reduce(DataFrame.unionByName, scored), "pii-scored")
@@ -237,6 +247,13 @@ def joined_spans(with_more: bool) -> Column:
     return F.array_join(F.concat(*[of(k) for k in KINDS]), ",")
 
 
+def secrets() -> Column:
+    found = F.filter(F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,stop:int>>")), lambda x: x["kind"] == "secret")
+    return F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the contract; after them the secrets, which are none of its kinds."""
     out = detect(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(joined_spans(False), 256).alias("base_sha256"), joined_spans(True).alias("spans"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined_spans(False), 256).alias("base_sha256"), joined_spans(True).alias("spans"), F.size(secrets()).cast("long").alias("n_secret"), F.array_join(secrets(), ",").alias("secrets"))

@@ -232,3 +232,15 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {r["doc_id"] for r in final.collect()} == clean
     tokenizer = bpe.encoder(bpe.default_tokenizer()).tokenizer
     assert sum(r["length"] for r in final.collect()) == sum(len(tokenizer.encode(all_[i], add_special_tokens=False).ids) + 1 for i in clean)
+
+
+def test_secrets(spark):
+    """Assigned and issued keys among long words, numbers and mixed runs without a clue."""
+    texts = [f'mine is password={i:04x}7aa4a5fcc78305 ok' for i in range(20)] + [f'a token = "{i:04x}641917ea4e9feb9cda83477b57" b' for i in range(20)] + [f"key AKIAMD62HKU6VBLCC{i:03d} c" for i in range(20)]
+    others = [f"order x{i:04}abcdefghijklm1 shipped" for i in range(60)] + ["donaudampfschifffahrtsgesellschaft", "1234567890123456789012", None, "", "password=short1", "user1234567890123456@host.org"]
+    found = pii.detect(spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string")).select("doc_id", pii.secrets().alias("s")).collect()
+    got = {r["doc_id"]: r["s"] for r in found}
+    for i, text in enumerate(texts):
+        value = max(re.findall("[A-Za-z0-9]+", text), key=len)
+        assert got[i] == [f"secret:{text.index(value)}:{text.index(value) + len(value)}"], text
+    assert not any(got[i] for i in range(len(texts), len(texts + others)))
