@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import answers, books, chunking, evaluate, jobs, lexical, rules, search, structure
+from lectern.operators import answers, books, chunking, evaluate, jobs, lexical, records, rules, search, structure
 from lectern.sources.catalogue_store import Conflict
 from lectern.sources.retrieval_store import HintStore, VectorStore
 
@@ -159,3 +159,18 @@ def test_too_many_chunks_are_refused(spark, monkeypatch):
     monkeypatch.setattr(chunking, "MOST", 3)
     with pytest.raises(chunking.TooLong):
         list(chunking._cut(iter([spark.createDataFrame([(1, "x" * 9000)], "document_id long, text string").toArrow().to_batches()[0]])))
+
+
+def test_records(spark):
+    import hashlib
+
+    sha = hashlib.sha256(b"x").hexdigest()
+    blobs = spark.createDataFrame([(sha, bytearray(b"x")), (sha, bytearray(b"y")), (sha, None)], "hash string, content binary")
+    assert rows(records.verified(blobs).select("state")) == [("corrupt",), ("ok",), ("unavailable",)]
+    windows = spark.createDataFrame([("b", 0, "x", sha), ("b", 1, "y", sha), ("b", 2, "x" * 9, hashlib.sha256(b"x" * 9).hexdigest()), ("b", 3, None, None)], "book_id string, window_no int, payload string, checksum string")
+    assert [r["window_no"] for r in records.checked_windows(windows, 8).collect()] == [0]
+    manifests = spark.createDataFrame([(1, "ready", 5, 5, 1, 1), (2, "parsing", 5, 2, 1, 1), (3, "ready", 5, 4, 2, 1), (4, None, 1, 2, 0, 0)], "job_id long, state string, pages int, parsed int, windows int, indexed int")
+    assert rows(records.manifest_rules(manifests)) == [("early", "2"), ("early", "4"), ("parsed", "4"), ("ready", "3"), ("ready", "4"), ("state", "4"), ("whole", "3"), ("whole", "4")]
+    blocks = spark.createDataFrame([(1, 1, "figure", "a<b", "f"), (1, 0, "paragraph", "x*y", "p")], "b long, o long, kind string, text string, id string")
+    assert rows(records.exported(blocks, "b", "o")) == [(1, "x&#42;y\n\n![a&#60;b](assets/f.png)", '<p>x*y</p>\n<figure id="f"><figcaption>a&lt;b</figcaption></figure>')]
+    assert records.exported(blocks.limit(0), "b", "o").count() == 0
