@@ -171,6 +171,6 @@ def test_records(spark):
     assert [r["window_no"] for r in records.checked_windows(windows, 8).collect()] == [0]
     manifests = spark.createDataFrame([(1, "ready", 5, 5, 1, 1), (2, "parsing", 5, 2, 1, 1), (3, "ready", 5, 4, 2, 1), (4, None, 1, 2, 0, 0)], "job_id long, state string, pages int, parsed int, windows int, indexed int")
     assert rows(records.manifest_rules(manifests)) == [("early", "2"), ("parsed", "4"), ("ready", "3"), ("state", "4"), ("whole", "3"), ("whole", "4")]
-    blocks = spark.createDataFrame([(1, 1, "figure", "a<b", "f"), (1, 0, "paragraph", "x*y", "p")], "b long, o long, kind string, text string, id string")
-    assert rows(records.exported(blocks, "b", "o")) == [(1, "x&#42;y\n\n![a&#60;b](assets/f.png)", '<p>x*y</p>\n<figure id="f"><figcaption>a&lt;b</figcaption></figure>')]
-    assert records.exported(blocks.limit(0), "b", "o").count() == 0
+    blocks = spark.createDataFrame([(1, 1, "figure", "a<b", "f"), (1, 0, "paragraph", "x*y", "p")], "d long, o long, kind string, text string, id string")
+    assert rows(records.exported(blocks, "d", "o")) == [(1, "x&#42;y\n\n![a&#60;b](assets/f.png)", '<p>x*y</p>\n<figure id="f"><figcaption>a&lt;b</figcaption></figure>')]
+    assert records.exported(blocks.limit(0), "d", "o").count() == 0
