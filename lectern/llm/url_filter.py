@@ -3,13 +3,13 @@
 List rules come first: (action, host, path), a rule fits its host and all subdomains when the url's path starts with
 its path, the longest wins. What no list rule decides is judged by mined rules: Spark's FP-growth mines combinations
 of url tokens, of any size, that go with the label *block* on labelled pages. Rules below ``MIN_CONFIDENCE`` are pruned,
-and those that hold on fewer pages than both ``MIN_PAGES`` and the share ``MIN_SUPPORT`` of the labelled pages. Of the rest
-only rules go that have one token more than a rule of at least their confidence: that one fits wherever they do. A token
+and those that hold on fewer labelled pages than ``MIN_PAGES`` or the share ``MIN_SUPPORT``, which bounds the tokens that
+FP-growth keeps on the driver to those of a url divided by it, however large the table. Of the rest only rules go that have one token more than a rule of at least their confidence: that one fits wherever they do. A token
 with digits counts as it is and with each run of digits as one #. Matching goes through an inverted index: every rule is listed under its rarest token (by counts over all
 urls), urls look up their tokens there, and the candidates' other tokens are checked. Urls are judged once each.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no tokens, and is allowed; repeated
-pages keep a row each; without labelled pages no rule is mined; an empty table gives an empty result; other columns
+pages keep a row each; with fewer labelled pages than ``MIN_PAGES`` no rule is mined; an empty table gives an empty result; other columns
 are not read.
 """
 
@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored, table
 
-MIN_SUPPORT = 0.005
+MIN_SUPPORT = 1e-5
 MIN_CONFIDENCE = 0.8
 MIN_PAGES = 10
 
 #: The rule list of the query.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 BLOCK = "label:block"
+RULE = "rule_id long, antecedent array<string>, confidence double, support double"
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -73,9 +74,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     baskets = stored(labelled.where(F.size("tokens") > 0).select(items.alias("items")), "url-baskets")
     n = baskets.count()
     if not n:
-        return spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
+        return spark.createDataFrame([], RULE)
     # half a page less, so that rounding doesn't ask for one more
-    support = min(min_support, (min_pages - 0.5) / n)
+    support = max(min_support, (min_pages - 0.5) / n)
+    if support > 1:
+        return spark.createDataFrame([], RULE)
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets).associationRules
     found = stored(found.where(F.array_contains("consequent", BLOCK)).select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "url-rules-found")
     return stored(needed_only(found), "url-rules")
