@@ -68,14 +68,19 @@ def opened(spark, folder: str) -> Index:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, place): the distinct terms of each query in order."""
-    return queries.select("query_id", F.posexplode(F.array_distinct(tokenize(F.col("text")))).alias("place", "term"))
+    """(query_id, term): the distinct terms of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+
+
+#: Parts of a score are whole multiples of one by this, so their sum does not depend on their order.
+UNITS = 1e12
 
 
 def bm25(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, element_id, score) of every element that has a query term. ``queries``: (query_id, text).
 
-    An element's parts are added in the order of the query's terms, so equal elements have equal scores to the last bit.
+    Equal elements have equal scores to the last bit, whatever the order in which their parts are added; sums are combined
+    before they are shuffled.
     """
     terms = query_terms(queries)
     few = [r["term"] for r in terms.select("term").distinct().limit(LITERALS + 1).collect()]
@@ -85,9 +90,8 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     # idf goes to the terms' side, which is as small as the queries
     weights = terms.join(df, "term").join(F.broadcast(index.stats))
-    scored = own.join(weights, "term").select("query_id", "element_id", F.struct("place", part.alias("part")).alias("p"))
-    parts = scored.groupBy("query_id", "element_id").agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    return parts.select("query_id", "element_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"))
+    units = F.sum(F.round(part * UNITS).cast("long"))
+    return own.join(weights, "term").groupBy("query_id", "element_id").agg((units / F.lit(UNITS)).alias("score"))
 
 
 def in_order(column: str, rows: DataFrame) -> Column:

@@ -76,11 +76,11 @@ TOK = r"regexp_extract_all(lower(coalesce(text, '')), '\p{Han}+|[\p{L}\p{N}_]+')
 BM25 = rf"""
 tok AS (SELECT doc_id AS element_id, {TOK} AS t FROM documents),
 st AS (SELECT count(*) AS n, coalesce(nullif(avg(len(t)), 0), 1) AS a FROM tok),
-q AS (SELECT query_id, term, min(spot) AS place FROM (SELECT query_id, unnest({TOK}) AS term, generate_subscripts({TOK}, 1) AS spot FROM %s) GROUP BY ALL),
+q AS (SELECT DISTINCT query_id, unnest({TOK}) AS term FROM %s),
 x AS (SELECT element_id, len(t) AS l, unnest(t) AS term FROM tok),
 tf AS (SELECT term, element_id, l, count(*) AS c FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS d FROM tf GROUP BY term),
-s AS (SELECT query_id, element_id, list_reduce(list_prepend(0::DOUBLE, list(ln(1 + (n - d + 0.5) / (d + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / a)) ORDER BY place)), lambda x, y: x + y) AS score
+s AS (SELECT query_id, element_id, sum(round(ln(1 + (n - d + 0.5) / (d + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / a)) * 1e12)::BIGINT)::DOUBLE / 1e12 AS score
   FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY query_id, element_id)"""
 ONE = f"(SELECT 0 AS query_id, '{QUERY}' AS text)"
 MANY = "(SELECT item_id AS query_id, text FROM benchmark)"
