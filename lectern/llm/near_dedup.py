@@ -327,3 +327,19 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM t),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+f AS (SELECT g, count(*) AS df FROM x GROUP BY g),
+p AS (SELECT doc_id, n, g FROM x JOIN f USING (g) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, g) <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+i AS (SELECT a, b, len(list_intersect(y.s, z.s)) AS shared, len(y.s) + len(z.s) AS total FROM c JOIN s y ON y.doc_id = a JOIN s z ON z.doc_id = b),
+e AS (SELECT a, b FROM i WHERE 100 * shared >= 80 * (total - shared)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS d, doc_id AS m FROM s UNION SELECT r.d, u.b FROM r JOIN u ON u.a = r.m),
+m AS (SELECT d, min(m) AS component_id FROM r GROUP BY d)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m ON d = doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op2_warc": warc.SQL, "op7_repeated_spans": repeated_spans.SQL, "op8_decontaminate": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op2_warc": warc.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op7_repeated_spans": repeated_spans.SQL, "op8_decontaminate": decontaminate.SQL}
