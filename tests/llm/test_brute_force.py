@@ -244,3 +244,12 @@ def test_secrets(spark):
         value = max(re.findall("[A-Za-z0-9]+", text), key=len)
         assert got[i] == [f"secret:{text.index(value)}:{text.index(value) + len(value)}"], text
     assert not any(got[i] for i in range(len(texts), len(texts + others)))
+
+
+def test_encoder_agrees_with_the_library_on_odd_texts():
+    """Runs of white space of every kind, signs, added tokens and letters of several scripts."""
+    draw = random.Random(1)
+    parts = ["a", "b", "É", " ", " ", "  ", "\n", "\t", "\u00a0", "\x85", "\x1c", "1", "23", ".", ",", "'s", "'", "日", "\u3000", "<|endoftext|>", "\u0120", "\u200b", "é", "😀"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(8000)]
+    encoder = bpe.encoder(bpe.default_tokenizer())
+    assert encoder.encode(texts) == encoder.whole(texts)
