@@ -35,7 +35,7 @@ from .common import stored, table
 from .token_output import decode, encode
 
 #: Bytes of text that are aligned together, and whose pairs are sent together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Pairs of tokens of a group beyond which its ids are counted before they are paired.
 WIDE = 4096
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
