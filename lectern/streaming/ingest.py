@@ -28,3 +28,26 @@ def ingest(documents: DataFrame, store: CatalogueStore, checkpoint: str) -> None
         store.publish(elements(rows), store.epoch(), batch=f"{checkpoint}#{number}")
 
     documents.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: How long the bytes of a source are remembered, so that the same ones start no second job.
+REMEMBERED = "30 days"
+
+
+def started(sources: DataFrame, arrived: str = "arrived") -> DataFrame:
+    """A streaming (job_id, source_hash, bytes) table with one row for equal bytes, across micro-batches and restarts.
+
+    sources: (content, arrived): the state is one hash a job, dropped when the watermark passes it. Null content counts as
+    empty; of equal sources it is not said which one starts the job; a null time counts as known bytes' first arrival.
+    """
+    content = F.coalesce("content", F.lit(""))
+    own = sources.select(F.sha2(content, 256).alias("source_hash"), F.octet_length(content).cast("long").alias("bytes"), F.col(arrived).alias("arrived"))
+    once = own.withWatermark("arrived", REMEMBERED).dropDuplicatesWithinWatermark(["source_hash"])
+    return once.select(F.concat(F.lit("book_"), "source_hash").alias("job_id"), "source_hash", "bytes")
+
+
+def start_jobs(sources: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Start jobs for all sources at hand; the jobs of all runs so far."""
+    writer = started(sources).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return sources.sparkSession.read.schema("job_id string, source_hash string, bytes long").parquet(out)
