@@ -2,8 +2,9 @@
 
 A text is encoded, with a space before it, by a byte-level BPE file (A) and, with the space that it adds itself, by a
 sentencepiece model (B). A task takes some megabytes of text at a time: in a pandas frame of token starts a side, keyed by
-document, ``merge_asof`` finds for each token start the other side's covering token; both directions together are the
-overlaps, and overlaps with equal ends cut a document into groups. The tokens of a group are linked with each other.
+document (the key is document and byte as one number: a document begins at byte 0 on both sides, so no match leaves it),
+``merge_asof`` finds for each token start the other side's covering token; both directions together are the overlaps, and
+overlaps with equal ends cut a document into groups. The tokens of a group are linked with each other.
 
 What the corpus says of a pair of ids (in how many documents it is linked, whether that is the most of its A id) is
 counted over blocks: a block, the texts taken together, sends each pair once, with the number of its documents that have
@@ -34,8 +35,12 @@ from . import bpe
 from .common import stored, table
 from .token_output import decode, encode
 
-#: Bytes of text that are aligned together, and whose pairs are sent together.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text that are encoded together, and of those that are aligned together and whose pairs are sent together.
+ENCODED_BYTES, BLOCK_BYTES = 4 << 20, 2 << 20
+#: Words that a worker remembers with both sides' ids, twice at most.
+REMEMBERED = 300_000
+#: Texts whose words can't be encoded one by one: with white space beside white space (A), or with spaces beside spaces or at the end (B).
+ODD = f"{bpe.RUN}|  | \\z|^ |^\\z|\u2581"
 #: Pairs of tokens of a group beyond which its ids are counted before they are paired.
 WIDE = 4096
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -54,6 +59,8 @@ class ByteSide(bpe.WordEncoder):
         super().__init__(path)
         self.tokenizer.encode_special_tokens = True
         self.added = []
+        # bytes alone are split and merged, so unless texts are normalised before, nothing is lost
+        self.exact = self.tokenizer.normalizer is None
         # the pre-tokenizer's alphabet: printable bytes stand for themselves, the others follow from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)}.difference(own)))}
@@ -61,42 +68,39 @@ class ByteSide(bpe.WordEncoder):
         for token, i in self.tokenizer.get_vocab().items():
             self.entries[i] = bytes(map(shown.__getitem__, token)) if all(c in shown for c in token) else token.encode()
 
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word after a space."""
+        self._learn({*words})
+        found, self.known = self.known, {}
+        return found
 
-class PieceSide(bpe.WordEncoder):
-    """sentencepiece. No piece has a space after another sign, so a word's pieces don't depend on the words around it."""
+
+class PieceSide:
+    """sentencepiece. No piece has a space after another sign, so a word's pieces don't depend on the words around it.
+
+    What is encoded is compared with its pieces; once it differs, ``exact`` ends and whole texts are compared.
+    """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model, self.exact = sentencepiece.SentencePieceProcessor(model_file=path), True
         self.size = self.model.get_piece_size()
-        self.known, self.before, self.heads = {}, {}, {}
         pieces = [self.model.id_to_piece(i) for i in range(self.size)]
-        self.by_word = all("\u2581" not in p.lstrip("\u2581") for p in pieces)
+        if any("\u2581" in p.lstrip("\u2581") for p in pieces):
+            raise ValueError("a vocabulary whose pieces have several words can't be encoded word by word")
         self.entries = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        """``texts`` begin with the space that the model adds itself."""
-        return [np.array(ids, "<u4").tobytes() for ids in self.model.encode([t[1:] for t in texts], num_threads=1)]
-
-    def _learn(self, words: set[str]) -> None:
-        some = [*words]
-        self.known.update(zip(some, self.whole([f" {w}" for w in some])))
-
-    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = texts.cast(pa.large_string())
-        # spaces beside spaces are pieces of their own kind, and so is a last one
-        odd = np.array(pc.match_substring_regex(texts, "  | \\z|\u2581")) if self.by_word else np.ones(len(texts), bool)
-        plain, ends = self._plain(texts.filter(pa.array(~odd)))
-        if not odd.any():
-            return plain, ends
-        rest, own = iter(np.split(plain, ends)[:-1]), iter(self.whole(texts.filter(pa.array(odd)).to_pylist()))
-        parts = [np.frombuffer(next(own), "<u4") if o else next(rest) for o in odd]
-        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        """The ids of texts (or words), each with the space that the model puts before it."""
+        found, entries = self.model.encode(texts, num_threads=1), self.entries
+        if self.exact:
+            self.exact = all(b"".join(map(entries.__getitem__, ids)) == b" " + t.encode() for ids, t in zip(found, texts) if t)
+        return [np.array(ids, "<u4").tobytes() for ids in found]
 
 
 @dataclass
-class Side:
+class Tokens:
     """The tokens of some texts: ids, the text that each belongs to, and its bytes' places among all texts' bytes."""
 
     ids: np.ndarray
@@ -108,30 +112,83 @@ class Side:
 class Aligner:
     def __init__(self, vocabularies: tuple[str, str]) -> None:
         self.sides = ByteSide(vocabularies[0]), PieceSide(vocabularies[1])
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
         self.sizes = [np.array([*map(len, s.entries)], np.int64) for s in self.sides]
         # a token's number and the sign after it: within a side, and at a side's end
         self.written = [np.array([f"{i}{sign}".encode() for sign in (",", "|;"[k]) for i in range(s.size)], object) for k, s in enumerate(self.sides)]
 
-    def tokens(self, texts: pa.Array) -> tuple[Side, Side]:
-        """Both sides' tokens; texts without tokens have none on either side."""
-        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.fill_null(texts.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()))
-        raw = [x.encode() for x in spaced.to_pylist()]
-        good, found = np.array([len(x) > 1 for x in raw], bool), []
-        for side, sizes in zip(self.sides, self.sizes):
-            ids, ends = side.encoded(spaced)
-            begins = np.r_[0, ends[:-1]].astype(np.int64)
-            found.append((ids, ends - begins))
+    def _known(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Both sides' ids of distinct words, each after a space."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known = self.known
+        new = [w for w in words if w not in known]
+        again = {w: self.before[w] for w in new if w in self.before}
+        known |= again
+        new = [w for w in new if w not in again]
+        a = self.sides[0].words(new)
+        known.update({w: (a[w], b) for w, b in zip(new, self.sides[1].whole(new))})
+        return [*map(known.__getitem__, words)]
+
+    def _plain(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Either side's ids, and each text's number of them, of texts whose white space is single."""
+        cut = pc.split_pattern(texts, " ")
+        words, borders = cut.flatten().dictionary_encode(), np.asarray(cut.offsets) - cut.offsets[0].as_py()
+        index, out = np.asarray(words.indices), []
+        for ids in (zip(*self._known(words.dictionary.to_pylist())) if len(index) else ((), ())):
+            table, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            start = np.cumsum(size) - size
+            many, begin = size[index], start[index]
+            ends = np.cumsum(many)
+            total = int(ends[-1]) if len(ends) else 0
+            at = np.repeat(begin - (ends - many), many)
+            at += np.arange(total)
+            out.append((table[at], np.diff(np.r_[0, ends][borders])))
+        return out
+
+    def encoded(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Either side's ids of all texts, and each text's number of them; texts without tokens have none on either side."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.array(pc.match_substring_regex(texts, ODD))
+        found = self._plain(texts.filter(pa.array(~odd)))
+        rest = texts.filter(pa.array(odd)).to_pylist()
+        whole = self.sides[0].encode([f" {t}" if t else "" for t in rest]), self.sides[1].whole(rest)
+        out = []
+        for (ids, n), own in zip(found, whole):
+            count = np.zeros(len(texts), np.int64)
+            count[~odd], count[odd] = n, [len(x) // 4 for x in own]
+            if len(own):
+                parts, others = iter(np.split(ids, np.cumsum(n)[:-1])) if len(n) else iter(()), iter(own)
+                ids = np.concatenate([np.frombuffer(next(others), "<u4") if o else next(parts) for o in odd])
+            out.append((ids, count))
+        if all(side.exact for side in self.sides):
+            return out
+        raw, good = [f" {t}".encode() for t in texts.to_pylist()], np.ones(len(texts), bool)
+        for side, (ids, n) in zip(self.sides, out):
             entries = side.entries
-            for i in np.flatnonzero(good):
-                good[i] = b"".join(map(entries.__getitem__, ids[begins[i] : begins[i] + ends[i] - begins[i]].tolist())) == raw[i]
+            good &= [b"".join(map(entries.__getitem__, own.tolist())) == t for own, t in zip(np.split(ids, np.cumsum(n)[:-1]), raw)]
+        return [(ids[np.repeat(good, n)], np.where(good, n, 0)) for ids, n in out]
+
+    def tokens(self, encoded: list[tuple[np.ndarray, np.ndarray]], first: int, last: int) -> tuple[Tokens, Tokens]:
+        """Both sides' tokens of the texts ``first`` to ``last``."""
         out = []
-        for (ids, count), sizes in zip(found, self.sizes):
-            keep = np.repeat(good, count)
-            ids, doc = ids[keep], np.repeat(np.arange(len(raw)), np.where(good, count, 0))
-            stop = np.cumsum(sizes[ids])
-            out.append(Side(ids, doc, stop - sizes[ids], stop))
+        for (ids, count), sizes in zip(encoded, self.sizes):
+            begin = int(count[:first].sum())
+            count = count[first:last]
+            own = ids[begin : begin + int(count.sum())]
+            stop = np.cumsum(sizes[own])
+            out.append(Tokens(own, np.repeat(np.arange(last - first), count), stop - sizes[own], stop))
         return out[0], out[1]
 
+    def parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Tokens, Tokens]]:
+        """Slices of (doc_id, text) batches with their tokens."""
+        for batch in batches_of(batches, ENCODED_BYTES):
+            encoded, at = self.encoded(batch.column(1)), 0
+            for part in batches_of(iter([batch]), BLOCK_BYTES):
+                yield part, *self.tokens(encoded, at, at + part.num_rows)
+                at += part.num_rows
+
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -143,15 +200,14 @@ def aligner(vocabularies: tuple[str, str]) -> Aligner:
     return _aligners[vocabularies]
 
 
-def overlapping(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
+def overlapping(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of places in ``a`` and ``b`` whose bytes overlap, each once."""
 
-    def frame(side: Side, name: str) -> pd.DataFrame:
-        return pd.DataFrame({"doc": side.doc, "start": side.start, name: np.arange(len(side.ids))}, copy=False)
+    def frame(side: Tokens, name: str) -> pd.DataFrame:
+        return pd.DataFrame({"place": side.doc << 40 | side.start, name: np.arange(len(side.ids))}, copy=False)
 
     left, right = frame(a, "a"), frame(b, "b")
-    covers = pd.merge_asof(left, right, on="start", by="doc")
-    covered = pd.merge_asof(right, left, on="start", by="doc")
+    covers, covered = pd.merge_asof(left, right, on="place"), pd.merge_asof(right, left, on="place")
     at, bt = covered["a"].to_numpy(), covered["b"].to_numpy()
     new = a.start[at] != b.start[bt]  # those with equal starts are in both
     return np.r_[covers["a"].to_numpy(), at[new]], np.r_[covers["b"].to_numpy(), bt[new]]
@@ -167,7 +223,7 @@ class Groups:
     count: tuple[np.ndarray, np.ndarray]
 
 
-def grouped(a: Side, b: Side) -> Groups:
+def grouped(a: Tokens, b: Tokens) -> Groups:
     at, bt = overlapping(a, b)
     same = a.stop[at] == b.stop[bt]
     of, first, count = [], [], []
@@ -180,7 +236,7 @@ def grouped(a: Side, b: Side) -> Groups:
     return Groups((of[0], of[1]), a.doc[first[0]], (first[0], first[1]), (count[0], count[1]))
 
 
-def links(a: Side, b: Side, groups: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def links(a: Tokens, b: Tokens, groups: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, pair of ids, number of links) in no order; a text may have a pair in several rows. A pair is ``A id << 32 | B id``."""
     n_a, n_b = groups.count
     many = n_a * n_b > WIDE
@@ -198,7 +254,7 @@ def links(a: Side, b: Side, groups: Groups) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(docs), np.concatenate(pairs), np.concatenate(times)
 
 
-def written(shared: Aligner, a: Side, b: Side, groups: Groups, texts: int) -> list[str]:
+def written(shared: Aligner, a: Tokens, b: Tokens, groups: Groups, texts: int) -> list[str]:
     """The digest of each text's groups: ``a1,a2|b1;a3|b2,b3``."""
     pieces = np.empty(len(a.ids) + len(b.ids), object)
     before = np.cumsum(groups.count[1]) - groups.count[1]
@@ -228,8 +284,7 @@ def overlaps(docs: DataFrame, vocabularies: tuple[str, str] | None = None, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = aligner(files)
-        for part in batches_of(batches, BLOCK_BYTES):
-            a, b = shared.tokens(part.column(1))
+        for part, a, b in shared.parts(batches):
             groups = grouped(a, b)
             at, bt = overlapping(a, b)
             order = np.lexsort((bt, at))
@@ -254,9 +309,8 @@ def aligned(docs: DataFrame, vocabularies: tuple[str, str]) -> DataFrame:
         from pyspark import TaskContext
 
         shared, block = aligner(vocabularies), TaskContext.get().partitionId() << 32
-        for part in batches_of(batches, BLOCK_BYTES):
+        for part, a, b in shared.parts(batches):
             texts = part.num_rows
-            a, b = shared.tokens(part.column(1))
             groups = grouped(a, b)
             doc, pair, times = links(a, b, groups)
             n_links = np.bincount(doc, times, minlength=texts).astype(np.int64)

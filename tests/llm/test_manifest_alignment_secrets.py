@@ -144,7 +144,7 @@ def test_alignment(spark, block, wide, monkeypatch):
         import pyarrow as pa
 
         column = pa.array(texts, pa.string())
-        a, b = shared.tokens(column)
+        a, b = shared.tokens(shared.encoded(column), 0, len(texts))
         groups = alignment.grouped(a, b)
         doc, pair, times = alignment.links(a, b, groups)
         got = collections.Counter()
