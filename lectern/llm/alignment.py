@@ -36,9 +36,9 @@ from .common import stored, table
 from .token_output import decode, encode
 
 #: Bytes of text that are encoded together, and of those that are aligned together and whose pairs are sent together.
-ENCODED_BYTES, BLOCK_BYTES = 4 << 20, 2 << 20
+ENCODED_BYTES, BLOCK_BYTES = 3 << 20, 2 << 20
 #: Words that a worker remembers with both sides' ids, twice at most.
-REMEMBERED = 300_000
+REMEMBERED = 220_000
 #: Texts whose words can't be encoded one by one: with white space beside white space (A), or with spaces beside spaces or at the end (B).
 ODD = f"{bpe.RUN}|  | \\z|^ |^\\z|\u2581"
 #: Pairs of tokens of a group beyond which its ids are counted before they are paired.
