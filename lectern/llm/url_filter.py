@@ -1,16 +1,27 @@
 """Operator 4: URL filtering by a rule list and by association rules mined with FP-growth.
 
 List rules come first: (action, host, path), a rule fits its host and all subdomains when the url's path starts with
-its path, the longest wins. What no list rule decides is judged by mined rules: Spark's FP-growth mines combinations
-of url tokens, of any size, that go with the label *block* on labelled pages. Rules below ``MIN_CONFIDENCE`` are pruned,
-and those that hold on fewer labelled pages than ``MIN_PAGES`` or the share ``MIN_SUPPORT``, which bounds the tokens that
-FP-growth keeps on the driver to those of a url divided by it, however large the table. Of the rest only rules go that have one token more than a rule of at least their confidence: that one fits wherever they do. A token
-with digits counts as it is and with each run of digits as one #. Matching goes through an inverted index: every rule is listed under its rarest token (by counts over all
-urls), urls look up their tokens there, and the candidates' other tokens are checked. Urls are judged once each.
+its path, the longest wins. What no list rule decides is judged by mined rules: combinations of url tokens, of any size,
+that go with the label *block* on labelled pages. A rule needs ``MIN_PAGES`` blocked pages, a plain count that is the same
+however large the table, and ``MIN_CONFIDENCE``. A token with digits counts as it is and with each run of digits as one #.
+
+Mining. Tokens are counted first, in one aggregation. A token that reaches the confidence alone is a rule; what contains it
+fits nowhere else, so it goes no further. The others, if on enough blocked pages, are items of Spark's FP-growth over
+blocked pages, where tokens that lie on the same labelled pages (by their counts and a 128-bit sum over the pages) are one
+item: a page with dozens of equal query keys has one item for them, and not their subsets. The confidence of what FP-growth
+finds is counted on all labelled pages. Of these rules only those go that have one item more than a rule of at least their
+confidence: that one fits wherever they do. FP-growth keeps its items on the driver: those that are mixed (blocked pages
+and others) and differ in where they occur; tokens of wholly blocked hosts are none of them.
+
+Matching goes through an inverted index: a url's tokens become items, every rule is listed under its rarest item (by
+counts over all urls), urls look up their items there, and the candidates' other items are checked. A url has an item when
+it has one of its tokens. Urls are judged once each; of several rules the one with the highest confidence is named, of
+those the last by its tokens.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no tokens, and is allowed; repeated
-pages keep a row each; with fewer labelled pages than ``MIN_PAGES`` no rule is mined; an empty table gives an empty result; other columns
-are not read.
+pages keep a row each, and page_ids with several urls give each url their labels; with fewer blocked pages than
+``MIN_PAGES`` no rule is mined; a very long url is one row with all its tokens; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,14 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored, table
 
-MIN_SUPPORT = 1e-5
 MIN_CONFIDENCE = 0.8
 MIN_PAGES = 10
 
 #: The rule list of the query.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-BLOCK = "label:block"
-RULE = "rule_id long, antecedent array<string>, confidence double, support double"
+RULE, MEMBER = "rule_id long, antecedent array<string>, confidence double, n long", "token string, item string"
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -67,34 +76,53 @@ def needed_only(rules: DataFrame) -> DataFrame:
     return rules.join(spare, "rule_id", "left_anti")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(rule_id, antecedent, confidence, support) from (tokens, blocked) rows."""
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, antecedent of items, confidence, n blocked pages) from (tokens, blocked) rows, and (token, item)."""
     spark = labelled.sparkSession
-    items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens"))
-    baskets = stored(labelled.where(F.size("tokens") > 0).select(items.alias("items")), "url-baskets")
-    n = baskets.count()
-    if not n:
-        return spark.createDataFrame([], RULE)
-    # half a page less, so that rounding doesn't ask for one more
-    support = max(min_support, (min_pages - 0.5) / n)
-    if support > 1:
-        return spark.createDataFrame([], RULE)
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets).associationRules
-    found = stored(found.where(F.array_contains("consequent", BLOCK)).select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "url-rules-found")
-    return stored(needed_only(found), "url-rules")
-
-
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    rows = stored(labelled.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("row"), "tokens", "blocked"), "url-labelled")
+    each = rows.select("row", "blocked", F.explode("tokens").alias("token"))
+    place = [F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(20)")).alias(f"place{seed}") for seed in (0, 1)]
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("b"), *place).where(F.col("b") >= min_pages)
+    counts = stored(counts.withColumn("confidence", F.col("b") / F.col("n")), "url-tokens")
+    alone = counts.where(F.col("confidence") >= min_confidence).select(F.array("token").alias("antecedent"), "confidence", F.col("b").alias("n"), F.col("token").alias("item"), "token")
+    mixed = counts.where(F.col("confidence") < min_confidence)
+    item = mixed.groupBy("n", "b", "place0", "place1").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    members = stored(item.select(F.explode("tokens").alias("token"), "item"), "url-items")
+    # a page's items; its tokens are one row's, so a page is a small group
+    baskets = stored(each.join(members, "token").groupBy("row", "blocked").agg(F.collect_set("item").alias("items")).where(F.size("items") > 1), "url-baskets")
+    blocked = baskets.where("blocked").select("items")
+    found, size = spark.createDataFrame([], RULE), blocked.count()
+    if size >= min_pages:
+        # half a page less, so that rounding doesn't ask for one more
+        sets = FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / size).fit(blocked).freqItemsets.where(F.size("items") > 1)
+        sets = stored(sets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("b")), "url-sets")
+        rarity = counts.select(F.col("token").alias("item"), "n")
+        met = indexed(sets, rarity).join(baskets.select("row", "items", F.explode("items").alias("item")), "item").where(F.size(F.array_except("antecedent", "items")) == 0)
+        confidence = met.groupBy("antecedent").agg(F.count(F.lit(1)).alias("n")).join(sets, "antecedent").withColumn("confidence", F.col("b") / F.col("n"))
+        found = confidence.where(F.col("confidence") >= min_confidence).select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", F.col("b").alias("n"))
+        found = needed_only(stored(found, "url-rules-found"))
+    rules = found.unionByName(alone.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", "n"))
+    return stored(rules, "url-rules"), members.unionByName(alone.select("token", "item"))
+
+
+def indexed(rules: DataFrame, rarity: DataFrame) -> DataFrame:
+    """``rules`` with ``item``: of each antecedent the rarest by ``rarity`` (item, n), its place in the index."""
+    each = rules.select("antecedent", F.explode("antecedent").alias("item")).join(rarity, "item", "left")
+    first = each.groupBy("antecedent").agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item"))
+    return rules.join(first, "antecedent")
+
+
+def match(urls: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
     """(url, confidence, mined_rule) for the urls that a rule fits, by the strongest rule."""
-    tokens = urls.select("url", "tokens", F.explode("tokens").alias("token"))
-    count = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # of each rule's tokens the rarest is its place in the index
-    index = (
-        rules.select("*", F.explode("antecedent").alias("token")).join(count, "token", "left")
-        .groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"), F.first("antecedent").alias("antecedent"), F.first("confidence").alias("confidence"))
-    )
-    fits = tokens.join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    best = fits.groupBy("url").agg(F.max(F.struct("confidence", F.array_join("antecedent", " ").alias("mined_rule"))).alias("best"))
+    met = urls.select("url", F.explode("tokens").alias("token")).join(members, "token")
+    own = met.groupBy("url", "item").agg(F.min("token").alias("token")).groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("item", "token"))).alias("has"))
+    own = stored(own, "url-has")
+    items = own.select("url", "has", F.explode(F.map_keys("has")).alias("item"))
+    index = indexed(rules, items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))).select("item", "antecedent", "confidence")
+    fits = items.join(index, "item").where(F.size(F.array_except("antecedent", F.map_keys("has"))) == 0)
+    # named by the tokens that the url has
+    named = F.array_join(F.array_sort(F.transform("antecedent", lambda i: F.element_at("has", i))), " ")
+    best = fits.groupBy("url").agg(F.max(F.struct("confidence", named.alias("mined_rule"))).alias("best"))
     return best.select("url", "best.confidence", "best.mined_rule")
 
 
@@ -103,7 +131,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     host, path = host_and_path()
     urls = pages.select("url").where("url is not null").distinct().select("url", url_tokens(host, path, F.col("url")).alias("tokens"))
     labelled = pages.join(labels, "page_id").select("url", "blocked").where("blocked is not null").select(url_tokens(host, path, F.col("url")).alias("tokens"), "blocked")
-    mined = match(urls, mine(labelled))
+    mined = match(urls, *mine(labelled))
     out = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("listed", list_rule(rules, F.col("host"), F.col("path")))
     method = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
     return out.join(mined, "url", "left").select(

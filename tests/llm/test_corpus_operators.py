@@ -285,3 +285,21 @@ def test_near_duplicates_of_other_percents(spark):
         with pytest.raises(ValueError):
             near_dedup.near_duplicates(docs, percent=percent)
     assert (near_dedup.band_rows(80), near_dedup.least_estimate(80)) == (5, 0.65)
+
+
+def test_url_filter_equal_tokens_are_one_item(spark):
+    """Forty equal query keys (2^40 subsets) on twelve blocked pages, and on good ones with another key each; keys are mixed, so FP-growth sees them."""
+    keys = "&".join(f"k{i}=1" for i in range(40))
+    rows = [(i, f"http://shop.org/list?{keys}&sale=1", True) for i in range(12)] + [(100 + i, f"http://shop.org/list?{keys}", False) for i in range(30)]
+    rows += [(200 + i, f"http://good.org/a?sale={i}", False) for i in range(30)] + [(300, f"http://new.org/?{keys}&sale=2", None), (301, "http://new.org/?k3=1&sale=2", None), (302, "http://new.org/?sale=2", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    labels = pages.where("blocked is not null").select("page_id", "blocked")
+    got = {r["page_id"]: r for r in url_filter.judge(pages.drop("blocked"), labels, []).collect()}
+    assert all((got[k]["verdict"] == "block") == bool(b) for k, _, b in rows if k < 300)
+    assert got[300]["verdict"] == "block" and got[300]["confidence"] == 1.0 and "query:sale" in got[300]["mined_rule"]
+    assert got[301]["verdict"] == "block" and set(got[301]["mined_rule"].split()) == {"query:k3", "query:sale"} and got[302]["verdict"] == "allow"
+    # however many other pages are labelled, twelve pages are enough
+    more = spark.range(1000, 60_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 997, F.lit(".com/p"), "id").alias("url"))
+    every = pages.drop("blocked").unionByName(more)
+    again = url_filter.judge(every, labels.unionByName(more.select("page_id", F.lit(False).alias("blocked"))), [])
+    assert {r["page_id"] for r in again.where("verdict = 'block'").collect()} == {*range(12), 300, 301}
