@@ -52,3 +52,12 @@ def diagnostics(requirements: DataFrame, texts: DataFrame, paragraphs: DataFrame
     empty = F.when(F.col("blocks").isNull(), 1).otherwise(0)
     whole = (F.size(reasons) == 0) & (empty == 0) & (F.col("uncovered") == 0) & (F.col("missing_mappings") == 0)
     return every.select("answer_id", empty.alias("empty_blocks"), "uncovered", "missing_mappings", F.array_join(reasons, ",").alias("reasons"), F.when(whole, "answered").otherwise("insufficient-evidence").alias("status"))
+
+
+def empty(questions: DataFrame) -> DataFrame:
+    """The answer to questions whose search found nothing: no bundle, no document, one reason. questions: (question_id, question)."""
+    none = F.lit(None).cast("string")
+    return questions.select(
+        "question_id", "question", F.lit("insufficient-evidence").alias("status"), none.alias("document"), F.array(F.lit("no-candidates")).alias("reasons"), none.alias("bundle_id"),
+        F.lit("deterministic").alias("provenance"), F.lit(False).alias("semantic_proof"), F.array().cast("array<string>").alias("requirements"), F.array().cast("array<string>").alias("figures"),
+    )

@@ -9,11 +9,12 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import utf16_length
 
+# Forms of identifiers, kinds of origin, limits.
 HASH, DOCUMENT, IDENTIFIER = "^[a-f0-9]{64}$", "^doc_[a-f0-9]{64}$", "^[A-Za-z0-9_-]{1,128}$"
 ORIGINS = ("standalone_original", "embedded_original", "decoded_embedded", "page_render", "page_crop")
 
@@ -94,6 +95,45 @@ def hint_rules(hints: DataFrame, images: DataFrame, most: int = 16_000) -> DataF
     return united(own, unbound)
 
 
+def excerpt_stands(whole: Column, start: Column, stop: Column, text: Column) -> Column:
+    """Whether ``text`` is what stands at ``start`` to ``stop`` of ``whole``, in UTF-16 code units."""
+    units = F.encode(whole, "UTF-16BE")
+    return F.substring(units, 2 * start + 1, 2 * (stop - start)) == F.encode(text, "UTF-16BE")
+
+
+def stale_evidence(texts: DataFrame, figures: DataFrame, documents: DataFrame, elements: DataFrame, images: DataFrame) -> DataFrame:
+    """What of a bundle is no longer what the catalogue's snapshot has: (code, key); an answer's context is built only without any.
+
+    texts: (id, document_id, revision, element_id, start, stop, text, text_hash); figures: (id, document_id, revision,
+    image_id, blob_hash); documents: (document_id, revision), the active ones; elements: (document_id, element_id, text);
+    images: (document_id, image_id, blob_hash). A row may break several rules; null places and texts break theirs.
+    """
+    active = documents.select("document_id", F.col("revision").alias("now"))
+    own = texts.join(active, "document_id", "left").join(elements.select("document_id", "element_id", F.col("text").alias("whole")), ["document_id", "element_id"], "left")
+    placed = (F.col("start") >= 0) & (F.col("stop") > F.col("start")) & excerpt_stands(F.col("whole"), F.col("start"), F.col("stop"), F.col("text"))
+    of_texts = broken(own, "id", text_revision=F.col("now") == F.col("revision"), text_place=placed, text_hash=F.col("text_hash") == F.sha2("text", 256))
+    now = figures.join(active, "document_id", "left").join(images.select("document_id", "image_id", F.col("blob_hash").alias("stored")), ["document_id", "image_id"], "left")
+    return united(of_texts, broken(now, "id", figure_revision=F.col("now") == F.col("revision"), figure_image=F.col("stored") == F.col("blob_hash")))
+
+
+def verdict(violations: DataFrame, vectors: DataFrame, unverified: DataFrame | None = None, most: int = 100) -> DataFrame:
+    """(code, n, examples, verdict): all rule tables' violations by code, at most ``most`` keys of each (the smallest), and what they mean.
+
+    A collection with any violation has failed; without one it is incomplete while it has vectors (they can't be checked
+    without their model) or rows that nobody verified, else passed. A row without a code stands for a collection without
+    violations. Violations are read once; the keys of a code are ranked in its tasks before they meet.
+    """
+    order = Window.partitionBy("code").orderBy("key")
+    ranked = violations.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    shown = ranked.groupBy("code").agg(F.array_sort(F.collect_list("key")).alias("examples"))
+    found = counted(violations).join(shown, "code")
+    left = [t.select(F.lit(1).alias("x")).limit(1) for t in (vectors, unverified) if t is not None]
+    open_ = functools.reduce(DataFrame.unionByName, left).agg((F.count(F.lit(1)) > 0).alias("open"))
+    all_ = found.agg(F.count(F.lit(1)).alias("codes")).join(F.broadcast(open_))  # tables of one row each
+    said = F.when(F.col("codes") > 0, "failed").when(F.col("open"), "incomplete").otherwise("passed")
+    return all_.select(said.alias("verdict")).join(found, how="left", on=F.lit(True)).select("code", F.coalesce("n", F.lit(0)).alias("n"), "examples", "verdict")
+
+
 def evidence_rules(texts: DataFrame, elements: DataFrame, blocks: DataFrame, figures: DataFrame, most: int = 100) -> DataFrame:
     """A bundle's references, hashes and offsets.
 
@@ -107,7 +147,7 @@ def evidence_rules(texts: DataFrame, elements: DataFrame, blocks: DataFrame, fig
     many = broken(texts.groupBy("bundle_id").count(), "bundle_id", texts=F.col("count") <= most)
     # an excerpt has to stand in its element where it says
     held = texts.join(elements.select("element_id", F.col("text").alias("whole")), "element_id", "left")
-    excerpt = broken(held, "id", excerpt=F.substring("whole", F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("text"))
+    excerpt = broken(held, "id", excerpt=excerpt_stands(F.col("whole"), F.col("start"), F.col("stop"), F.col("text")))
     bare = broken(blocks, "bundle_id", block_without_evidence=F.size("evidence_ids") > 0)
     used = blocks.select("bundle_id", F.explode("evidence_ids").alias("id"))
     unknown = used.join(texts.select(*keys), keys, "left_anti").select(F.lit("unknown_evidence").alias("code"), F.col("id").alias("key"))

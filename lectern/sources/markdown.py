@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import percent_decoded, safe_resource
+
+# Patterns of fences, code and images.
 FENCE, INLINE_CODE, IMAGE = r"^\s*(`{3,}|~{3,})", "`[^`]*`", r"!\[([^\]]*)\]\(([^\s()]+)\)"
 HTML_IMAGE = r"(?i)<img\b"
 SUFFIX = r"(?i)\.(png|jpe?g|webp)$"
@@ -37,11 +40,11 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def images(documents: DataFrame) -> DataFrame:
-    """(document_id, line, pos, caption, target, allowed): ``allowed`` for relative paths of a known image type."""
+    """(document_id, line, pos, caption, target, allowed): ``allowed`` for paths that, percent escapes decoded, stay below the document's folder, of a known image type."""
     whole = F.regexp_extract_all("text", F.lit(IMAGE), F.lit(0))
     each = _lines(documents).select("document_id", "line", F.posexplode(whole).alias("pos", "image"))
     target = F.regexp_extract("image", IMAGE, 2)
-    allowed = target.rlike(SUFFIX) & ~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^[/\\]") & ~target.rlike(r"(^|[/\\])\.\.([/\\]|$)")
+    allowed = F.coalesce(percent_decoded(target).rlike(SUFFIX), F.lit(False)) & safe_resource(target)
     return each.select("document_id", "line", "pos", F.regexp_extract("image", IMAGE, 1).alias("caption"), target.alias("target"), allowed.alias("allowed"))
 
 
