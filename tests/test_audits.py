@@ -1,5 +1,6 @@
 """Blobs as files, verdicts, evidence against its snapshot, projections, telemetry."""
 
+import glob
 import hashlib
 import os
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.projection import without
 from lectern.operators import answers, rules, telemetry
-from lectern.sources import blob_files, markdown
+from lectern.sources import blob_files, markdown, packages
+from lectern.sources.catalogue_store import Conflict
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -84,3 +86,27 @@ def test_telemetry_and_empty_answers(spark):
     assert rows.count() == 10 and (seen["rows"], seen["high"]) == (10, 9) and seen["seconds"] > 0
     (one,) = answers.empty(spark.createDataFrame([(1, None)], "question_id int, question string")).collect()
     assert one["bundle_id"] is None and one["reasons"] == ["no-candidates"] and one["figures"] == []
+
+
+def test_packages(spark, tmp_path):
+    blocks = [("p1", k, "figure" if k % 2 else "paragraph", f"<b> {k} é", f"f{k}", "s1" if k < 2 else "s2") for k in range(5)] + [("p2", 0, "paragraph", None, "f0", "s3"), ("p2", 0, "paragraph", None, "f0", "s3")]
+    rows = spark.createDataFrame(blocks, "bundle string, ord int, kind string, text string, id string, source_id string")
+    sources = spark.createDataFrame([("s1", "one"), ("s2", "two"), ("s2", "two")], "source_id string, label string")
+    root = str(tmp_path / "out")
+    packages.write(rows, sources, root)
+    first = {tuple(r) for r in packages.read(spark, root).collect()}
+    names = {"document.md", "document.html", "evidence.json", "sources.json", "manifest.json"}
+    assert {(b, f) for b, f, *_ in first} == {("p1", f) for f in names} | {("p2", f) for f in names - {"sources.json"}} and packages.broken(spark, root).count() == 0
+    packages.write(rows.where("bundle = 'p1'"), sources, root)
+    assert {tuple(r) for r in packages.read(spark, root).collect()} == first
+    (page,) = glob.glob(f"{root}/bundle=p1/file=document.md/part-*")
+    assert open(page).read().startswith("&#60;b&#62; 0 é\n\n![")
+    with open(page, "a") as f:
+        f.write("more")
+    os.remove(glob.glob(f"{root}/bundle=p1/file=document.md/.part-*.crc")[0])
+    os.remove(glob.glob(f"{root}/bundle=p2/file=document.html/part-*")[0])
+    assert {tuple(r) for r in packages.broken(spark, root).collect()} == {("p1", "document.md", "changed"), ("p2", "document.html", "missing")}
+    many = spark.range(packages.BLOCKS + 1).select(F.lit("p").alias("bundle"), F.col("id").alias("ord"), F.lit("paragraph").alias("kind"), F.lit("x").alias("text"), F.lit("f").alias("id"), F.lit("s1").alias("source_id"))
+    for bad in (many, rows.withColumn("bundle", F.lit("../x")), rows.withColumn("bundle", F.lit(None).cast("string"))):
+        with pytest.raises(Conflict):
+            packages.write(bad, sources, root)
