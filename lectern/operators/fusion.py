@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import tokenize
 from lectern.functions.vectors import cosine
 from lectern.operators.lexical import in_order
+from lectern.sources.scratch import stored
 
 RRF_K, DEPTH = 60, 50
 
@@ -57,6 +58,7 @@ def reserve_hints(ranked: DataFrame, hints: DataFrame, pool: int) -> DataFrame:
     slots = -(-pool // 3)
     kept = hints.orderBy(F.desc("score"), "element_id").limit(slots)
     kept = kept.select("element_id", F.row_number().over(Window.orderBy(F.desc("score"), "element_id")).alias("rank"))
+    kept = stored(kept, "hints-kept")  # a third of the pool at most, used three times
     size = kept.agg(F.count(F.lit(1)).alias("held"))
     rest = ranked.join(kept, "element_id", "left_anti")
     rest = rest.withColumn("ord", F.row_number().over(Window.orderBy("rank"))).join(F.broadcast(size)).where(F.col("ord") <= pool - F.col("held"))

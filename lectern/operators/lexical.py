@@ -2,7 +2,7 @@
 
 Texts are tokenised once, when a snapshot is indexed: postings go into a table in order of terms, so that a query reads
 the row groups of its own terms (the filter on ``term`` reaches the scan), and lengths are summed up in a table of one
-row. A term's document frequency is the number of its postings.
+row; a third table has each term with its document frequency, the number of its postings.
 """
 
 from __future__ import annotations
@@ -44,6 +44,11 @@ def idf(n: Column, df: Column) -> Column:
 class Index:
     postings: DataFrame  # term, element_id, tf, len
     stats: DataFrame  # n, avg_len
+    terms: DataFrame | None = None  # term, df; counted where it is not given
+
+    def __post_init__(self) -> None:
+        if self.terms is None:
+            self.terms = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 #: Terms of a query that are put into the scan's filter; longer queries (and batches) join them.
@@ -61,10 +66,13 @@ def build(elements: DataFrame, folder: str) -> None:
     own = spark.read.parquet(f"{folder}/postings").groupBy("element_id").agg(F.max("len").alias("len"))
     average = F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0))
     own.agg(F.count(F.lit(1)).alias("n"), average.alias("avg_len")).write.parquet(f"{folder}/stats")
+    terms = spark.read.parquet(f"{folder}/postings").where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
 
 
 def opened(spark, folder: str) -> Index:
-    return Index(spark.read.parquet(f"{folder}/postings").where("term is not null"), spark.read.parquet(f"{folder}/stats"))
+    postings, stats, terms = (spark.read.parquet(f"{folder}/{name}") for name in ("postings", "stats", "terms"))
+    return Index(postings.where("term is not null"), stats, terms)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -84,9 +92,9 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
     """
     terms = query_terms(queries)
     few = [r["term"] for r in terms.select("term").distinct().limit(LITERALS + 1).collect()]
-    wanted = F.broadcast(terms.select("term").distinct()) if len(few) > LITERALS else None
-    own = index.postings.where(F.col("term").isin(few)) if wanted is None else index.postings.join(wanted, "term", "left_semi")
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = terms.select("term").distinct() if len(few) > LITERALS else None  # of any size, so the join is Spark's choice
+    found = [t.where(F.col("term").isin(few)) if wanted is None else t.join(wanted, "term", "left_semi") for t in (index.postings, index.terms)]
+    own, df = found
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     # idf goes to the terms' side, which is as small as the queries
     weights = terms.join(df, "term").join(F.broadcast(index.stats))

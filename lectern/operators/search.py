@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions import identity
 from lectern.functions.text import tokenize, utf16_length
 from lectern.operators import fusion, lexical
+from lectern.sources.scratch import stored
 
 MAX_QUERY, MAX_LIMIT, POOL, IMAGES = 8000, 10, 30, 5
 
@@ -65,13 +66,13 @@ def search(
     fused = fusion.reciprocal_rank_fusion(lists, pool)
     hinted = fusion.hint_scores(hints, links, query)
     merged = fusion.reserve_hints(fused, hinted, pool)
-    hits = merged.select("element_id", F.col("ord").alias("rank"), F.col("hint"))
+    hits = stored(merged.select("element_id", F.col("ord").alias("rank"), F.col("hint")), "pool")  # a few dozen rows, found once
     if not hits.limit(1).count():
         raise NoEvidence("no relevant evidence found")
     if rerank:
         candidates = hits.join(elements.select("element_id", "text"), "element_id")
         order = fusion.rerank(hits, rerank(candidates), limit)
-        return order.join(hits.select("element_id", "hint"), "element_id")
+        return stored(order.join(hits.select("element_id", "hint"), "element_id"), "hits")
     return hits.select("element_id", F.col("rank").alias("ord"), "hint").where(F.col("ord") <= limit)
 
 
