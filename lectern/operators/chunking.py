@@ -23,7 +23,7 @@ LONGEST, EARLIEST, TARGET, OVERLAP, MOST = 1200, 600, 800, 100, 5000
 SPACE = r"[\t\n\v\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 BOUNDARIES = [re.compile(rf"\n{SPACE}*\n"), re.compile(r"\n"), re.compile(rf"[。！？]|[.!?](?:{SPACE}+|\Z)")]
 
-SCHEMA = "document_id long, pos int, start int, stop int, text string"
+PARTS = "pos int, start int, stop int, text string"
 
 
 def code_units(text: str) -> str:
@@ -60,8 +60,8 @@ class TooLong(ValueError):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["document_id", "pos", "start", "stop", "text"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     for batch in batches:
+        types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string()]
         for i in range(0, batch.num_rows, 100):
             rows = []
             for key, text in zip(*(c.to_pylist() for c in batch.slice(i, 100).columns)):
@@ -74,8 +74,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def retrieval_chunks(documents: DataFrame) -> DataFrame:
-    """(document_id, pos, start, stop, text) from (document_id, text); no shuffle."""
-    own = documents.select(F.col("document_id").cast("long").alias("document_id"), "text").where("text <> ''")
+    """(document_id, pos, start, stop, text) from (document_id, text), ids of any type; no shuffle."""
+    own = documents.select("document_id", "text").where("text <> ''")
+    schema = f"document_id {documents.schema['document_id'].dataType.simpleString()}, {PARTS}"
     size = utf16_length(F.col("text")).cast("int")
     short = own.where(size <= LONGEST).select("document_id", F.lit(0).alias("pos"), F.lit(0).alias("start"), size.alias("stop"), "text")
-    return short.unionByName(own.where(size > LONGEST).mapInArrow(_cut, SCHEMA))
+    return short.unionByName(own.where(size > LONGEST).mapInArrow(_cut, schema))

@@ -13,6 +13,7 @@ from lectern.operators.embedding import Lengths, Space, embedded
 from lectern.sources.catalogue_store import CatalogueStore
 from lectern.sources.scratch import scratch as _scratch
 from lectern.sources.scratch import stored
+from lectern.sources.window_store import WindowStore
 from lectern.streaming import indexing, ingest, job_state
 
 from .catalogue import ORACLE_SQL, query, read
@@ -30,7 +31,7 @@ def chunks(spark, sf):
     """The catalogue's rows: documents cut into retrieval chunks, under the text's digest as revision."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
     cut = chunking.retrieval_chunks(docs)
-    own = cut.withColumn("document_id", F.col("document_id").cast("string")).join(docs.select("document_id", F.sha2("text", 256).alias("revision")), "document_id")
+    own = cut.join(docs.select("document_id", F.sha2("text", 256).alias("revision")), "document_id")
     return own.select("document_id", "revision", "pos", "start", "stop", "text")
 
 
@@ -124,3 +125,18 @@ def stream_jobs(spark, sf):
             sources = spark.readStream.schema("content string, arrived timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
             found = ingest.start_jobs(sources, f"{folder}/jobs", f"{folder}/state")
     return found.select("job_id", "bytes")
+
+
+@query(f"""{CHUNKS}, k AS (SELECT source AS book_id, document_id + 1 AS page, text FROM el JOIN (SELECT doc_id, source FROM documents) ON doc_id = document_id WHERE source IS NOT NULL)
+SELECT book_id, (page - 1) // 5 AS window_no, count(*) AS elements, sum(length(text))::BIGINT AS chars, min(page) AS first_page, max(page) AS last_page FROM k GROUP BY ALL""")
+def book_windows(spark, sf):
+    """The parse phase over two files (sources as books, documents as pages), a checkpoint each; windows read back under the budget."""
+    folder = _scratch(spark, "windows")
+    own = read(spark, sf, "documents").where("source is not null").select(F.col("source").alias("book_id"), (F.col("doc_id") + 1).alias("page"), "text")
+    store = WindowStore(spark, folder)
+    for k in range(2):
+        own.where(F.pmod(F.hash("book_id"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+        ingest.parse(spark.readStream.schema(own.schema).parquet(f"{folder}/pages"), store, f"{folder}/cursor")
+    each = store.read().select("book_id", "window_no", F.explode("elements").alias("e")).select("book_id", "window_no", "e.page", F.length("e.text").alias("n"))
+    per = each.groupBy("book_id", "window_no")
+    return per.agg(F.count(F.lit(1)).alias("elements"), F.sum("n").alias("chars"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))

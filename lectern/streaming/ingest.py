@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.chunking import retrieval_chunks
 from lectern.operators.structure import line_elements
 from lectern.sources.catalogue_store import CatalogueStore
+from lectern.sources.window_store import WindowStore
 
 SCHEMA = "document_id string, revision string, pos int, start int, stop int, text string"
 
@@ -51,3 +53,27 @@ def start_jobs(sources: DataFrame, out: str, checkpoint: str) -> DataFrame:
     writer = started(sources).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
     return sources.sparkSession.read.schema("job_id string, source_hash string, bytes long").parquet(out)
+
+
+#: Pages of a window.
+PAGES = 5
+
+
+def windows(pages: DataFrame) -> DataFrame:
+    """(book_id, window_no, elements) from (book_id, page, text): five pages a window, their retrieval chunks as elements."""
+    own = pages.select(F.concat_ws("\u0001", F.col("page").cast("string"), F.col("book_id").cast("string")).alias("document_id"), "text")
+    cut = retrieval_chunks(own).select(F.split("document_id", "\u0001", 2).alias("key"), "pos", "text")
+    each = cut.select(F.col("key")[1].alias("book_id"), F.col("key")[0].cast("long").alias("page"), "pos", "text")
+    place = F.floor((F.col("page") - 1) / PAGES).alias("window_no")
+    # pages of a window are few, and a record is bounded, so a window is a small group
+    grouped = each.groupBy("book_id", place).agg(F.array_sort(F.collect_list(F.struct("page", "pos", "text"))).alias("e"))
+    return grouped.select("book_id", "window_no", F.transform("e", lambda e, i: F.struct(i.alias("pos"), e["page"].alias("page"), e["text"].alias("text"))).alias("elements"))
+
+
+def parse(pages: DataFrame, store: WindowStore, checkpoint: str, name: str = "parse") -> None:
+    """The parse phase: windows of a streaming (book_id, page, text) table, a checkpoint for each micro-batch.
+
+    A window's pages come in one file; a window that comes again in another is refused. Pages count from 1; pages without text have no elements.
+    """
+    commit = lambda rows, number: store.save(windows(rows), f"{name}-{number}")
+    pages.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.operators import embedding
 from lectern.operators.embedding import BadReply, Lengths, Space
 from lectern.sources.catalogue_store import CatalogueStore, Conflict
+from lectern.sources.window_store import OverBudget, WindowStore
 from lectern.streaming import indexing, ingest, job_state
 
 SPACE = Space("local", "lengths", "1", 17, document_instruction="d: ")
@@ -162,3 +163,31 @@ def test_equal_bytes_start_one_job_across_restarts(spark, tmp_path):
         sources = spark.readStream.schema("content string, arrived timestamp").parquet(str(tmp_path / "in"))
         jobs = ingest.start_jobs(sources, str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["bytes"] for r in jobs.collect()) == [0, 1, 1, 1] and jobs.select("job_id").distinct().count() == 4
+
+
+def test_windows(spark, tmp_path):
+    store = WindowStore(spark, str(tmp_path))
+    assert store.read().count() == 0
+    pages = lambda *r: spark.createDataFrame(list(r), "book_id string, page long, text string")
+    own = ingest.windows(pages(*[("a", p, f"page {p} " * 200) for p in range(1, 8)], ("b", 1, "short"), ("b", 2, None), ("b", 3, "")))
+    for _ in range(2):
+        store.save(own, "0")
+    got = {(r["book_id"], r["window_no"]): r["elements"] for r in store.read().collect()}
+    assert set(got) == {("a", 0), ("a", 1), ("b", 0)} and [e["pos"] for e in got["a", 0]] == list(range(len(got["a", 0])))
+    assert {e["page"] for e in got["a", 1]} == {6, 7} and [(e["page"], e["text"]) for e in got["b", 0]] == [(1, "short")]
+    with pytest.raises(Conflict, match="stored already"):
+        store.save(own.where("book_id = 'b'"), "1")
+    with pytest.raises(Conflict, match="comes twice"):
+        store.save(own.unionByName(own), "0")
+    with pytest.raises(Conflict, match="beyond a record"):
+        store.save(spark.range(1).select(F.lit("c").alias("book_id"), F.lit(0).alias("window_no"), F.array(F.struct(F.lit(0).alias("pos"), F.lit(1).alias("page"), F.repeat(F.lit("x"), 3 << 20).alias("text"))).alias("elements")), "2")
+    with pytest.raises(OverBudget, match="book a"):
+        store.read(budget=1000)
+    assert store.read(["b"], budget=1000).count() == 1
+    # a payload that was changed
+    rows = spark.read.parquet(store.path).withColumn("payload", F.replace("payload", F.lit("short"), F.lit("other")))
+    changed = WindowStore(spark, str(tmp_path / "changed"))
+    rows.write.partitionBy("commit").parquet(changed.path)
+    assert changed.read(["a"]).count() == 2
+    with pytest.raises(Exception, match="checksum mismatch: b"):
+        changed.read().collect()
