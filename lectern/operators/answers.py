@@ -6,7 +6,10 @@ evidence_ids, requirement_ids). All are keyed by answer, so the shuffles are on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATUSES = ("supported", "missing", "conflicting", "unassessed")
@@ -61,3 +64,39 @@ def empty(questions: DataFrame) -> DataFrame:
         "question_id", "question", F.lit("insufficient-evidence").alias("status"), none.alias("document"), F.array(F.lit("no-candidates")).alias("reasons"), none.alias("bundle_id"),
         F.lit("deterministic").alias("provenance"), F.lit(False).alias("semantic_proof"), F.array().cast("array<string>").alias("requirements"), F.array().cast("array<string>").alias("figures"),
     )
+
+
+# The fields of an answer as it comes over the wire, and its most bytes.
+FIELDS = {
+    "requirements": {"id": "string", "requirement": "string", "status": "string", "evidenceIds": "array<string>"},
+    "figures": {"occurrenceId": "string", "requirementId": "string", "evidenceIds": "array<string>", "justification": "string"},
+    "paragraphs": {"text": "string", "evidenceIds": "array<string>", "requirementIds": "array<string>"},
+}
+TOP = ("wireVersion", "status", *FIELDS)
+BYTES = 512 << 10
+
+
+def parsed(documents: DataFrame, most: int = BYTES) -> DataFrame:
+    """(answer_id, answer) from (answer_id, json); a document that is none fails the job, with the reason.
+
+    It must be JSON of the fields' types (FAILFAST), of at most ``most`` bytes, with these fields and no others at the top and
+    in every element. Null documents and null fields count as missing ones.
+    """
+    inner = {k: "array<struct<" + ",".join(f"{n}:{t}" for n, t in own.items()) + ">>" for k, own in FIELDS.items()}
+    kind = "wireVersion string, status string, " + ", ".join(f"{k} {t}" for k, t in inner.items())
+    loose = ", ".join(f"{k} array<map<string,string>>" for k in FIELDS)
+    fail = lambda why: F.raise_error(F.concat(F.lit(f"{why}: answer "), F.coalesce(F.col("answer_id").cast("string"), F.lit("null"))))
+    fast = {"mode": "FAILFAST"}
+    size = F.coalesce(F.octet_length("json"), F.lit(0))
+    text = F.when(size == 0, fail("no document").cast("string")).when(size > most, fail("beyond its bytes").cast("string")).otherwise(F.col("json"))
+    rows = documents.select("answer_id", text.alias("json")).select("answer_id", "json", F.from_json("json", kind, fast).alias("answer"), F.from_json("json", loose, fast).alias("maps"))
+    same = lambda keys, names: F.array_sort(keys) == F.array(*map(F.lit, sorted(names)))
+
+    def whole(k: str) -> Column:
+        named = F.forall(F.col(f"maps.{k}"), lambda m: same(F.map_keys(m), FIELDS[k]))
+        given = F.forall(F.col(f"answer.{k}"), lambda x: functools.reduce(operator.and_, [x[n].isNotNull() for n in FIELDS[k]]))
+        return F.coalesce(named & given, F.lit(False))
+
+    exact = functools.reduce(operator.and_, map(whole, FIELDS), same(F.json_object_keys("json"), TOP))
+    kept = F.when(F.coalesce(exact, F.lit(False)), F.col("answer")).otherwise(fail("unexpected or missing fields").cast("struct<" + kind.replace(", ", ",").replace(" ", ":") + ">"))
+    return rows.select("answer_id", kept.alias("answer"))

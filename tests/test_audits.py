@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import json
 import os
 
 import pytest
@@ -110,3 +111,17 @@ def test_packages(spark, tmp_path):
     for bad in (many, rows.withColumn("bundle", F.lit("../x")), rows.withColumn("bundle", F.lit(None).cast("string"))):
         with pytest.raises(Conflict):
             packages.write(bad, sources, root)
+
+
+def test_parsed_answers(spark):
+    good = {"wireVersion": "1", "status": "answered", "requirements": [{"id": "r", "requirement": "x", "status": "supported", "evidenceIds": ["a"]}], "figures": [], "paragraphs": [{"text": "t é", "evidenceIds": ["a"], "requirementIds": ["r"]}]}
+    of = lambda *docs: spark.createDataFrame(list(enumerate(docs)), "answer_id int, json string")
+    (row,) = answers.parsed(of(json.dumps(good))).collect()
+    assert row["answer"]["paragraphs"][0]["text"] == "t é" and row["answer"]["requirements"][0]["evidenceIds"] == ["a"] and row["answer"]["figures"] == []
+    extra = good | {"more": 1}
+    nested = good | {"paragraphs": [good["paragraphs"][0] | {"more": 1}]}
+    less = good | {"requirements": [{"id": "r"}]}
+    for doc, why in ((json.dumps(extra), "unexpected or missing"), (json.dumps(nested), "unexpected or missing"), (json.dumps(less), "unexpected or missing"), ("{", "MALFORMED|Malformed"), (None, "no document"), (json.dumps(good) + " " * (512 << 10), "beyond its bytes"), (json.dumps(good | {"figures": None}), "unexpected or missing")):
+        with pytest.raises(Exception, match=why):
+            answers.parsed(of(json.dumps(good), doc)).collect()
+    assert answers.parsed(of(json.dumps(good)).limit(0)).count() == 0
