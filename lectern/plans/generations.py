@@ -17,7 +17,7 @@ from lectern.sources.scratch import stored
 
 from .catalogue import QUERY, query, read
 from .retrieval import EMBED, HINT, _bound, _revisions
-from .streams import CHUNKS, SPACE, TOTAL, chunks
+from .streams import CHUNKS, SPACE, chunks, total
 
 WORDS = sorted(QUERY.split())
 #: el with its book; batches of 4 in each document, numbered over the book.
@@ -92,7 +92,7 @@ def document_vectors(spark, sf):
     for rows, epoch in ((doubled, 1), (vectors, 2)):
         store.save(rows, "lengths", SPACE.dimension, active, epoch)
     name, revision = active.agg(F.min_by(F.struct("document_id", "revision"), "document_id").alias("d")).select("d.*").first()
-    return store.document("lengths", name, revision).select("element_id", F.size("vector").alias("dimension"), TOTAL)
+    return store.document("lengths", name, revision).select("element_id", F.size("vector").alias("dimension"), total())
 
 
 @query(f"""WITH own AS (SELECT source, doc_id, length(coalesce(text, '')) <= 32768 AS fits FROM documents WHERE source IS NOT NULL), low AS (SELECT min(source) AS m FROM own), h AS (SELECT document_id FROM {HINT})

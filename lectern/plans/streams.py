@@ -20,7 +20,10 @@ from .catalogue import ORACLE_SQL, query, read
 from .retrieval import EMBED
 
 SPACE = Space("local", "lengths", "1", 17)
-TOTAL = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total")
+
+
+def total():
+    return F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total")
 
 
 #: The chunks of ``retrieval_chunks`` with their texts.
@@ -51,7 +54,7 @@ def stream_index(spark, sf):
     """The index phase as a stream behind the catalogue; it runs twice, the second time over two publications."""
     folder = _scratch(spark, "index")
     index = _published(spark, sf, folder, (0, 2))
-    return index.vectors().select("document_id", "pos", F.size("vector").alias("dimension"), TOTAL)
+    return index.vectors().select("document_id", "pos", F.size("vector").alias("dimension"), total())
 
 
 @query(f"""{CHUNKS}, n AS (SELECT document_id, (max(pos) + 4) // 4 AS batches FROM el GROUP BY 1) SELECT document_id::VARCHAR AS document_id, batches,
@@ -66,7 +69,7 @@ def index_progress(spark, sf):
 def embedded_batches(spark, sf):
     """Bounded, checked calls of a provider; texts beyond a call's units, which it would refuse, are left out before."""
     own = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= 32_768)
-    return embedded(own, SPACE, Lengths(SPACE)).select("doc_id", F.size("vector").alias("dimension"), TOTAL)
+    return embedded(own, SPACE, Lengths(SPACE)).select("doc_id", F.size("vector").alias("dimension"), total())
 
 
 STATE_SQL = """e AS (SELECT user_id AS j, event_id AS s, ['parsing', 'parsed', 'indexing', 'ready', 'noise'][event_id % 5 + 1] AS st FROM events),
