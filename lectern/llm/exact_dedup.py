@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import fuse_filter
 from .common import stored, table, text_or_empty
 
-#: Distinct digests of a bucket, for which one task builds a filter.
+#: Digests of a bucket, of the snapshot or the batch, whichever has more; one task builds its filter and one screens it.
 BUCKET_DIGESTS = 250_000
 
 
@@ -45,10 +45,10 @@ def bucket_of(buckets: int) -> Column:
     return F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(buckets)).cast("int")
 
 
-def snapshot(rows: DataFrame, buckets: int | None = None) -> Snapshot:
-    """Freeze (doc_id, digest) rows: exact groups and a filter for each bucket."""
+def snapshot(rows: DataFrame, buckets: int | None = None, incoming: int = 0) -> Snapshot:
+    """Freeze (doc_id, digest) rows: exact groups and a filter for each bucket; ``incoming`` rows are to be screened by them."""
     groups = stored(grouped(rows), "exact-groups")
-    buckets = buckets or max(1, -(-groups.count() // BUCKET_DIGESTS))
+    buckets = buckets or max(1, -(-max(groups.count(), incoming) // BUCKET_DIGESTS))
     groups = groups.withColumn("bucket", bucket_of(buckets))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +102,8 @@ def dedup(docs: DataFrame, cut: int | None = None) -> DataFrame:
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         cut = 0 if low is None else (low + high) // 2
     old = F.coalesce(F.col("doc_id") < cut, F.lit(False))
-    groups = merged_groups(rows.where(~old), snapshot(rows.where(old)))
+    batch = rows.where(~old)
+    groups = merged_groups(batch, snapshot(rows.where(old), incoming=batch.count()))
     out = rows.join(groups, "digest").select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"
     )
