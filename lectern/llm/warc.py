@@ -3,8 +3,8 @@
 Writing. Of pages with equal payloads (SHA-256 and size) the one with the smallest page_id becomes a ``response`` record,
 the others ``revisit`` records that name its identifier. A response's body is sent in chunked transfer framing; a block
 of more than ``SEGMENT`` bytes is cut into a first record and ``continuation`` records, so that no record is larger, and
-a file holds at most about ``FILE_BYTES``. Spark's text writer puts the compressed files into the folder: a record ends
-with two line ends, which is the writer's separator.
+a file is filled up to ``FILE_BYTES``, whatever the records' sizes. A task joins the records of a file into one row; Spark's
+text writer puts the compressed files into the folder: a record ends with two line ends, which is the writer's separator.
 
 Reading. Files are parsed record by record; records that are whole are decoded at once, segments are grouped by their
 origin's identifier, ordered by segment number, checked against the total length, and decoded.
@@ -32,7 +32,7 @@ from .common import scratch_path, stored, table
 
 SEGMENT = 32_768
 CHUNK = 8_192
-#: Bytes of a file before it is compressed: a bound on what a reader holds.
+#: Bytes of a file before it is compressed: a bound on what a writer and a reader hold.
 FILE_BYTES = 32 << 20
 END = b"\r\n\r\n"
 
@@ -102,7 +102,7 @@ def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
-def write(pages: DataFrame, folder: str, segment: int = SEGMENT) -> str:
+def write(pages: DataFrame, folder: str, segment: int = SEGMENT, file_bytes: int = FILE_BYTES) -> str:
     """pages: (page_id, url, html)."""
     html = F.coalesce("html", F.lit(""))
     own = pages.select("page_id", "url", html.alias("html"), F.xxhash64("page_id", "url", html).alias("tag"))
@@ -113,17 +113,27 @@ def write(pages: DataFrame, folder: str, segment: int = SEGMENT) -> str:
     again = again.select(F.col("tag").alias("same_tag"), F.col("page_id").alias("same_id"), F.concat_ws(":", "first.page_id", "first.tag").alias("refers_to")).dropDuplicates(["same_tag", "same_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], ["file"])
+
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                out = []
                 for tag, page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns)):
-                    out += records_of(f"{page_id}:{tag}", page_id, url, html.encode(), refers_to, segment)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                    for one in records_of(f"{page_id}:{tag}", page_id, url, html.encode(), refers_to, segment):
+                        if held and size + len(one) > file_bytes:
+                            yield file()
+                            held, size = [], 0
+                        held.append(one)
+                        size += len(one) + len(END)
+        if held:
+            yield file()
 
     same = (F.col("tag") == F.col("same_tag")) & F.col("page_id").eqNullSafe(F.col("same_id"))
-    rows = own.join(again, same, "left").select("tag", "page_id", "url", "html", "refers_to").mapInArrow(run, "record binary")
-    written = rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    written.option("maxRecordsPerFile", max(1, FILE_BYTES // segment)).text(folder)
+    rows = own.join(again, same, "left").select("tag", "page_id", "url", "html", "refers_to").mapInArrow(run, "file binary")
+    written = rows.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+    written.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
