@@ -1,7 +1,8 @@
 """Operator 3: best-fit packing of documents into sequences by hierarchical residual packing.
 
-Every partition packs its pieces best-fit (longest first), full sequences are done, and the underfull ones go on as
-items of their own to the next round, which has fewer partitions (``FAN_IN`` into one, yet never more than
+Every partition packs its pieces best-fit (longest first). Nearly full sequences are done: those with less room than the
+smallest sequence that is still open, beside which nothing can come any more. The underfull ones go on as items of their
+own to the next round, which has fewer partitions (``FAN_IN`` into one, yet never more than
 ``TOGETHER`` items each). The rounds end when one partition held all items, or when a round saved less than one in a
 thousand. The state between rounds is a Parquet table in the shared folder, so a lost executor costs a task.
 
@@ -105,17 +106,24 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) ->
             rows += [(u, members[a:b]) for u, a, b in zip(batch.column(0).to_pylist(), ends, ends[1:])]
         yield from _bins(rows, length)
 
+    def parted(state: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Sequences that are done, open ones, and how many are open."""
+        # one row a size, of which there are ``length``
+        sizes = {r["used"]: r["count"] for r in state.where("not closed").groupBy("used").count().collect()}
+        most = length - min(sizes, default=length)
+        goes_on = ~F.col("closed") & (F.col("used") <= most)
+        return state.where(~goes_on), state.where(goes_on), sum(n for used, n in sizes.items() if used <= most)
+
     state = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first, BINS), "packed")
-    done = state.where("closed")
-    open_bins, parts = state.where("not closed"), max(1, state.rdd.getNumPartitions())
-    count = open_bins.count()
+    parts = max(1, state.rdd.getNumPartitions())
+    done, open_bins, count = parted(state)
     while count > 1 and parts > 1:
         least = -(-count // TOGETHER)
         parts = max(-(-parts // FAN_IN), least)
         key = F.expr("xxhash64(members[0].doc_id, members[0].piece)")
         state = stored(open_bins.select("used", "members").repartition(parts, key).mapInArrow(later, BINS), "packed")
-        done, open_bins, before = done.unionByName(state.where("closed")), state.where("not closed"), count
-        count = open_bins.count()
+        before, (full, open_bins, count) = count, parted(state)
+        done = done.unionByName(full)
         if (before - state.count()) * 1000 < before and parts == least:
             break
     return done.unionByName(open_bins).select(F.monotonically_increasing_id().alias("sequence_id"), "used", "members")
