@@ -1,7 +1,8 @@
 """Operator 10: token ids written as frequency-ranked, byte-aligned variable-length integers.
 
 File format. A folder with two Parquet tables. ``ranks``: one row, the token ids by falling corpus frequency (an id's
-place there is its rank). ``blocks``: rows of up to ``BLOCK`` documents in ascending doc_id order (nulls first), with
+place there is its rank). ``blocks``: rows of up to ``BLOCK`` documents and ``BLOCK_TOKENS`` tokens (a document with more
+is a row of its own) in ascending doc_id order (nulls first), with
 the documents' ids, null flags and token counts, and two separate byte streams: *control* holds two bits a token (the
 number of its data bytes less one), four tokens a byte, *data* holds the ranks in 1 to 4 little-endian bytes. The
 frequent half of the vocabulary takes one byte. Decoding looks each control byte up in a table of lengths.
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from . import bpe
 from .common import discard, scratch_path, stored, table
 
-BLOCK = 512
+BLOCK, BLOCK_TOKENS = 512, 1 << 20
 BLOCKS = "shard long, block long, doc_ids binary, nulls binary, counts binary, control binary, data binary"
 
 
@@ -85,7 +86,7 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
     return values
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> str:
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> str:
     """Tokenise ``docs`` (doc_id, text) and write them to ``folder``."""
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, tokenizer or bpe.default_tokenizer()), "tokens", compression="zstd")
@@ -100,7 +101,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, number, waiting, rank = TaskContext.get().partitionId(), 0, [], shared.value
+        shard, number, waiting, held, rank = TaskContext.get().partitionId(), 0, [], 0, shared.value
 
         def block() -> pa.RecordBatch:
             keys = np.array([k or 0 for k, _ in waiting], "<i8")
@@ -111,15 +112,18 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> str:
 
         for batch in batches:
             for key, ids, width in zip(*(c.to_pylist() for c in batch.columns)):
-                waiting.append((key, np.frombuffer(ids, f"<u{width}")))
-                if len(waiting) == BLOCK:
+                n = len(ids) // width
+                if len(waiting) == BLOCK or waiting and held + n > block_tokens:
                     yield block()
-                    waiting, number = [], number + 1
+                    waiting, held, number = [], 0, number + 1
+                waiting.append((key, np.frombuffer(ids, f"<u{width}")))
+                held += n
         if waiting:
             yield block()
 
     shards = max(1, tokens.rdd.getNumPartitions())
-    in_order = tokens.repartitionByRange(shards, F.asc("doc_id")).sortWithinPartitions("doc_id", F.crc32("ids"))
+    # the ids' crc32 deals rows that share a doc_id, or have none
+    in_order = tokens.repartitionByRange(shards, F.asc("doc_id"), F.crc32("ids")).sortWithinPartitions("doc_id", F.crc32("ids"))
     in_order.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     discard(tokens)
     return folder
