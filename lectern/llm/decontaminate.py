@@ -6,7 +6,7 @@ contained whole, the prefix that a document has to share is one shingle, the rar
 shingles join the windows on the shingle, bounds on position and length drop windows that would leave the text, and the
 words are compared one by one.
 
-Benchmark tables are broadcast only when the benchmark's text is at most ``BROADCAST_BYTES``. Beyond that the same joins
+The windows' tables are broadcast only when their rows, of which each holds its words, take at most ``BROADCAST_BYTES``. Beyond that the same joins
 shuffle (document, position, shingle) rows, and only documents with a candidate are looked up for their words; either
 way the result is the same. Shingles are hashed for the joins, equality rests on the words.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table, text_or_empty
 
 WINDOW = 10
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 64 << 20
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word before A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -67,9 +67,11 @@ def prefixes(documents: DataFrame, window: DataFrame, small: bool, single: bool)
 
 def occurrences(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     """(key, text_key, item_id, start, stop): the places of windows in the texts of ``documents`` (key, text_key, text)."""
-    small = (benchmark.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0) <= BROADCAST_BYTES
     window = windows(benchmark, size)
-    single = bool(window.where(F.size("words") == 1).limit(1).count())
+    # a row of the prefix table: its fixed part, a place and the padded bytes of each word
+    row = 64 + 16 * F.size("words") + F.octet_length(F.array_join("words", ""))
+    held, single = window.agg(F.sum(row), F.max(F.size("words") == 1)).first()
+    small, single = (held or 0) <= BROADCAST_BYTES, bool(single)
     prefix = prefixes(documents, window, small, single)
     split = documents.select("key", "text_key", words().alias("w")).where(F.size("w") > 0)
     first, length = F.col("at") - F.col("before"), F.size("window")
