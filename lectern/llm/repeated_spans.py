@@ -17,7 +17,7 @@ text), so that no round shuffles text. Copies of whole documents are found by th
 
 Rows are combined within their block before every sort, so a string in a third of all documents is a row a block; a
 representative met in more than ``HOT`` blocks is dealt by its runs and strings instead of by itself. In the second sort
-equality rests on 192 bits, in the third on bytes.
+equality of runs rests on 192 bits (the three ranks), within a block as between blocks, in the third on bytes.
 
 Defined results: null text is the empty text; rows that share a doc_id do not remove each other's bytes; a null doc_id
 counts as larger than any other; texts under 50 bytes keep everything; an empty table gives an empty result; very long
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, shared_folder, stored, table, text_or_empty
@@ -95,10 +95,10 @@ class Block:
         ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
         self.data = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
         self.start, self.stop = ends[:-1] - ends[0], ends[1:] - ends[0]
-        self.copy = np.isin(self.row, of_kind(back, "copy")[0])
+        self.copy = np.isin(self.row, of_kind(back, "copy")[0][0])
 
-    def runs(self) -> dict[str, np.ndarray]:
-        """rank (of the representative), at, n, doc, e1, e2 of every run, in the order of the text."""
+    def runs(self, bits: int = 64) -> dict[str, np.ndarray]:
+        """rank (of the representative), at, n, doc, e1 (cut to ``bits``), e2 of every run, in the order of the text."""
         half, size = self.length // 2, len(self.data)
         # strings that start in the last bytes of a document, or in a copy, do not count
         counts = np.where(self.copy, 0, np.maximum(self.stop - self.start - self.length + 1, 0))
@@ -128,7 +128,7 @@ class Block:
                 found["rank"].append(low[at])
                 found["at"].append(at + i)
                 found["n"].append(n)
-                found["e1"].append(mixed(pair * M1 + end))
+                found["e1"].append(mixed(pair * M1 + end) >> np.uint64(64 - bits))
                 found["e2"].append(mixed((pair ^ (end * M2)) * np.uint64(BASE) + end))
         out = {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k in ("rank", "e1", "e2") else np.int64) for k, v in found.items()}
         out["doc"] = np.searchsorted(self.stop, out["at"], side="right")
@@ -139,43 +139,67 @@ def chosen(runs: dict[str, np.ndarray], some: np.ndarray) -> dict[str, np.ndarra
     return {k: v[some] for k, v in runs.items()}
 
 
-def firsts(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first of each value (in the order of the text), and whether another document has it too."""
-    order = np.argsort(values, kind="stable")
-    ordered, docs = values[order], doc[order]
-    start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(values) else np.zeros(0, np.int64)
-    last = np.r_[start[1:], len(values)] - 1
-    places, many = order[start], docs[last] != docs[start] if len(values) else np.zeros(0, bool)
+def ordered(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order in which rows with equal keys are neighbours, and where in it new keys start."""
+    order = np.argsort(keys[0], kind="stable")
+    steps = [key[order][1:] != key[order][:-1] for key in keys]
+    if any((step & ~steps[0]).any() for step in steps[1:]):  # the first key alone does not tell all rows apart
+        order = np.lexsort(keys[::-1])
+        steps = [key[order][1:] != key[order][:-1] for key in keys]
+    return order, np.flatnonzero(np.r_[True, np.logical_or.reduce(steps)]) if len(order) else np.zeros(0, np.int64)
+
+
+def firsts(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first row of each key (in the order of the text), and whether another document has it too."""
+    order, start = ordered(keys)
+    docs = doc[order]
+    last = np.r_[start[1:], len(docs)][: len(start)] - 1
+    places, many = order[start], docs[last] != docs[start]
     back = np.argsort(places)
     return places[back], many[back]
 
 
-def of_kind(back: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The two values of the rows of a kind."""
+def of_kind(back: pa.Table, kind: str, keys: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """The keys of the rows of a kind, and what is told of them."""
     some = back.filter(pc.equal(back.column("kind"), kind))
-    return some.column("a").to_numpy(), some.column("b").to_numpy()
+    return [some.column(k).to_numpy() for k in ("a", "c", "d")[:keys]], some.column("b").to_numpy()
+
 
+def looked_up(values: list[np.ndarray], keys: list[np.ndarray], told: np.ndarray, none: int) -> np.ndarray:
+    """What is told of each row (unsigned ranks against signed keys), ``none`` where it is not among the keys."""
+    out = np.full(len(values[0]), none, np.int64)
+    if not len(told):
+        return out
+    order = np.argsort(keys[0], kind="stable")
+    keys, told, values = [key[order] for key in keys], told[order], [v.view(np.int64) for v in values]
+    place = np.searchsorted(keys[0], values[0])
+    # as many steps as keys agree in their first part: one, unless that happens
+    starts = np.flatnonzero(np.r_[True, keys[0][1:] != keys[0][:-1], True])
+    for step in range(np.diff(starts).max()):
+        at = np.minimum(place + step, len(told) - 1)
+        same = np.logical_and.reduce([key[at] == v for key, v in zip(keys, values)])
+        out[same] = told[at[same]]
+    return out
 
-def looked_up(values: np.ndarray, keys: np.ndarray, told: np.ndarray, none: int) -> np.ndarray:
-    """What is told of each value (as unsigned ranks against signed keys), ``none`` where it is not among the keys."""
-    if not len(keys):
-        return np.full(len(values), none, np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, told = keys[order], told[order]
-    values = values.view(np.int64)
-    place = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return np.where(keys[place] == values, told[place], none)
+
+def of_run(own: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """The three ranks that stand for a run."""
+    return [own["e1"], own["e2"], own["rank"]]
 
 
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-BACK = "block long, kind string, a long, b long"
+#: Rows told to a block: kind, key (row, representative, or a run's e1), what is told, and a run's other ranks (e2, rank).
+BACK = ["block", "kind", "a", "b", "c", "d"]
+
 
+def repeated_spans(docs: DataFrame, length: int = LENGTH, texts: bool = True, bits: int = 64) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the bytes that stay) for each row of ``docs``.
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the bytes that stay) for each row of ``docs``."""
+    ``bits`` is the size of the first of a run's ranks; the result does not depend on it.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
@@ -190,7 +214,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
                 if used and used + data.size > BLOCK_BYTES or row == 1 << 20:
                     block, used, row = block + 1, 0, 0
                 blocks.append(block)
-                rows.append((block << 20) + row)
+                rows.append(row)
                 used, row = used + data.size, row + 1
                 digests.append(xxhash.xxh3_128_digest(data))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(rows, pa.int64()), *batch.columns, pa.array(digests, pa.binary())], ["block", "row", "doc_id", "text", "digest"])
@@ -202,30 +226,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
     own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(number, "block long, row long, doc_id long, text string, digest binary")
     own.write.option("compression", "zstd").option("path", path).bucketBy(min(max(1, -(-size // BLOCK_BYTES)), most), "block").saveAsTable(name)
     try:
-        out = _measured(spark.table(name), length, texts)
+        out = _measured(spark.table(name), length, texts, bits)
         discard(spark.table(name))
         return out
     finally:
         spark.sql(f"DROP TABLE {name}")
 
 
+def told_of(kind: str, rows: DataFrame, key: str, value: Column, *more: str) -> DataFrame:
+    parts = [F.col("block"), F.lit(kind), F.col(key), value, *(F.col(m) for m in more), F.lit(0), F.lit(0)]
+    return rows.select(*(part.cast("string" if name == "kind" else "long").alias(name) for part, name in zip(parts, BACK)))
+
+
 def whole_copies(rows: DataFrame) -> DataFrame:
     """The rows whose text a smaller doc_id has, to be told to their blocks."""
     order = F.coalesce("doc_id", F.lit(LAST))
     first = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = rows.join(first, "digest").where(order > F.col("first"))
-    return copies.select("block", F.lit("copy").alias("kind"), F.col("row").alias("a"), F.lit(0).cast("long").alias("b"))
+    return told_of("copy", copies, "row", F.lit(0))
 
 
 def in_several(heads: DataFrame) -> DataFrame:
     """Of (rank, tag) rows, where a tag is twice the block plus whether it has several documents of the rank, those to go on with."""
     same = Window.partitionBy("rank")
     counted = heads.select("rank", "tag", F.count(F.lit(1)).over(same).alias("n"), F.max(F.col("tag") % 2).over(same).alias("many"))
-    return counted.where("n > 1 or many = 1").select(F.shiftright("tag", 1).alias("block"), F.lit("mark").alias("kind"), F.col("rank").alias("a"), (F.col("n") > HOT).cast("long").alias("b"))
+    return told_of("mark", counted.where("n > 1 or many = 1").withColumn("block", F.shiftright("tag", 1)), "rank", F.col("n") > HOT)
 
 
 def settled(runs: DataFrame) -> DataFrame:
-    """From (rank, salt, e1, e2, tag, low, hot): ``dup`` (e1, smallest doc_id) and ``send`` (e1, hot) rows for the blocks."""
+    """From (rank, salt, e1, e2, tag, low, hot): ``dup`` (run, smallest doc_id) and ``send`` (run, hot) rows for the blocks."""
     dealt = runs.repartition("rank", "salt")
     one, every = Window.partitionBy("rank", "salt", "e1", "e2"), Window.partitionBy("rank", "salt")
     least = dealt.withColumn("least", F.min("low").over(one))
@@ -233,19 +262,20 @@ def settled(runs: DataFrame) -> DataFrame:
     told = least.withColumn("several", other)
     dup = (F.col("least") < F.col("low")) | (F.col("tag") % 2 == 1)
     send = F.col("several") & (F.col("least") == F.col("low"))
-    none = F.lit(None).cast("struct<kind:string,a:long,b:long>")
-    rows = F.array(
-        F.when(dup, F.struct(F.lit("dup").alias("kind"), F.col("e1").alias("a"), F.col("least").alias("b"))).otherwise(none),
-        F.when(send, F.struct(F.lit("send").alias("kind"), F.col("e1").alias("a"), F.col("hot").cast("long").alias("b"))).otherwise(none),
-    )
+    none = F.lit(None).cast("struct<kind:string,a:long,b:long,c:long,d:long>")
+    row = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.col("e1").alias("a"), value.alias("b"), F.col("e2").alias("c"), F.col("rank").alias("d"))
+    rows = F.array(F.when(dup, row("dup", F.col("least"))).otherwise(none), F.when(send, row("send", F.col("hot").cast("long"))).otherwise(none))
     return told.where(dup | send).select(F.shiftright("tag", 1).alias("block"), F.inline(F.array_compact(rows)))
 
 
 def met_before(sent: DataFrame, length: int) -> DataFrame:
-    """From (rank, block, e1, doc, n, bytes, hot): ``edge`` rows (e1, a bit for each string of the run that a smaller doc_id has)."""
-    strings = lambda df: df.select("rank", "block", "e1", "doc", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("rank", "block", "e1", "doc", "i", F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("string"))
+    """From (rank, block, e1, e2, doc, n, bytes, hot): ``edge`` rows (run, a bit for each string of it that a smaller doc_id has)."""
+    run = ["rank", "block", "e1", "e2"]
+    each = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")
+    string = F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("string")
+    strings = lambda df: df.select(*run, "doc", "bytes", each).select(*run, "doc", "i", string)
     bit = F.expr("shiftleft(1L, i)")
-    edge = lambda df: df.groupBy("rank", "block", "e1").agg(F.bit_or(bit).alias("b"))
+    edge = lambda df: df.groupBy(*run).agg(F.bit_or(bit).alias("b"))
     # runs under a rare representative meet by it, and are opened after the exchange
     cold = strings(sent.where("not hot").repartition("rank"))
     cold = edge(cold.withColumn("least", F.min("doc").over(Window.partitionBy("rank", "string"))).where("least < doc"))
@@ -253,55 +283,55 @@ def met_before(sent: DataFrame, length: int) -> DataFrame:
     hot = strings(sent.where("hot"))
     least = hot.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("string", "least")
     hot = edge(hot.join(least, "string").where("least < doc"))
-    return cold.unionByName(hot).select("block", F.lit("edge").alias("kind"), F.col("e1").alias("a"), "b")
+    return told_of("edge", cold.unionByName(hot), "e1", F.col("b"), "e2", "rank")
 
 
-def _measured(blocks: DataFrame, length: int, with_texts: bool) -> DataFrame:
+def _measured(blocks: DataFrame, length: int, with_texts: bool, bits: int) -> DataFrame:
     names = lambda ddl: [x.split()[0] for x in ddl.split(", ")]
-    heads, runs, sent = "rank long, tag long", "rank long, salt long, e1 long, e2 long, tag long, low long, hot boolean", "rank long, block long, e1 long, doc long, n int, bytes binary, hot boolean"
+    heads, runs, sent = "rank long, tag long", "rank long, salt long, e1 long, e2 long, tag long, low long, hot boolean", "rank long, block long, e1 long, e2 long, doc long, n int, bytes binary, hot boolean"
 
     def first(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
-        own = Block(group, back, length).runs()
-        at, many = firsts(own["rank"], own["doc"])
+        own = Block(group, back, length).runs(bits)
+        at, many = firsts([own["rank"]], own["doc"])
         return pa.table([signed(own["rank"][at]), pa.array(2 * key[0].as_py() + many)], names(heads))
 
     def marked(own: dict[str, np.ndarray], back: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        hot = looked_up(own["rank"], *of_kind(back, "mark"), -1)
+        hot = looked_up([own["rank"]], *of_kind(back, "mark"), -1)
         return chosen(own, hot >= 0), hot[hot >= 0] == 1
 
     def second(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
         block = Block(group, back, length)
-        own, hot = marked(block.runs(), back)
-        at, many = firsts(own["e1"] ^ (own["e2"] * M2), block.key[own["doc"]])
+        own, hot = marked(block.runs(bits), back)
+        at, many = firsts(of_run(own), block.key[own["doc"]])
         own, hot = chosen(own, at), hot[at]
         salt = np.where(hot, own["e1"].view(np.int64), 0)
         columns = [signed(own["rank"]), pa.array(salt), signed(own["e1"]), signed(own["e2"]), pa.array(2 * key[0].as_py() + many), pa.array(block.key[own["doc"]]), pa.array(hot)]
         return pa.table(columns, names(runs))
 
     def third(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
-        if not len(of_kind(back, "send")[0]):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())], names(sent))
+        if not len(of_kind(back, "send")[1]):
+            return pa.table([pa.array([], t) for t in [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.bool_()]], names(sent))
         block = Block(group, back, length)
-        own = block.runs()
-        hot = looked_up(own["e1"], *of_kind(back, "send"), -1)
+        own = block.runs(bits)
+        hot = looked_up(of_run(own), *of_kind(back, "send", 3), -1)
         own, hot = chosen(own, hot >= 0), hot[hot >= 0]
-        at, _ = firsts(own["e1"], own["doc"])
+        at, _ = firsts(of_run(own), own["doc"])
         own, hot = chosen(own, at), hot[at]
         data = block.data.tobytes()
         pieces = [data[a : a + n + length - 1] for a, n in zip(own["at"].tolist(), own["n"].tolist())]
-        columns = [signed(own["rank"]), pa.array(np.full(len(at), key[0].as_py())), signed(own["e1"]), pa.array(block.key[own["doc"]]), pa.array(own["n"].astype(np.int32)), pa.array(pieces, pa.binary()), pa.array(hot == 1)]
+        columns = [signed(own["rank"]), pa.array(np.full(len(at), key[0].as_py())), signed(own["e1"]), signed(own["e2"]), pa.array(block.key[own["doc"]]), pa.array(own["n"].astype(np.int32)), pa.array(pieces, pa.binary()), pa.array(hot == 1)]
         return pa.table(columns, names(sent))
 
     def remove(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
         block = Block(group, back, length)
-        own = block.runs() if back.num_rows else chosen(block.runs(), slice(0, 0))
-        least = looked_up(own["e1"], *of_kind(back, "dup"), LAST)
+        own = block.runs(bits) if back.num_rows else chosen(block.runs(bits), slice(0, 0))
+        least = looked_up(of_run(own), *of_kind(back, "dup", 3), LAST)
         goes = least < block.key[own["doc"]]
         some = chosen(own, goes)
         step = np.zeros(len(block.data) + 1, np.int32)
         np.add.at(step, some["at"], 1)
         np.add.at(step, some["at"] + some["n"] + length - 1, -1)
-        edges = np.where(goes, 0, looked_up(own["e1"], *of_kind(back, "edge"), 0))
+        edges = np.where(goes, 0, looked_up(of_run(own), *of_kind(back, "edge", 3), 0))
         for bit in range(length - length // 2 + 1):
             at = own["at"][(edges >> bit & 1) == 1] + bit
             np.add.at(step, at, 1)
