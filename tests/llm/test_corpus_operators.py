@@ -51,6 +51,18 @@ def test_exact_dedup(docs, empty):
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(docs).collect()}
     assert {(1, 2, 3, False), (2, 2, 3, True), (3, 3, 1, True), (4, 5, 2, False), (5, 5, 2, True), (None, None, 1, True)} <= got
     assert exact_dedup.dedup(empty).count() == 0
+
+
+def test_exact_dedup_against_an_empty_snapshot(docs, monkeypatch):
+    """Buckets follow the batch where it is the larger side, and results do not depend on the cut."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_DIGESTS", 2)
+    rows = exact_dedup.digests(docs)
+    assert exact_dedup.snapshot(rows.limit(0), incoming=rows.count()).buckets == 5 and exact_dedup.snapshot(rows.limit(0)).buckets == 1
+    want = by_id(exact_dedup.dedup(docs))
+    assert by_id(exact_dedup.dedup(docs, cut=-1)) == by_id(exact_dedup.dedup(docs, cut=100)) == want
+
+
+def test_exact_dedup_keeps(docs):
     assert sorted(r["doc_id"] or 0 for r in exact_dedup.deduplicated(docs).collect()) == [0, 2, 2, 3, 5, 6, 7, 8]
 
 
@@ -74,6 +86,12 @@ def test_warc_round_trip(spark):
     ids = set(re.findall(rb"WARC-Record-ID: (.*?)\r", raw))
     assert set(re.findall(rb"WARC-Refers-To: (.*?)\r", raw)) <= ids and len(back) == 8
     assert warc.read(spark, warc.write(pages.limit(0), scratch_path(spark, "w"))).count() == 0
+    # files by bytes: filled with small records, and none beyond the bound
+    many = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), "id").alias("html")).coalesce(1)
+    folder = warc.write(many, scratch_path(spark, "w"), file_bytes=200_000)
+    sizes = sorted(len(gzip.open(f).read()) for f in glob.glob(folder.removeprefix("file:") + "/part-*"))
+    assert sizes[-1] <= 200_004 and sizes[1] > 195_000 and len(sizes) > 3
+    assert sorted((r["page_id"], r["payload"].decode()) for r in warc.read(spark, folder).collect()) == [(i, f"page {i}") for i in range(3000)]
 
 
 def test_packing(docs, empty):
@@ -88,6 +106,10 @@ def test_packing(docs, empty):
         assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0 and own[-1][0] + own[-1][1] <= 1024
     assert sum(r["length"] for r in placed) == want and len(spans) <= -(-want // 1024) + 1
     assert packing.placed(packing.pack(empty)).count() == 0
+    # short lengths over many partitions: nearly full sequences leave early, and no two that are left would fit together
+    texts = docs.sparkSession.createDataFrame([(i, prose(i, 1 + i * 7 % 23), 1, "en") for i in range(200)], SCHEMA).repartition(16)
+    used = sorted(r["used"] for r in packing.pack(texts, length=100).collect())
+    assert used[0] + used[1] > 100 and sum(used) == sum(len(x) // 4 + 1 for x in encoder.encode([r["text"] for r in texts.collect()]))
     assert [len(packing.best_fit(s, 10)) for s in ([6, 4, 5, 5], [10], [3] * 10, [])] == [2, 1, 4, 0]
 
 
@@ -110,6 +132,12 @@ def test_token_files(spark, docs, empty):
     values = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], np.uint32)
     assert (token_output.decode(*token_output.encode(values), len(values)) == values).all()
     assert token_output.read(spark, token_output.write(empty, scratch_path(spark, "t"))).count() == 0
+    # blocks bounded by tokens: a long document is one of its own, and the result is the same
+    folder = token_output.write(docs, scratch_path(spark, "t"), block_tokens=700)
+    again = token_output.read(spark, folder).collect()
+    assert sorted(again, key=lambda r: r["start"]) == got
+    sizes = [np.frombuffer(r["counts"], "<u4") for r in spark.read.parquet(f"{folder}/blocks").collect()]
+    assert all(len(n) == 1 or n.sum() <= 700 for n in sizes) and any(len(n) == 1 and n[0] > 700 for n in sizes) and sum(map(len, sizes)) == len(got)
 
 
 def test_url_filter(spark):
@@ -173,9 +201,9 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and got[200] == got[300] == 100
 
 
-@pytest.mark.parametrize("hot", [0, 256])
-def test_repeated_spans(spark, docs, empty, monkeypatch, hot):
-    """Against brute force; a line with varying neighbours, a text of one character, and pieces smaller than a text too."""
+@pytest.mark.parametrize("hot, bits", [(0, 64), (256, 64), (0, 2), (256, 2)])
+def test_repeated_spans(spark, docs, empty, monkeypatch, hot, bits):
+    """Against brute force; a line with varying neighbours, a text of one character, and runs whose first ranks meet by chance too."""
     monkeypatch.setattr(repeated_spans, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(repeated_spans, "PIECE_BYTES", 3000)
     monkeypatch.setattr(repeated_spans, "HOT", hot)
@@ -196,7 +224,7 @@ def test_repeated_spans(spark, docs, empty, monkeypatch, hot):
         kept = bytes(c for c, g in zip(b, gone) if not g)
         spans = sum(1 for i in range(len(gone)) if gone[i] and not (i and gone[i - 1]))
         want.append((k if k < 1 << 70 else None, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept))
-    got = [(*r[:5], bytes(r[5])) for r in repeated_spans.repeated_spans(docs).collect()]
+    got = [(*r[:5], bytes(r[5])) for r in repeated_spans.repeated_spans(docs, bits=bits).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert repeated_spans.repeated_spans(empty).count() == 0
 
