@@ -29,35 +29,45 @@ BLOCK, BLOCK_TOKENS = 512, 1 << 20
 BLOCKS = "shard long, block long, doc_ids binary, nulls binary, counts binary, control binary, data binary"
 
 
-def tokenised(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): each whole text's ids and the end id, as little-endian unsigned 16- or 32-bit integers."""
+def tokenised(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", counted: bool = False) -> DataFrame:
+    """(doc_id, ids, width): each whole text's ids and the end id, as little-endian unsigned 16- or 32-bit integers.
+
+    With ``counted`` there is a column ``counts`` too, null in these rows, and a row a task in which it holds how often the
+    task met each id.
+    """
+    names = ["doc_id", "ids", "width", "counts"][: 4 if counted else 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder(tokenizer)
         kind = np.dtype("<u2" if encoder.size <= 1 << 16 else "<u4")
+        total = np.zeros(encoder.size, "<i8")
         for part, ids, ends in bpe.documents(encoder, batches):
             borders = pa.py_buffer(np.r_[0, ends * kind.itemsize].astype(np.int32))
             rows = pa.Array.from_buffers(pa.binary(), len(ends), [None, borders, pa.py_buffer(ids.astype(kind))])
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), rows, pa.array(np.full(len(ends), kind.itemsize, np.int32))], ["doc_id", "ids", "width"])
+            columns = [part.column(0).cast(pa.int64()), rows, pa.array(np.full(len(ends), kind.itemsize, np.int32)), pa.nulls(len(ends), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+            if counted:
+                total += np.bincount(ids, minlength=len(total))
+        if counted:
+            row = zip([None, None, None, total.tobytes()], [pa.int64(), pa.binary(), pa.int32(), pa.binary()])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, ids binary, width int")
+    schema = "doc_id long, ids binary, width int" + ", counts binary" * counted
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, schema)
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all documents; a task sends one row for each id that it met."""
+    """(id, n) over all documents, from the counts of the tasks that made the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = np.bincount(np.frombuffer(ids, f"<u{width}"))
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[: len(n)] += n
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
+            for counts in batch.column(0):
+                total = np.frombuffer(counts.as_buffer(), "<i8")
+                found = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.where("counts is not null").select("counts")
+    return counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -89,7 +99,7 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> str:
     """Tokenise ``docs`` (doc_id, text) and write them to ``folder``."""
     spark = docs.sparkSession
-    tokens = stored(tokenised(docs, tokenizer or bpe.default_tokenizer()), "tokens", compression="zstd")
+    tokens = stored(tokenised(docs, tokenizer or bpe.default_tokenizer(), counted=True), "tokens", compression="zstd")
     # bounded by the vocabulary
     counts = frequencies(tokens).orderBy(F.desc("n"), "id").toPandas()
     order = counts["id"].to_numpy(np.int64)
@@ -123,18 +133,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, block_toke
 
     shards = max(1, tokens.rdd.getNumPartitions())
     # the ids' crc32 deals rows that share a doc_id, or have none
-    in_order = tokens.repartitionByRange(shards, F.asc("doc_id"), F.crc32("ids")).sortWithinPartitions("doc_id", F.crc32("ids"))
+    in_order = tokens.where("counts is null").drop("counts").repartitionByRange(shards, F.asc("doc_id"), F.crc32("ids")).sortWithinPartitions("doc_id", F.crc32("ids"))
     in_order.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     discard(tokens)
     return folder
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) from a written folder; ``ids`` is array<int>, pruned where unused."""
+def read(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32 and, with ``ids``, ids array<int>) from a written folder."""
+    with_ids = ids
     order = np.frombuffer(spark.read.parquet(f"{folder}/ranks").first()["ids"], "<u4")
     shared = spark.sparkContext.broadcast(order)
     schema = T.StructType.fromDDL(BLOCKS)
     blocks = spark.read.schema(schema).parquet(f"{folder}/blocks")
+    names = ["shard", "block", "doc_id", "inside", "n_tokens", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -145,26 +157,26 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 ends = np.cumsum(counts)
                 keys = [None if gone else int(k) for k, gone in zip(np.frombuffer(row["doc_ids"], "<i8"), row["nulls"])]
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends - counts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * len(keys), pa.int64()), pa.array([row["block"]] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int32)))],
-                    ["shard", "block", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"],
-                )
+                where = [[row["shard"]] * len(keys), [row["block"]] * len(keys), keys]
+                columns = [pa.array(c, pa.int64()) for c in (*where, ends - counts, counts, crcs)]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [int(np.frombuffer(x, "<u4").sum()) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["shard", "block", "n"])
 
-    docs = blocks.mapInArrow(run, "shard long, block long, doc_id long, inside long, n_tokens long, ids_crc32 long, ids array<int>")
+    docs = blocks.mapInArrow(run, ", ".join(f"{name} {'array<int>' if name == 'ids' else 'long'}" for name in names))
     # starts: a running sum within each shard, and one over the shards' totals, of which there are few
     block = blocks.select("shard", "block", "counts").mapInArrow(sizes, "shard long, block long, n long")
     shard = block.groupBy("shard").agg(F.sum("n").alias("n"))
     before = shard.select("shard", F.expr("sum(n) over (order by shard) - n").alias("shard_start"))
     starts = block.select("shard", "block", F.expr("sum(n) over (partition by shard order by block) - n").alias("block_start")).join(before, "shard")
-    return docs.join(starts, ["shard", "block"]).select("doc_id", (F.col("shard_start") + F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return docs.join(starts, ["shard", "block"]).select("doc_id", (F.col("shard_start") + F.col("block_start") + F.col("inside")).alias("start"), *names[4:])
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write(table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"))
-    return read(spark, folder).drop("ids")
+    return read(spark, folder, ids=False)
