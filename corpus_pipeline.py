@@ -22,6 +22,8 @@ from lectern.llm import decontaminate, exact_dedup, language_id, near_dedup, pac
 from lectern.llm.common import stored, table
 
 MIN_LANGUAGE_SCORE = 0.4
+#: Bytes of text that a packing task encodes at once: the executors' heaps have grown by the stages before.
+ENCODED_TOGETHER = 2 << 20
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -49,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.placed(packing.pack(docs))
+    return packing.placed(packing.pack(docs, together=ENCODED_TOGETHER))
 
 
 STAGES = [("language_id", keep_known_languages), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import only
+
 END_OF_DOCUMENT = 2
 #: Words remembered by a Python worker, twice at most: those of the last so many new ones, and those before them.
 REMEMBERED = 500_000
@@ -126,7 +128,9 @@ class WordEncoder:
         index[~first], index[first] = others.indices, len(others.dictionary) + np.asarray(heads.indices)
         size, start = size[index], (np.cumsum(size) - size)[index]
         ends = np.cumsum(size)
-        return table[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends[borders[1:] - 1]
+        place = np.repeat(start - (ends - size), size)
+        place += np.arange(len(place))
+        return table[place], ends[borders[1:] - 1]
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, as unsigned 32-bit integers, and where each text ends; null counts as empty."""
@@ -156,24 +160,29 @@ class WordEncoder:
         return [x.tobytes() for x in np.split(ids, ends)[:-1]]
 
 
-def documents(encoder: WordEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of (doc_id, text) batches with their texts' ids, each text's followed by the end id, and where each text ends."""
+def documents(encoder: WordEncoder, batches: Iterator[pa.RecordBatch], together: int = TOGETHER) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of (doc_id, text) batches with their texts' ids, each text's followed by the end id, and where each text ends.
+
+    ``together``: bytes of text in a slice; fewer take less memory and somewhat more time.
+    """
     for batch in batches:
         size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
         at = 0
         while at < batch.num_rows:
-            stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, side="right"))
+            stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + together, side="right"))
             part = batch.slice(at, max(1, stop - at))
             at += part.num_rows
             ids, ends = encoder.encoded(part.column(1))
             yield part, np.insert(ids, ends, END_OF_DOCUMENT), ends + np.arange(1, len(ends) + 1)
+    pa.default_memory_pool().release_unused()  # the words' arrays, several times the text
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One for each worker process and vocabulary file."""
+    """One for each worker process and vocabulary file, until a task of another operator begins."""
+    only("bpe", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

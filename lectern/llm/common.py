@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,18 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: By operator, how a Python worker forgets what that operator's tasks left in it.
+_left: dict[str, Callable[[], None]] = {}
+
+
+def only(operator: str, forget: Callable[[], None] = lambda: None) -> None:
+    """At a task's beginning: the worker, which tasks of all operators share, forgets what those of others left in it."""
+    for other in [o for o in _left if o != operator]:
+        _left.pop(other)()
+    _left[operator] = forget
+    pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

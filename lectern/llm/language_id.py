@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import only, table
 
 WIDTH = 1 << 15
 ROWS_A_LANGUAGE = 1500
@@ -71,6 +71,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that have each feature, over all rows of ``docs`` (text); and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language_id")
         total, n = np.zeros(WIDTH, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -155,6 +156,7 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", names: tupl
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language_id")
         model = shared.value
         for batch in batches:
             langs, scores = [], []

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored, table
+from .common import discard, only, stored, table
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -142,6 +142,7 @@ def features(docs: DataFrame, width: int, each: int = ROWS) -> DataFrame:
     names = ["doc_id", "n", "digest", "sketch", "bands", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("near_dedup", _hashes.clear)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for i in range(0, batch.num_rows, 500):
@@ -160,6 +161,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int, repeated: bool) ->
     """(node, hashes) for the documents in ``nodes``; ``repeated`` says whether a doc_id may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("near_dedup", _hashes.clear)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for i in range(0, batch.num_rows, 500):

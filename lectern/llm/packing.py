@@ -79,13 +79,13 @@ def _bins(rows: list[tuple[int, list[tuple]]], length: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([u == length for u in used]), nested], ["used", "closed", "members"])
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
-    """(sequence_id, used, members): one row for each sequence, its pieces in order."""
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, together: int = bpe.TOGETHER) -> DataFrame:
+    """(sequence_id, used, members): one row for each sequence, its pieces in order; ``together``: bytes of text that a task encodes at once."""
     spark, path = docs.sparkSession, tokenizer or bpe.default_tokenizer()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = []
-        for part, ids, ends in bpe.documents(bpe.encoder(path), batches):
+        for part, ids, ends in bpe.documents(bpe.encoder(path), batches, together):
             whole = []
             for key, a, b in zip(part.column(0).to_pylist(), np.r_[0, ends[:-1]].tolist(), ends.tolist()):
                 for p in pieces_of(ids[a:b], length):

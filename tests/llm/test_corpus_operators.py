@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,31 @@ def test_near_dedup(spark, docs, empty, rounds, monkeypatch):
         assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_workers_forget_other_operators(spark):
+    """What an operator's tasks remember is gone when a task of another one begins in their worker, and stays for its own."""
+
+    class Tasks:
+        select = lambda self, *_: self
+        join = unionByName = distinct = select
+        mapInArrow = lambda self, run, _: run
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words of a text", None])], ["doc_id", "text"])
+    for made in (lambda: near_dedup.features(Tasks(), 2), lambda: near_dedup.full_sets(Tasks(), Tasks(), 2, False)):
+        encoder = bpe.encoder(bpe.default_tokenizer())
+        encoder.encode(["some words of a text"])
+        assert bpe.encoder(bpe.default_tokenizer()) is encoder and not near_dedup._hashes
+        for _ in range(2):
+            assert len(list(made()(iter([batch])))) == 1
+            assert not bpe._encoders and len(near_dedup._hashes) == 5
+    assert bpe.encoder(bpe.default_tokenizer()).encode(["some words of a text"]) == encoder.encode(["some words of a text"])
+    assert not near_dedup._hashes
+
+
+def test_packing_by_small_slices(docs):
+    rows = lambda df: sorted((str(r["doc_id"]), *tuple(r)[1:5], r["offset"]) for r in packing.placed(df).collect())
+    assert rows(packing.pack(docs, 64, together=100)) == rows(packing.pack(docs, 64))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
