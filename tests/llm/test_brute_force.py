@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import bpe, decontaminate, packing, pii, url_filter
@@ -253,3 +255,44 @@ def test_encoder_agrees_with_the_library_on_odd_texts():
     texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(8000)]
     encoder = bpe.encoder(bpe.default_tokenizer())
     assert encoder.encode(texts) == encoder.whole(texts)
+
+
+def test_encoder_agrees_with_the_library_on_lines_and_signs(monkeypatch):
+    """Words with signs and ends of lines, letters beside the ranges of common ones, many slices, and pieces that are forgotten."""
+    monkeypatch.setattr(bpe, "PIECES", 50)
+    draw = random.Random(2)
+    letters = ["a", "b", "th", "É", "ß", "ñ", "\u00aa", "\u00b5", "\u00d7", "\u00f7", "\u01c0", "\u024f", "\u0250", "e\u0301"]
+    word = lambda: "".join(draw.choice(letters[: draw.choice([3, 6, 14])]) for _ in range(draw.randrange(1, 5)))
+    parts = [word, word, word, word, lambda: " ", lambda: " ", lambda: " ", lambda: "\n", lambda: draw.choice(".,;:!?"), lambda: draw.choice(["...", "'s", "\t", "7", "-", "\r\n", "\n\n", "<|endoftext|>"])]
+    encoder = bpe.WordEncoder(bpe.default_tokenizer())
+    for _ in range(20):
+        texts = ["".join(draw.choice(parts)() for _ in range(draw.randrange(40))) for _ in range(300)]
+        want = encoder.whole(texts)
+        assert encoder.encode(texts) == want
+        assert max(len(encoder.spaced.texts), len(encoder.leading.texts)) <= 50
+        batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"])
+        monkeypatch.setattr(bpe, "LOOKED_UP", draw.choice([1, 2000, 1 << 20]))
+        found = [x[:-1].tobytes() for _, ids, ends in bpe.documents(encoder, iter([batch]), draw.choice([1, 500, 1 << 20])) for x in np.split(ids, ends)[:-1]]
+        assert found == want
+
+
+def test_encoder_knows_words_with_signs_and_beside_ends_of_lines():
+    """What the library is given of a text whose words are known, with other signs and lines."""
+    given = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    draw = random.Random(3)
+    words = ["".join(draw.choice("aeioubdgklmnrst") for _ in range(8)) for _ in range(2000)]
+    encoder = bpe.WordEncoder(bpe.default_tokenizer())
+    encoder.encode(["a " + " ".join(words) + ".", "a\n" + "\n".join(words) + ".\na"])
+    encoder.tokenizer, encoder.pieces, whole = Counted(encoder.tokenizer), Counted(encoder.pieces), encoder.tokenizer
+    text = "a " + "".join(f"{a}{draw.choice(['', ',', '.', ';'])}{draw.choice('  \n')}{b}! " for a, b in zip(words, words[1:])) + "a"
+    assert encoder.encode([text]) == [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sum(map(len, given)) < 100, sum(map(len, given))
