@@ -22,8 +22,8 @@ from lectern.llm import decontaminate, exact_dedup, language_id, near_dedup, pac
 from lectern.llm.common import stored, table
 
 MIN_LANGUAGE_SCORE = 0.4
-#: Bytes of text that a packing task encodes at once: the executors' heaps have grown by the stages before.
-ENCODED_TOGETHER = 2 << 20
+#: Bytes of text that a packing task encodes at once, what it looks up and remembers in proportion: the executors' heaps have grown by the stages before.
+ENCODED_TOGETHER = 1 << 20
 
 
 def free_name(name: str, taken: list[str]) -> str:

@@ -57,9 +57,10 @@ def gathered(table: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 class Remembered:
-    """Pieces of text with their ids, as columns."""
+    """Pieces of text with their ids, as columns; ``share``: of ``PIECES``."""
 
-    def __init__(self) -> None:
+    def __init__(self, share: float = 1) -> None:
+        self.share = share
         self.texts = pa.array([], pa.large_string())
         self.ids, self.size, self.used = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.float32)
 
@@ -80,15 +81,18 @@ class Remembered:
         self.used[at] += 1
         ids, size = self.ids, self.size
         start = np.cumsum(size) - size
-        if len(size) > PIECES:
+        if len(size) > (most := int(PIECES * self.share)):
             # those used most, and of late
-            kept = np.sort(np.argpartition(-self.used, PIECES // 2)[: PIECES // 2])
+            kept = np.sort(np.argpartition(-self.used, most // 2)[: most // 2])
             self.ids, self.size, self.used, self.texts = gathered(ids, start[kept], size[kept])[0], size[kept], self.used[kept], self.texts.take(pa.array(kept))
         return ids, start[at], size[at]
 
 
 class WordEncoder:
-    def __init__(self, path: str) -> None:
+    """``share``: of what is looked up together and remembered at most; a smaller one takes less memory and more time."""
+
+    def __init__(self, path: str, share: float = 1) -> None:
+        self.share = share
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -110,7 +114,7 @@ class WordEncoder:
         self.before: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}  # by a text's first word, its ids
         # letters after a space, and at the beginning of a text or line; signs and ends of lines after them
-        self.spaced, self.leading, self.tails = Remembered(), Remembered(), Remembered()
+        self.spaced, self.leading, self.tails = (Remembered(share) for _ in range(3))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -150,7 +154,7 @@ class WordEncoder:
 
     def _after_space(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words, each after a space."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED * self.share:
             self.known, self.before = {}, self.known
         new = {w for w in words if w not in self.known}
         again = {w: self.before[w] for w in new if w in self.before}
@@ -160,7 +164,7 @@ class WordEncoder:
 
     def _first(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words that texts begin with."""
-        if len(self.heads) > HEADS:
+        if len(self.heads) > HEADS * self.share:
             self.heads = {}
         new = [w for w in words if w not in self.heads]
         self.heads.update(zip(new, self.whole(new)))
@@ -292,19 +296,20 @@ def documents(encoder: WordEncoder, batches: Iterator[pa.RecordBatch], together:
             at += part.num_rows
             parts.append(part)
             held += size[at - 1] - before
-            if held >= LOOKED_UP or at == batch.num_rows:
+            if held >= LOOKED_UP * encoder.share or at == batch.num_rows:
                 for part, (ids, ends) in zip(parts, encoder.encoded([p.column(1) for p in parts])):
                     yield part, np.insert(ids, ends, END_OF_DOCUMENT), ends + np.arange(1, len(ends) + 1)
                 parts, held = [], 0
     pa.default_memory_pool().release_unused()  # the words' arrays, several times the text
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, float], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process and vocabulary file, until a task of another operator begins."""
+def encoder(path: str, share: float = 1) -> WordEncoder:
+    """One for each worker process, until a task of another operator, vocabulary file or share begins."""
     only("bpe", _encoders.clear)
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, share) not in _encoders:
+        _encoders.clear()
+        _encoders[path, share] = WordEncoder(path, share)
+    return _encoders[path, share]

@@ -80,12 +80,16 @@ def _bins(rows: list[tuple[int, list[tuple]]], length: int) -> Iterator[pa.Recor
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, together: int = bpe.TOGETHER) -> DataFrame:
-    """(sequence_id, used, members): one row for each sequence, its pieces in order; ``together``: bytes of text that a task encodes at once."""
+    """(sequence_id, used, members): one row for each sequence, its pieces in order.
+
+    ``together``: bytes of text whose ids a task puts together at once; what it looks up together and remembers follows.
+    """
     spark, path = docs.sparkSession, tokenizer or bpe.default_tokenizer()
+    share = min(1, together / bpe.TOGETHER)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = []
-        for part, ids, ends in bpe.documents(bpe.encoder(path), batches, together):
+        for part, ids, ends in bpe.documents(bpe.encoder(path, share), batches, together):
             whole = []
             for key, a, b in zip(part.column(0).to_pylist(), np.r_[0, ends[:-1]].tolist(), ends.tolist()):
                 for p in pieces_of(ids[a:b], length):

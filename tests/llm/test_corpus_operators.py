@@ -221,6 +221,40 @@ def test_packing_by_small_slices(docs):
     assert rows(packing.pack(docs, 64, together=100)) == rows(packing.pack(docs, 64))
 
 
+def test_packing_by_small_slices_looks_up_and_remembers_less(spark, monkeypatch):
+    """With an eighth of the slices' bytes a task holds an eighth of the looked up bytes and remembered words, and gives the same ids."""
+
+    class Found(Exception):
+        pass
+
+    class Docs:
+        sparkSession = None
+        select = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            raise Found(run)
+
+    held, encoded = [], bpe.WordEncoder.encoded
+    monkeypatch.setattr(bpe.WordEncoder, "encoded", lambda self, slices: held.append(sum(len(t or "") for s in slices for t in s.to_pylist())) or encoded(self, slices))
+    for name, most in (("TOGETHER", 8000), ("LOOKED_UP", 32_000), ("PIECES", 800), ("REMEMBERED", 800), ("HEADS", 800)):
+        monkeypatch.setattr(bpe, name, most)
+    with pytest.raises(Found) as found:
+        packing.pack(Docs(), together=1000)
+    (first,) = found.value.args
+    letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(676)]
+    texts = [None, *(f"{letters[i]}{i} " + " ".join(f"{x}{letters[i]}, {x}{i}" for x in letters[i % 60 :: 60]) for i in range(600))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    bpe._encoders.clear()
+    members = [m for made in first(iter([batch])) for b in made.to_pylist() for m in b["members"]]
+    (encoder,) = bpe._encoders.values()
+    bpe._encoders.clear()
+    assert len(held) > 10 and max(held) <= 5000
+    assert max(len(encoder.spaced.texts), len(encoder.leading.texts)) <= 100
+    # a lookup's new words come on top
+    assert max(len(encoder.known), len(encoder.before), len(encoder.heads)) <= 100 + 500
+    assert sorted((m["doc_id"], m["ids_crc32"]) for m in members) == [(i, zlib.crc32(ids + np.array([2], "<u4").tobytes())) for i, ids in enumerate(encoder.whole([t or "" for t in texts]))]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
