@@ -69,11 +69,18 @@ def hashed_id(prefix: str, *parts: Column) -> Column:
 
 
 SPACES = r"(?U)\s+"
+#: What ``\s`` of SQL's patterns stands for: no vertical tab, and no space beyond ASCII.
+SQL_SPACES = r"[\t\n\f\r ]+"
 
 
-def collapsed(text: Column) -> Column:
-    """White space of any script as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+def stripped(text: Column) -> Column:
+    """Without the space separators (those of all scripts, no tabs or line ends) at the ends."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
+def collapsed(text: Column, spaces: str = SPACES) -> Column:
+    """White space (of any script, if not given) as single spaces, none at the ends."""
+    return stripped(F.regexp_replace(text, spaces, " "))
 
 
 def title_key(title: Column) -> Column:
@@ -89,7 +96,7 @@ def title_key(title: Column) -> Column:
 
 def job_title(path: Column, first_page: Column, source_hash: Column) -> Column:
     """A book's title: its file name without .pdf (160 characters at most), else its first line with a letter or digit, else its hash."""
-    name = F.trim(F.substring(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.pdf$", ""), 1, 160))
+    name = stripped(F.substring(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.pdf\z", ""), 1, 160))
     lines = F.filter(F.split(first_page, "\n"), lambda line: line.rlike(r"[\p{L}\p{N}]"))
     return F.coalesce(F.nullif(name, F.lit("")), F.substring(F.trim(F.get(lines, F.lit(0))), 1, 160), F.concat(F.lit("PDF "), F.substring(source_hash, 1, 12)))
 
@@ -142,6 +149,11 @@ def pieces(text: Column, size: int) -> Column:
     return F.when(astral, cut(F.when(astral, text))).otherwise(even)
 
 
+def base64_line(content: Column) -> Column:
+    """Base 64 in one line; Spark's has a line end after every 76 signs."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
 def base64_exact(encoded: Column) -> Column:
     """Whether decoding and encoding again gives the same string."""
     return F.coalesce(F.replace(F.base64(F.try_to_binary(encoded, F.lit("base64"))), F.lit("\r\n"), F.lit("")) == encoded, F.lit(False))

@@ -174,3 +174,20 @@ def test_records(spark):
     blocks = spark.createDataFrame([(1, 1, "figure", "a<b", "f"), (1, 0, "paragraph", "x*y", "p")], "d long, o long, kind string, text string, id string")
     assert rows(records.exported(blocks, "d", "o")) == [(1, "x&#42;y\n\n![a&#60;b](assets/f.png)", '<p>x*y</p>\n<figure id="f"><figcaption>a&lt;b</figcaption></figure>')]
     assert records.exported(blocks.limit(0), "d", "o").count() == 0
+
+
+def test_page_texts_of_odd_pages(spark, tmp_path):
+    """Long urls, white space beyond SQL's, a line end after .pdf, nulls, numbers below zero: as the query's SQL has them."""
+    import duckdb
+
+    from lectern.plans import books  # noqa: F401
+    from lectern.plans.catalogue import ORACLE_SQL, QUERIES
+
+    urls = ["https://x.example/" + "a" * 90, "u/x.pdf\n", "u/\u00a0a\u3000.PDF", "u/\t.pdf", "u/", "", None, "u/\u00a0.pdf", "u/" + "é" * 200]
+    texts = ["a\u00a0b", "\u00a0a\x0bb\u2003", "\u2028a\u0085", " \t\n\f\r ", "", None, "\n\u3000a\r\n\r\nb"]
+    pages = [(k - 4, url, html) for k, (url, html) in enumerate((u, t) for u in urls for t in texts)] + [(None, "u/n", "x")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["page_texts"]).fetchall()
+    assert rows(QUERIES["page_texts"](spark, str(tmp_path))) == sorted(want, key=str)
