@@ -133,13 +133,13 @@ def stream_jobs(spark, sf):
 @query(f"""{CHUNKS}, k AS (SELECT source AS book_id, document_id + 1 AS page, text FROM el JOIN (SELECT doc_id, source FROM documents) ON doc_id = document_id WHERE source IS NOT NULL)
 SELECT book_id, (page - 1) // 5 AS window_no, count(*) AS elements, sum(length(text))::BIGINT AS chars, min(page) AS first_page, max(page) AS last_page FROM k GROUP BY ALL""")
 def book_windows(spark, sf):
-    """The parse phase over two files (sources as books, documents as pages), a checkpoint each; windows read back under the budget."""
+    """The parse phase over two deliveries (sources as books, documents as pages), a checkpoint each; windows read back one by one, whatever a book's size."""
     folder = _scratch(spark, "windows")
     own = read(spark, sf, "documents").where("source is not null").select(F.col("source").alias("book_id"), (F.col("doc_id") + 1).alias("page"), "text")
     store = WindowStore(spark, folder)
     for k in range(2):
-        own.where(F.pmod(F.hash("book_id"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+        own.where(F.pmod(F.hash("book_id"), F.lit(2)) == k).write.mode("append").option("compression", "zstd").parquet(f"{folder}/pages")
         ingest.parse(spark.readStream.schema(own.schema).parquet(f"{folder}/pages"), store, f"{folder}/cursor")
-    each = store.read().select("book_id", "window_no", F.explode("elements").alias("e")).select("book_id", "window_no", "e.page", F.length("e.text").alias("n"))
+    each = store.windows().select("book_id", "window_no", F.explode("elements").alias("e")).select("book_id", "window_no", "e.page", F.length("e.text").alias("n"))
     per = each.groupBy("book_id", "window_no")
     return per.agg(F.count(F.lit(1)).alias("elements"), F.sum("n").alias("chars"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))

@@ -191,3 +191,16 @@ def test_windows(spark, tmp_path):
     assert changed.read(["a"]).count() == 2
     with pytest.raises(Exception, match="checksum mismatch: b"):
         changed.read().collect()
+
+
+def test_book_windows_of_a_book_beyond_the_budget(spark, tmp_path, monkeypatch):
+    """The query reads all windows of a book that is larger than what a reader of whole books may hold."""
+    import __spark_entry__
+    from lectern.sources import window_store
+
+    monkeypatch.setattr(window_store.WindowStore.read, "__defaults__", (None, 5000))
+    docs = [(k, "word " * 400, "long" if k else "short") for k in range(12)] + [(12, None, "long"), (13, "x", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = __spark_entry__.queries()["book_windows"](spark, str(tmp_path)).collect()
+    assert sorted((r["book_id"], r["window_no"], r["first_page"], r["last_page"]) for r in found) == [("long", 0, 2, 5), ("long", 1, 6, 10), ("long", 2, 11, 12), ("short", 0, 1, 1)]
+    assert all(r["elements"] >= 2 * (r["last_page"] - r["first_page"] + 1) for r in found)
