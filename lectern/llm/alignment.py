@@ -342,10 +342,14 @@ def aligned(docs: DataFrame, vocabularies: tuple[str, str]) -> DataFrame:
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
-    """(pair, n, best): in how many documents a pair is linked, and whether no pair of its A id is in more."""
+    """(pair, n, best): in how many documents a pair is linked, and whether no pair of its A id is in more.
+
+    Spark knows the size of the file that the pairs' lists lie in, not how many pairs are in them, and would broadcast
+    tables of any size; so all joins of pairs are sorted ones.
+    """
     counts = blocks.groupBy("pair").agg(F.sum("held").alias("n"))
     most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
-    return counts.join(most, F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
+    return counts.join(most.hint("merge"), F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def alignment(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
@@ -353,7 +357,7 @@ def alignment(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> D
     rows = stored(aligned(docs, vocabularies or default_vocabularies()), "alignment", compression="zstd")
     # each pair of a block once
     blocks = rows.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
-    scored = blocks.select("block", "place", "pair").join(pair_counts(blocks), "pair").select(F.col("block").alias("own"), "place", "n", "best")
+    scored = blocks.select("block", "place", "pair").join(pair_counts(blocks).hint("merge"), "pair").select(F.col("block").alias("own"), "place", "n", "best")
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         place = found.column("place").to_numpy()

@@ -262,3 +262,12 @@ def test_secrets_without_labels(spark):
     assert secrets.detect(none.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "ab12 " * 400_000 + "token: " + "f" * 50_000)], "doc_id long, text string")
     assert [s["kind"] for s in secrets.detect(long).select(F.explode("spans").alias("s")).select("s.kind").collect()] == [0, 2]
+
+
+def test_pairs_are_never_broadcast(spark):
+    """Pairs lie in lists, whose number of entries Spark doesn't know: even few of them are joined by sorting."""
+    docs = spark.createDataFrame([(k, f"the cat {k} sat on the mat") for k in range(20)], "doc_id long, text string")
+    found = alignment.alignment(docs)
+    assert len(found.collect()) == 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
