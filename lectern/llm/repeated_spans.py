@@ -16,7 +16,8 @@ text), so that no round shuffles text. Copies of whole documents are found by th
    compared as they are.
 
 Rows are combined within their block before every sort, so a string in a third of all documents is a row a block; a
-representative met in more than ``HOT`` blocks is dealt by its runs and strings instead of by itself. In the second sort
+representative with more than about ``HOT`` runs is dealt by its runs and strings instead of by itself (every other run
+of it sends its bytes, so that is for the few that would burden a task, not for all that many blocks have). In the second sort
 equality of runs rests on 192 bits (the three ranks), within a block as between blocks, in the third on bytes.
 
 Defined results: null text is the empty text; rows that share a doc_id do not remove each other's bytes; a null doc_id
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import discard, shared_folder, stored, table, text_or_empty
 
 LENGTH = 50
-#: Bytes of text in a block, bytes that are ranked together, blocks from which on a representative is dealt by its runs.
-BLOCK_BYTES, PIECE_BYTES, HOT = 8 << 20, 1 << 20, 256
+#: Bytes of text in a block, bytes that are ranked together, runs from which on a representative is dealt by them.
+BLOCK_BYTES, PIECE_BYTES, HOT = 8 << 20, 1 << 20, 1 << 16
 LAST = (1 << 63) - 1
 
 BASE = 0x9E3779B97F4A7C15
@@ -149,14 +150,14 @@ def ordered(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, np.logical_or.reduce(steps)]) if len(order) else np.zeros(0, np.int64)
 
 
-def firsts(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first row of each key (in the order of the text), and whether another document has it too."""
+def firsts(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the first row of each key (in the order of the text), whether another document has it too, and how many rows have it."""
     order, start = ordered(keys)
     docs = doc[order]
-    last = np.r_[start[1:], len(docs)][: len(start)] - 1
-    places, many = order[start], docs[last] != docs[start]
+    stop = np.r_[start[1:], len(docs)][: len(start)]
+    places, many = order[start], docs[stop - 1] != docs[start]
     back = np.argsort(places)
-    return places[back], many[back]
+    return places[back], many[back], (stop - start)[back]
 
 
 def of_kind(back: pa.Table, kind: str, keys: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
@@ -246,11 +247,16 @@ def whole_copies(rows: DataFrame) -> DataFrame:
     return told_of("copy", copies, "row", F.lit(0))
 
 
+#: Bits of a head's tag below its block: whether several documents of the block have the rank, and the power of two of its runs there.
+TAG_BITS = 6
+
+
 def in_several(heads: DataFrame) -> DataFrame:
-    """Of (rank, tag) rows, where a tag is twice the block plus whether it has several documents of the rank, those to go on with."""
+    """Of (rank, tag) rows, a row a block, those to go on with; runs are counted to within a factor of two."""
     same = Window.partitionBy("rank")
-    counted = heads.select("rank", "tag", F.count(F.lit(1)).over(same).alias("n"), F.max(F.col("tag") % 2).over(same).alias("many"))
-    return told_of("mark", counted.where("n > 1 or many = 1").withColumn("block", F.shiftright("tag", 1)), "rank", F.col("n") > HOT)
+    runs = F.expr(f"shiftleft(1L, int(shiftright(tag, 1) % {1 << TAG_BITS - 1}))")
+    counted = heads.select("rank", "tag", F.count(F.lit(1)).over(same).alias("n"), F.max(F.col("tag") % 2).over(same).alias("many"), F.sum(runs).over(same).alias("runs"))
+    return told_of("mark", counted.where("n > 1 or many = 1").withColumn("block", F.shiftright("tag", TAG_BITS)), "rank", F.col("runs") > HOT)
 
 
 def settled(runs: DataFrame) -> DataFrame:
@@ -292,8 +298,9 @@ def _measured(blocks: DataFrame, length: int, with_texts: bool, bits: int) -> Da
 
     def first(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
         own = Block(group, back, length).runs(bits)
-        at, many = firsts([own["rank"]], own["doc"])
-        return pa.table([signed(own["rank"][at]), pa.array(2 * key[0].as_py() + many)], names(heads))
+        at, many, times = firsts([own["rank"]], own["doc"])
+        power = np.frexp(times)[1].astype(np.int64) - 1
+        return pa.table([signed(own["rank"][at]), pa.array((key[0].as_py() << TAG_BITS) + 2 * power + many)], names(heads))
 
     def marked(own: dict[str, np.ndarray], back: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
         hot = looked_up([own["rank"]], *of_kind(back, "mark"), -1)
@@ -302,7 +309,7 @@ def _measured(blocks: DataFrame, length: int, with_texts: bool, bits: int) -> Da
     def second(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
         block = Block(group, back, length)
         own, hot = marked(block.runs(bits), back)
-        at, many = firsts(of_run(own), block.key[own["doc"]])
+        at, many, _ = firsts(of_run(own), block.key[own["doc"]])
         own, hot = chosen(own, at), hot[at]
         salt = np.where(hot, own["e1"].view(np.int64), 0)
         columns = [signed(own["rank"]), pa.array(salt), signed(own["e1"]), signed(own["e2"]), pa.array(2 * key[0].as_py() + many), pa.array(block.key[own["doc"]]), pa.array(hot)]
@@ -315,7 +322,7 @@ def _measured(blocks: DataFrame, length: int, with_texts: bool, bits: int) -> Da
         own = block.runs(bits)
         hot = looked_up(of_run(own), *of_kind(back, "send", 3), -1)
         own, hot = chosen(own, hot >= 0), hot[hot >= 0]
-        at, _ = firsts(of_run(own), own["doc"])
+        at, _, _ = firsts(of_run(own), own["doc"])
         own, hot = chosen(own, at), hot[at]
         data = block.data.tobytes()
         pieces = [data[a : a + n + length - 1] for a, n in zip(own["at"].tolist(), own["n"].tolist())]
