@@ -52,16 +52,22 @@ def parsed(selectors: DataFrame) -> DataFrame:
 def resolved(selectors: DataFrame, books: DataFrame) -> DataFrame:
     """(selector_id, status, book_id): found, ambiguous, missing or invalid; the book where there is one only.
 
-    References meet by equality: each book is listed under its prefixes of the lengths that are asked for.
+    References meet by equality: each book is listed under its prefixes of the lengths that are asked for. Books are counted
+    by prefix and by title before they meet selectors, so no list of all selectors' books is made.
     """
     asked = parsed(selectors)
     by_ref = asked.where("kind in ('ref', 'auto') and key rlike '^[a-f0-9]{1,64}$'").select("selector_id", F.col("key").alias("prefix"))
     lengths = by_ref.select(F.length("prefix").alias("length")).distinct()  # 64 at most
     prefixes = books.select("book_id").join(F.broadcast(lengths)).select("book_id", F.expr("left(book_id, length)").alias("prefix"))
-    refs = by_ref.join(prefixes, "prefix").select("selector_id", "book_id", F.lit(0).alias("by"))
+    counted = [F.count(F.lit(1)).alias("n"), F.min("book_id").alias("book_id")]
+    by_prefix = prefixes.join(by_ref.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix").agg(*counted)
+    refs = by_ref.join(by_prefix, "prefix").select("selector_id", "n", "book_id", F.lit(0).alias("by"))
     by_title = asked.where("kind in ('title', 'auto')").select("selector_id", "key")
-    titles = by_title.join(books.select("book_id", title_key(F.col("title")).alias("key")), "key").select("selector_id", "book_id", F.lit(1).alias("by"))
-    found = refs.unionByName(titles).groupBy("selector_id", "by").agg(F.count(F.lit(1)).alias("n"), F.min("book_id").alias("book_id"))
+    # a title's key is made once, for all its books
+    titled = books.groupBy("title").agg(*counted).select(title_key(F.col("title")).alias("key"), "n", "book_id")
+    by_key = titled.groupBy("key").agg(F.sum("n").alias("n"), F.min("book_id").alias("book_id"))
+    titles = by_title.join(by_key, "key").select("selector_id", "n", "book_id", F.lit(1).alias("by"))
+    found = refs.unionByName(titles).groupBy("selector_id", "by").agg(F.sum("n").alias("n"), F.min("book_id").alias("book_id"))
     best = found.groupBy("selector_id").agg(F.min_by(F.struct("n", "book_id"), "by").alias("b"))
     n = F.coalesce("b.n", F.lit(0))
     status = F.when(F.col("kind") == "invalid", "invalid").when(n == 0, "missing").when(n == 1, "found").otherwise("ambiguous")

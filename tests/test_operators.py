@@ -191,3 +191,16 @@ def test_page_texts_of_odd_pages(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     want = con.execute(ORACLE_SQL["page_texts"]).fetchall()
     assert rows(QUERIES["page_texts"](spark, str(tmp_path))) == sorted(want, key=str)
+
+
+def test_books_are_counted_before_they_meet_selectors(spark):
+    """Many selectors of many books: a row a prefix or title meets them, and books that share an id count each."""
+    own = spark.createDataFrame([(f"{k % 7:02x}" + "0" * 62, "Title Ⅳ" if k % 2 else f"t{k}", True) for k in range(40)] + [("ff" + "1" * 62, "One", True)], "book_id string, title string, active boolean")
+    asked = [(k, s) for k, s in enumerate(["B-00", "b-0", "B-FF1", "title: title iv", "title:one", "ff", "B-ab", "t2", "B-x"] * 50)] + [(0, "B-ff")]
+    found = books.resolved(spark.createDataFrame(asked, "selector_id long, selector string"), own)
+    got = {(r["selector_id"], r["status"], r["book_id"]) for r in found.collect()}
+    one = "ff" + "1" * 62
+    want = [("ambiguous", None), ("ambiguous", None), ("found", one), ("ambiguous", None), ("found", one), ("found", one), ("missing", None), ("found", f"{2:02x}" + "0" * 62), ("invalid", None)]
+    assert got == {(k, *want[k % 9]) for k, _ in asked} and len(found.collect()) == len(asked)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [prefix#" in plan and "Aggregate [key#" in plan
