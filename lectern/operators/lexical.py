@@ -1,8 +1,8 @@
 """Lexical ranking: a stored index of postings, corpus statistics, BM25 for one query or many.
 
-Texts are tokenised once, when a snapshot is indexed: postings go into a table in order of terms, so that a query reads
-the row groups of its own terms (the filter on ``term`` reaches the scan), and lengths are summed up in a table of one
-row; a third table has each term with its document frequency, the number of its postings.
+Texts are tokenised once, when a snapshot is indexed: postings go into a table whose files are in order of terms, so that a
+query reads the row groups of its own terms (the filter on ``term`` reaches the scan), and lengths are summed up in a table of
+one row; a third table has each term with its document frequency, the number of its postings.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokenize
+from lectern.sources.scratch import stored
 
 K1, B = 1.2, 0.75
 
@@ -51,6 +52,9 @@ class Index:
             self.terms = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Bytes of a row group of postings, of which each file has several.
+ROW_GROUP = 2 << 20
+
 #: Terms of a query that are put into the scan's filter; longer queries (and batches) join them.
 LITERALS = 200
 
@@ -60,7 +64,8 @@ def build(elements: DataFrame, folder: str) -> None:
     tokens = tokenized(elements)
     sized = tokens.select("element_id", "tokens", F.size("tokens").alias("len"))
     rows = sized.select("element_id", "len", F.explode_outer("tokens").alias("term")).groupBy("term", "element_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    rows.repartitionByRange("term", "element_id").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+    # as they were counted, dealt by term and element: no second exchange of all postings, and no task has a frequent term alone
+    rows.sortWithinPartitions("term").write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(f"{folder}/postings")
     spark = elements.sparkSession
     # every element has one posting at least, were it that of no term; it carries the length once
     own = spark.read.parquet(f"{folder}/postings").groupBy("element_id").agg(F.max("len").alias("len"))
@@ -82,24 +87,38 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 #: Parts of a score are whole multiples of one by this, so their sum does not depend on their order.
 UNITS = 1e12
+#: Of a batch: pairs of query and term that go to all tasks at most, and parts of scores that a task adds up.
+BROADCAST, TASK_ROWS = 500_000, 4_000_000
 
 
 def bm25(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, element_id, score) of every element that has a query term. ``queries``: (query_id, text).
 
-    Equal elements have equal scores to the last bit, whatever the order in which their parts are added; sums are combined
-    before they are shuffled.
+    Equal elements have equal scores to the last bit, whatever the order in which their parts are added. With many queries,
+    postings come together by element, each once, before they meet the queries that have their term: what is shuffled grows
+    with the postings, not with the pairs of queries and elements, and the pairs stay where they are made.
     """
-    terms = query_terms(queries)
+    terms = query_terms(queries).distinct()
     few = [r["term"] for r in terms.select("term").distinct().limit(LITERALS + 1).collect()]
-    wanted = terms.select("term").distinct() if len(few) > LITERALS else None  # of any size, so the join is Spark's choice
-    found = [t.where(F.col("term").isin(few)) if wanted is None else t.join(wanted, "term", "left_semi") for t in (index.postings, index.terms)]
-    own, df = found
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    # idf goes to the terms' side, which is as small as the queries
-    weights = terms.join(df, "term").join(F.broadcast(index.stats))
-    units = F.sum(F.round(part * UNITS).cast("long"))
-    return own.join(weights, "term").groupBy("query_id", "element_id").agg((units / F.lit(UNITS)).alias("score"))
+    units = F.round(part * UNITS).cast("long").alias("units")
+    if len(few) <= LITERALS:
+        own, df = (t.where(F.col("term").isin(few)) for t in (index.postings, index.terms))
+        # idf goes to the terms' side, which is as small as the queries
+        weights = terms.join(df, "term").join(F.broadcast(index.stats))
+        met = own.join(weights, "term").select("query_id", "element_id", units)
+    else:
+        asked = terms.groupBy("term").agg(F.collect_list(F.struct("query_id")).alias("queries"))  # structs, as null ids count too
+        numbered = asked.join(index.terms, "term").join(F.broadcast(index.stats)).withColumn("number", F.monotonically_increasing_id())
+        weights = stored(numbered, "weights")
+        many = F.size("queries").cast("long")
+        size = weights.agg(F.sum(many).alias("queries"), F.sum(F.col("df") * many).alias("rows")).first()
+        # the terms of the queries at hand go to all tasks unless they are many; beyond that the joins are Spark's choice
+        told = F.broadcast if (size["queries"] or 0) <= BROADCAST else lambda rows: rows
+        parts = index.postings.join(told(weights.drop("queries")), "term").select("element_id", "number", units)
+        dealt = parts.repartition(max(1, -(-(size["rows"] or 0) // TASK_ROWS)), "element_id")
+        met = dealt.join(told(weights.select("number", "queries")), "number").select("element_id", "units", F.inline("queries"))
+    return met.groupBy("query_id", "element_id").agg((F.sum("units") / F.lit(UNITS)).alias("score"))
 
 
 def in_order(column: str, rows: DataFrame) -> Column:

@@ -204,3 +204,36 @@ def test_books_are_counted_before_they_meet_selectors(spark):
     assert got == {(k, *want[k % 9]) for k, _ in asked} and len(found.collect()) == len(asked)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [prefix#" in plan and "Aggregate [key#" in plan
+
+
+def test_a_batch_meets_queries_after_postings_have_met_by_element(spark, monkeypatch):
+    """Both ways give the same scores; two rows of one query count a term once, a null query_id is a query."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 11}" for j in range(k % 7 + 1))) for k in range(60)] + [(60, None)], "element_id long, text string")
+    tokens = lexical.tokenized(docs)
+    index = lexical.Index(lexical.postings(tokens), lexical.corpus_stats(tokens))
+    asked = spark.createDataFrame([(1, "w0 w1 w1"), (2, "w2 w10 none"), (None, "w3"), (1, "w1 w4")], "query_id long, text string")
+    once = spark.createDataFrame([(1, "w0 w1 w4"), (2, "w2 w10 none"), (None, "w3")], "query_id long, text string")
+    want = rows(lexical.bm25(index, once))
+    assert len(want) > 30 and rows(lexical.bm25(index, asked)) == want
+    monkeypatch.setattr(lexical, "LITERALS", 0)
+    monkeypatch.setattr(lexical, "TASK_ROWS", 5)
+    for most in (500_000, 0):
+        monkeypatch.setattr(lexical, "BROADCAST", most)
+        found = lexical.bm25(index, asked)
+        assert rows(found) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert most == 0 or "hashpartitioning(query_id" not in plan and "REPARTITION_BY_NUM" in plan
+    assert lexical.bm25(index, asked.limit(0)).count() == 0
+
+
+def test_metrics_compute_hits_once_and_counts_keep_no_rows(spark, monkeypatch):
+    from lectern.operators import telemetry
+    from lectern.plans import audits, catalogue  # noqa: F401
+
+    seen, top = [], catalogue._batch
+    monkeypatch.setattr(catalogue, "_batch", lambda *a: seen.append(top(*a).observe("hits", F.count(F.lit(1)).alias("n"))) or seen[-1])
+    sf = "/root/testdata/sf0.001"
+    plan = catalogue.QUERIES["hit_at_k"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 1 and "CollectMetrics" not in plan
+    monkeypatch.setattr(telemetry, "stored", lambda *a: pytest.fail("rows were stored"))
+    assert catalogue.QUERIES["search_metrics"](spark, sf).first()["hits"] > 0
