@@ -17,6 +17,7 @@ from lectern.functions import vectors as V
 from lectern.operators import chunking, evaluate, fusion, lexical, structure
 from lectern.sources.catalogue_store import CatalogueStore
 from lectern.sources.scratch import scratch as _scratch
+from lectern.sources.scratch import stored
 from lectern.streaming import ingest as ingestion
 
 QUERY = "the thonou ent de la que"
@@ -276,7 +277,8 @@ def _judged(spark, sf):
     A good document is relevant to the items of its rest by 40: hits meet documents by their number, and relevant ones
     are counted by rest, so no list of all relevant pairs is made.
     """
-    hits = _batch(spark, sf).select("query_id", F.col("element_id").alias("document_id"), "rank")
+    # stored, ten rows an item, as metrics read them twice
+    hits = stored(_batch(spark, sf).select("query_id", F.col("element_id").alias("document_id"), "rank"), "hits")
     good = read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 40).alias("m")).distinct()
     met = hits.join(good, "document_id", "left").select("query_id", "document_id", "rank", F.coalesce(F.col("m") == F.col("query_id") % 40, F.lit(False)).alias("relevant"))
     items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m")).distinct()
