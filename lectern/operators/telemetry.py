@@ -1,6 +1,7 @@
 """Counts and times of jobs and streams, without content.
 
-``measured`` counts a result's rows while it is stored (``DataFrame.observe``), so nothing is computed twice; ``Progress``
+``measured`` counts a result's rows while it is stored (``DataFrame.observe``), so nothing is computed twice, ``counted`` while
+it is computed and dropped, for when nothing but the counts is wanted; ``Progress``
 listens to streams and keeps, for each micro-batch, its number, rows in and milliseconds.
 """
 
@@ -22,6 +23,13 @@ def measured(rows: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame,
     return out, seen.get | {"seconds": time.monotonic() - start}
 
 
+def counted(rows: DataFrame, name: str, **metrics: Column) -> dict:
+    """What ``measured`` tells of the rows, all of which are computed and none kept."""
+    seen, start = Observation(name), time.monotonic()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]).write.format("noop").mode("overwrite").save()
+    return seen.get | {"seconds": time.monotonic() - start}
+
+
 class Progress(StreamingQueryListener):
     def __init__(self) -> None:
         self.batches: list[tuple[str, int, int, int]] = []
