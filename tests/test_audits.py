@@ -125,3 +125,12 @@ def test_parsed_answers(spark):
         with pytest.raises(Exception, match=why):
             answers.parsed(of(json.dumps(good), doc)).collect()
     assert answers.parsed(of(json.dumps(good)).limit(0)).count() == 0
+
+
+def test_packages_that_lie_there_are_not_written_again(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p{k}", 0, "paragraph", "x", "f", "s") for k in range(3)], "bundle string, ord int, kind string, text string, id string, source_id string")
+    sources, root = spark.createDataFrame([("s", "one")], "source_id string, label string"), str(tmp_path / "out")
+    packages.write(rows, sources, root)
+    parts = sorted(glob.glob(f"{root}/bundle=*/file=*/part-*"))
+    packages.write(rows, sources, root)
+    assert len(parts) == 15 and sorted(glob.glob(f"{root}/bundle=*/file=*/part-*")) == parts
